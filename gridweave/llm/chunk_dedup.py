@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import SPACES, Workspace, documents, text_of
+from gridweave.llm.common import SPACES, Workspace, documents, keep_rows, text_key, text_of
 
 #: Bytes of a chunk: mean, least, most.
 MEAN, LEAST, MOST = 2048, 512, 16384
@@ -101,7 +101,7 @@ def verified(docs: DataFrame, key: bytes, width: int) -> bool:
     return different.groupBy("id").count().where("count > 1").isEmpty()
 
 
-RECIPES = "doc_id long, points long, text_sha256 string, recipe binary"
+RECIPES = "doc_id long, text_key long, points long, text_sha256 string, recipe binary"
 
 
 def recipes(docs: DataFrame, key: bytes, width: int) -> DataFrame:
@@ -115,13 +115,13 @@ def recipes(docs: DataFrame, key: bytes, width: int) -> DataFrame:
                 texts = part.column("text").to_pylist()
                 bodies = [normalise(t) for t in texts]
                 found = [b"".join(i for i, _ in chunk_ids(b, table, key, width)) for b in bodies]
-                yield pa.record_batch([part.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in bodies], pa.string()), pa.array(found, pa.binary())], names=[x.split()[0] for x in RECIPES.split(", ")])
+                yield pa.record_batch([part.column("doc_id"), part.column("text_key"), pa.array(map(len, texts), pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in bodies], pa.string()), pa.array(found, pa.binary())], names=[x.split()[0] for x in RECIPES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, RECIPES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), text_of().alias("text")).mapInArrow(run, RECIPES)
 
 
 def deduplicate(docs: DataFrame, width: int = 16) -> DataFrame:
-    """Every row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+    """Every row of docs: doc_id, keep_id, group_size, kept, text_sha256, text_key."""
     spark = docs.sparkSession
     key = b"chunks 0"
     for attempt in range(1, 9):
@@ -145,11 +145,18 @@ def deduplicate(docs: DataFrame, width: int = 16) -> DataFrame:
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
         "text_sha256",
+        "text_key",
     )
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs that deduplication keeps."""
+    rows = deduplicate(docs).where("kept")
+    return keep_rows(docs, rows.select("doc_id", "text_key", (F.col("group_size") > 1).alias("once")))
+
+
 def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(documents(spark, sf_dir))
+    return deduplicate(documents(spark, sf_dir)).drop("text_key")
 
 
 OP6_SQL = r"""

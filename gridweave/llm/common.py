@@ -87,3 +87,23 @@ def gapless_rank(df: DataFrame, group: list[str], order: list[Column], buckets:
     inside = Window.partitionBy(*group, "_bucket").orderBy(*order)
     numbered = salted.withColumn("_place", F.row_number().over(inside) - 1)
     return numbered.join(shifts, [*group, "_bucket"]).withColumn(out, (F.col("_shift") + F.col("_place")).cast("long")).drop("_bucket", "_shift", "_place")
+
+
+def text_key(column: str = "text") -> Column:
+    """A hash that, with the doc_id, tells rows apart without moving their texts."""
+    return F.xxhash64(F.col(column))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs named by kept (doc_id, text_key, once); where `once`, repeated rows come back as one.
+
+    Texts move once, to meet their names. Only rows marked `once` are aggregated, with partial results per task, so that
+    a row that is repeated very often stays spread.
+    """
+    names = docs.columns
+    named = kept.groupBy("doc_id", "text_key").agg(F.max("once").alias("_once")).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    rows = docs.withColumn("_k", text_key())
+    rows = rows.join(named.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")))
+    many = rows.where("NOT _once").select(*names)
+    one = rows.where("_once").groupBy("_id", "_key").agg(F.first(F.struct(*[F.col(n) for n in names])).alias("_r")).select(*[F.col("_r")[n].alias(n) for n in names])
+    return many.unionByName(one)

@@ -159,6 +159,13 @@ def _quotas(lines: list, blocks: list[int], wanted: list[float], sizes: list[int
     return out
 
 
+def mix(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The mix as rows of docs: each document as often as its words are taken, to the nearest whole number of times."""
+    rows = apportion_documents(docs.drop("size", "source_size", "target", "taken"), weights, share, cap)
+    times = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
+    return rows.withColumn("_times", times).where("_times > 0").withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = apportion_documents(documents(spark, sf_dir).select("doc_id", "text", "source"), keep=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", "taken")

@@ -6,11 +6,11 @@ global order. All orders put tokens that many documents share last (by powers of
 hash within a count. Order 1 finds candidates through an index of prefix tokens; the other orders and the sizes are
 checked on a candidate before its sets are compared.
 
-The index isn't turned into all pairs. A bucket (the nodes under one token, dealt to parts where the token is frequent)
-first pairs its nodes with one of them; verified links are joined into components. A few rounds with other partners
-follow. Only then are pairs formed in buckets that still hold several components, and only across components, which
-loses no link that could change a component. Such pairs must share enough prefix tokens for the threshold before their
-sets are moved.
+The index isn't turned into all pairs. Its small buckets (the nodes under one token) give pairs, a bounded number per row;
+those that share too few prefix tokens for the threshold go before any set is moved. Large buckets first pair their nodes
+with a few of them; verified links are joined into components, and further rounds pair what is left with other
+partners. Large buckets that still hold several components are then compared in blocks inside tasks, which return
+only links that join components. Pairs of one component are never compared, which loses no link that could change one.
 
 Token sets move once, and only those of nodes in shared buckets: a bit array of bounded size tells the tasks which.
 
@@ -28,10 +28,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import Workspace, documents
+from gridweave.llm.common import Workspace, documents, keep_rows, text_key
 from gridweave.llm.components import components
 
 #: Tokens counted at once by a task, and how often one must occur among them to be reported.
@@ -42,8 +42,11 @@ KNOWN = 1 << 18
 PART = 256
 #: Global orders a candidate must pass, the index's among them.
 ORDERS = 3
-#: Rounds of pairing a bucket with one of its nodes.
-ROUNDS = 3
+#: Large buckets, those with so many nodes in a part or several parts, are paired with a few of their nodes at a time, for
+#: so many rounds at most, while a round still links a share of its pairs.
+LARGE, PARTNERS, ROUNDS, GAIN = 16, 4, 6, 0.2
+#: Nodes and tokens in a block of a large bucket.
+BLOCK_NODES, BLOCK_TOKENS = 1024, 1_000_000
 #: Least and most bits of the array that tells which sets to move.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 WORDS_KEPT = 300_000
@@ -160,13 +163,13 @@ def frequent_tokens(docs: DataFrame, width: int) -> Levels:
     return Levels(top.column("token").to_numpy().view(np.uint64), top.column("count").to_numpy())
 
 
-BASE = "doc_id long, node long, n int, prefix array<struct<token:long,part:int>>"
+BASE = "doc_id long, text_key long, node long, n int, prefix array<struct<token:long,part:int>>"
 
 
 def base_table(docs: DataFrame, width: int, percent: int, levels) -> DataFrame:
     """A row per document: its node (a hash of its set; null for an empty set), size, and prefix in order 1.
 
-    A task gives the prefix of a node once, as far as it remembers. Frequent tokens' buckets have parts by node.
+    A task gives the prefix of a node once, as far as it remembers. Frequent tokens' buckets have parts from 1 by node; part 0 is a whole bucket.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,14 +192,14 @@ def base_table(docs: DataFrame, width: int, percent: int, levels) -> DataFrame:
                     first = prefix(x, level, 0, percent)
                     lengths.append(len(first))
                     tokens.append(x[first])
-                    parts.append(np.where(count[first] > PART, (node & 0x7FFFFFFF) % (count[first] // PART + 1), 0))
+                    parts.append(np.where(count[first] > PART, 1 + (node & 0x7FFFFFFF) % (count[first] // PART + 1), 0))
                 if len(seen) > WORDS_KEPT:
                     seen.clear()
                 offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
                 values = pa.StructArray.from_arrays([pa.array(np.concatenate(tokens).view(np.int64) if tokens else [], pa.int64()), pa.array(np.concatenate(parts) if parts else [], pa.int32())], ["token", "part"])
-                yield pa.record_batch([part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, values).cast(kind)], names=["doc_id", "node", "n", "prefix"])
+                yield pa.record_batch([part.column("doc_id"), part.column("text_key"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, values).cast(kind)], names=["doc_id", "text_key", "node", "n", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, BASE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text").mapInArrow(run, BASE)
 
 
 def set_hash(tokens: np.ndarray) -> int:
@@ -265,46 +268,143 @@ def _labelled(rows: DataFrame, labels: DataFrame | None, node: str, label: str)
     return found.withColumn(label, F.coalesce("_root", node)).drop("_root")
 
 
-def star_pairs(shared: DataFrame, labels: DataFrame | None, turn: int, percent: int) -> DataFrame:
-    """(a, b): each node with the bucket partner that it meets in most buckets, of those in another component.
+def index_table(base: DataFrame) -> DataFrame:
+    """(token, part, node, n, large): nodes by prefix token, where the token may have another node."""
+    whole = Window.partitionBy("token", "part").orderBy("node")
+    all_rows = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = base.where(F.size("prefix") > 0).select("node", "n", F.inline("prefix"))
+    rows = rows.select("*", F.lag("node").over(whole).alias("before"), F.first("node").over(all_rows).alias("lo"), F.last("node").over(all_rows).alias("hi"), F.count(F.lit(1)).over(all_rows).alias("k"))
+    rows = rows.where("(lo != hi OR part > 0) AND (before IS NULL OR before != node)")
+    return rows.select("token", "part", "node", "n", ((F.col("part") > 0) | (F.col("k") >= LARGE)).alias("large"))
 
-    The partner of a bucket's part is the node of least hash in this turn; parts of one token meet by their partners.
-    """
-    draw = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "node")
-    size = lambda a, b: (F.col(a) * percent <= F.col(b) * 100) & (F.col(b) * percent <= F.col(a) * 100)
-    rows = _labelled(shared, labels, "node", "label").withColumn("who", F.struct(draw.alias("d"), "node", "n", "label"))
-    partner = rows.groupBy("token", "part").agg(F.min("who").alias("with"))
-    over = partner.groupBy("token").agg(F.min("with").alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    inside = rows.join(partner, ["token", "part"]).select("node", "n", "label", "with")
-    across = partner.join(over, "token").select("with.node", "with.n", "with.label", F.col("top").alias("with"))
-    met = inside.union(across).where(F.col("label") != F.col("with.label"))
-    met = met.select("node", "n", F.col("with.node").alias("other"), F.col("with.n").alias("m")).where(size("n", "m"))
-    counted = met.groupBy("node", "other").agg(F.count(F.lit(1)).alias("c"))
-    best = counted.groupBy("node").agg(F.max(F.struct("c", "other"))["other"].alias("b"))
-    return best.select(F.col("node").alias("a"), "b")
 
-
-def cross_pairs(shared: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """(a, b): nodes of different components that share a bucket and may link by their sizes and number of shared tokens.
+def _may_link(a: str, b: str, shared: Column, percent: int) -> Column:
+    """Whether sets of sizes a and b that share so many prefix tokens, or fewer, can link.
 
     Two prefixes hold every common token up to where the first of them ends; the other common tokens lie in that set's
     rest. So a linked pair shares at least overlap_needed - max(rest) tokens of both prefixes.
     """
-    rows = _labelled(shared.select("token", "node", "n").distinct(), labels, "node", "label")
+    a, b = F.col(a), F.col(b)
+    rest = F.floor((F.greatest(a, b) * percent + 99) / 100) - 1
+    want = F.floor((percent * (a + b) + (99 + percent)) / (100 + percent))
+    return (a * percent <= b * 100) & (b * percent <= a * 100) & (shared >= want - rest)
+
+
+def small_pairs(shared: DataFrame, percent: int) -> DataFrame:
+    """(a, b): nodes that meet in a small bucket and may link by sizes and shared prefix tokens.
+
+    Tokens in large buckets aren't counted pair by pair; as many as both have at most count as shared.
+    """
+    has = shared.groupBy("node").agg(F.count(F.lit(1)).alias("all"), F.count_if("large").alias("wide"))
+    rows = shared.where("NOT large").select("token", "node", "n").join(has, "node")
+    x = rows.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("all").alias("alla"), F.col("wide").alias("wa"))
+    y = rows.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("all").alias("allb"), F.col("wide").alias("wb"))
+    met = x.join(y, "token").where("a < b").where(_may_link("na", "nb", F.least("alla", "allb"), percent))
+    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), *[F.first(k).alias(k) for k in ("na", "nb", "wa", "wb")])
+    return counted.where(_may_link("na", "nb", F.col("c") + F.least("wa", "wb"), percent)).select("a", "b")
+
+
+def star_pairs(large: DataFrame, labels: DataFrame | None, turns: range, percent: int) -> DataFrame:
+    """(a, b): for each turn, each node with the bucket partner that it meets in most buckets, of those in another component.
+
+    The partner of a bucket's part is the node of least hash in that turn; parts of one token meet by their partners.
+    """
+    turn = F.explode(F.array(*[F.lit(t) for t in turns])).alias("turn")
+    rows = mixed_buckets(large, labels).select("*", turn)
+    rows = rows.withColumn("who", F.struct(F.xxhash64("turn", "node").alias("d"), "node", "n", "all", "label"))
+    partner = rows.groupBy("turn", "token", "part").agg(F.min("who").alias("with"))
+    over = partner.groupBy("turn", "token").agg(F.min("with").alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    inside = rows.join(partner, ["turn", "token", "part"]).select("turn", "node", "n", "all", "label", "with")
+    across = partner.join(over, ["turn", "token"]).select("turn", "with.node", "with.n", "with.all", "with.label", F.col("top").alias("with"))
+    met = inside.union(across).where(F.col("label") != F.col("with.label"))
+    met = met.select("turn", "node", "n", "all", F.col("with.node").alias("other"), F.col("with.n").alias("m"), F.col("with.all").alias("all2"))
+    counted = met.where(_may_link("n", "m", F.least("all", "all2"), percent)).groupBy("turn", "node", "other").agg(F.count(F.lit(1)).alias("c"))
+    best = counted.groupBy("turn", "node").agg(F.max(F.struct("c", "other"))["other"].alias("b"))
+    return best.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+
+
+def mixed_buckets(large: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows of buckets that hold nodes of several components, with each node's component."""
+    rows = _labelled(large, labels, "node", "label")
     mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("token")
-    left = rows.join(mixed, "token")
-    x = left.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = left.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    met = x.join(y, "token").where("a < b AND la != lb").where((F.col("na") * percent <= F.col("nb") * 100) & (F.col("nb") * percent <= F.col("na") * 100))
-    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    rest = F.greatest("na", "nb") * percent
-    rest = F.floor((rest + 99) / 100) - 1
-    want = F.floor((percent * (F.col("na") + F.col("nb")) + (99 + percent)) / (100 + percent))
-    return counted.where(F.col("c") >= want - rest).select("a", "b")
+    return rows.join(mixed, "token")
+
+
+def block_links(large: DataFrame, labels: DataFrame | None, sets: DataFrame, levels, percent: int) -> DataFrame:
+    """(a, b): links across components in large buckets, enough of them to join what they join.
+
+    A bucket is dealt to blocks by node; each pair of blocks meets in one task. A pair is looked at under its first
+    common token only.
+    """
+    rows = mixed_buckets(large, labels).select("token", "node", "n", "label")
+    blocks = rows.groupBy("token").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "token").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("i", j).alias("p"), F.greatest("i", j).alias("q")))).alias("meet")
+    rows = rows.select("token", "node", "label", "i", meets).select("token", "node", "label", "i", "meet.p", "meet.q").join(sets, "node")
+
+    def run(key, frame):
+        import pandas as pd
+
+        found = compare_block(np.uint64(int(key[0]) & 0xFFFFFFFFFFFFFFFF), frame["label"].tolist(), frame["i"].to_numpy(), [np.frombuffer(t, np.uint64) for t in frame["tokens"]], levels.value, percent)
+        nodes = frame["node"].to_numpy()
+        return pd.DataFrame({"a": nodes[[a for a, _ in found]], "b": nodes[[b for _, b in found]]}, dtype="int64")
+
+    return rows.groupBy("token", "p", "q").applyInPandas(run, "a long, b long")
+
+
+def compare_block(token: np.uint64, label: list[int], side: np.ndarray, sets: list[np.ndarray], levels: Levels, percent: int) -> list[tuple[int, int]]:
+    """Pairs of places that link and join components, for pairs on different sides (any, if all are on one)."""
+    n = np.array([len(x) for x in sets])
+    every, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(n)
+    ids = [flat[e - k : e] for e, k in zip(ends, n, strict=True)]
+    level = levels.of(every)[0]
+    first = [i[prefix(x, level[i], 0, percent)] for i, x in zip(ids, sets, strict=True)]
+    order1 = np.concatenate(first)
+    begins = np.concatenate([[0], np.cumsum([len(f) for f in first])[:-1]])
+    here = int(np.searchsorted(every, token))
+    one_side = len(set(side.tolist())) == 1
+    parent = {x: x for x in label}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    rest = need(n, percent) - 1
+    rank = np.full(len(every), len(every), np.int64)
+    own = np.zeros(len(every), bool)
+    for a in range(len(sets)):
+        rank[first[a]] = np.arange(len(first[a]))
+        met = rank[order1]
+        shared = np.add.reduceat(met < len(every), begins)
+        earliest = np.minimum.reduceat(met, begins)
+        want = overlap_needed(n[a], n, percent)
+        ok = (earliest == rank[here]) & (shared >= want - np.maximum(rest[a], rest)) & (want <= np.minimum(n[a], n))
+        ok[: a + 1] = False
+        if not one_side:
+            ok &= side != side[a]
+        rank[first[a]] = len(every)
+        mine = root(label[a])
+        pairs = [b for b in np.flatnonzero(ok)[np.argsort(-shared[ok], kind="stable")] if root(label[b]) != mine]
+        if not pairs:
+            continue
+        own[ids[a]] = True
+        for b in pairs:
+            if root(label[b]) == root(label[a]):
+                continue
+            if own[ids[b]].sum() >= want[b]:
+                out.append((a, int(b)))
+                parent[root(label[b])] = root(label[a])
+        own[ids[a]] = False
+    return out
 
 
 def join_classes(docs: DataFrame, width: int = 5, percent: int = 80, note: Callable[[str, object], None] | None = None) -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
+    """A row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), text_key,
+    and root, which rows of one class share (null for a row that has no copies and no links).
 
     note: is told the rows of each step, for tests and tuning.
     """
@@ -312,26 +412,30 @@ def join_classes(docs: DataFrame, width: int = 5, percent: int = 80, note: Calla
     work = Workspace(spark, "ngram-join")
     levels = spark.sparkContext.broadcast(frequent_tokens(docs, width))
     base = work.write(base_table(docs, width, percent, levels), "base")
-    bucket = Window.partitionBy("token", "part")
-    index = base.where(F.size("prefix") > 0).select("node", "n", F.inline("prefix"))
-    index = index.withColumn("lo", F.min("node").over(bucket)).withColumn("hi", F.max("node").over(bucket))
-    # A frequent token's part may hold one node and still meet the others.
-    shared = work.write(index.where("lo != hi OR part > 0").select("token", "part", "node", "n"), "shared")
+    shared = work.write(index_table(base), "shared")
     owners = base.select("node", "doc_id").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     owners = work.write(owners, "owners")
     sets = work.write(moved_sets(docs, owners, width), "sets")
     labels: DataFrame | None = None
 
-    def settle(pairs: DataFrame, name: str) -> bool:
-        """Verify pairs, join the links into the components; whether there were any pairs."""
-        nonlocal labels
+    def settle(pairs: DataFrame, name: str) -> float:
+        """Verify pairs and join the links into the components; the share of pairs that link."""
         pairs = work.write(pairs, f"pairs-{name}")
         n = pairs.count()
         if not n:
-            return False
-        links = work.write(verify(pairs, sets, levels, percent), f"links-{name}")
+            return 0.0
+        m = merge(verify(pairs, sets, levels, percent), name)
         if note:
-            note(name, (n, links.count()))
+            note(name, (n, m))
+        work.drop(f"pairs-{name}")
+        return m / n
+
+    def merge(links: DataFrame, name: str) -> int:
+        nonlocal labels
+        links = work.write(links, f"links-{name}")
+        m = links.count()
+        if not m:
+            return 0
         ends = _labelled(_labelled(links, labels, "a", "ra"), labels, "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         roots = components(ends, work, f"roots-{name}")
         if labels is None:
@@ -339,21 +443,35 @@ def join_classes(docs: DataFrame, width: int = 5, percent: int = 80, note: Calla
         else:
             moved = labels.join(roots.select(F.col("node").alias("root"), F.col("root").alias("_new")), "root", "left").select("node", F.coalesce("_new", "root").alias("root"))
             labels = work.write(moved.union(roots), f"labels-{name}")
-        work.drop(f"pairs-{name}")
-        return True
-
-    for turn in range(ROUNDS):
-        if not settle(star_pairs(shared, labels, turn, percent), str(turn)):
+        work.drop(f"links-{name}")
+        return m
+
+    settle(small_pairs(shared, percent), "small")
+    has = shared.groupBy("node").agg(F.count(F.lit(1)).alias("all"))
+    large = work.write(shared.where("large").select("token", "part", "node", "n").join(has, "node"), "large")
+    for at in range(ROUNDS):
+        if settle(star_pairs(large, labels, range(at * PARTNERS, (at + 1) * PARTNERS), percent), str(at)) < GAIN:
             break
-    settle(cross_pairs(shared, labels, percent), "rest")
+    m = merge(block_links(large, labels, sets, levels, percent), "blocks")
+    if note:
+        note("blocks", m)
 
     nodes = base.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     found = _labelled(nodes, labels, "node", "root")
     roots = found.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("rows")).where("rows > 1")
-    named = found.join(roots, "root").select("node", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = base.select("doc_id", "node", F.col("n").cast("long").alias("n_shingles"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)).cast("int").alias("salt"))
-    return rows.join(named.withColumn("in", F.lit(1)), ["node", "salt"], "left").select("doc_id", "n_shingles", F.when(F.col("in") == 1, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = found.join(roots, "root").select("node", "root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = base.select("doc_id", "text_key", "node", F.col("n").cast("long").alias("n_shingles"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)).cast("int").alias("salt"))
+    component = F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return rows.join(named, ["node", "salt"], "left").select("doc_id", "n_shingles", component, "text_key", "root")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs without near copies: of each class the row with the smallest doc_id stays (null last)."""
+    rows = join_classes(docs, width, percent)
+    first = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_key")
+    chosen = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(first).alias("k")).select("k.doc_id", "k.text_key", F.lit(True).alias("once"))
+    return keep_rows(docs, rows.where("root IS NULL").select("doc_id", "text_key", F.lit(False).alias("once")).union(chosen))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_classes(documents(spark, sf_dir), width=4, percent=85)
+    return join_classes(documents(spark, sf_dir), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
