@@ -16,10 +16,16 @@ rows; extra columns are not read; very long texts have one row of pieces each, o
 
 from __future__ import annotations
 
+import json
+import os
+import string
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +33,8 @@ from gridweave.llm.common import Workspace, bucket_count, documents, gapless_ran
 
 WINDOW = 2048
 END_ID = 1
-#: Words whose ids a worker remembers; the memory is emptied when it is full.
-CACHE = 300_000
+#: Words whose ids a worker remembers, about 200 bytes each; the memory is emptied when it is full.
+CACHE = 400_000
 
 
 def tokenizer_path() -> str:
@@ -37,39 +43,108 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def tokenize(path: str, end_id: int):
-    """A function for mapInArrow: (doc_id, text) to (doc_id, n, ids); ids are little-endian 16-bit, the end id last.
+class Encoder:
+    """Texts to token ids (little-endian 16-bit bytes), each distinct word encoded once as long as it is remembered.
 
-    No token of this vocabulary spans a space or line feed, so texts are split there and each distinct word is encoded
-    once. That holds for tokenizers that drop white space before the words are split.
+    No token of this vocabulary spans a space or line feed, so texts are split there. Words that are letters followed by
+    punctuation are normalised and cut here and go to the tokenizer's model alone; all others go through all of the
+    tokenizer. That holds for tokenizers that lower-case, drop white space and split words into runs of letters and runs
+    of punctuation. An apostrophe may start a contraction, and a capital sigma's lower case depends on its place.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+    TAIL = "".join(c for c in string.punctuation if c != "'")
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)
-        if model.get_vocab_size() > 1 << 16:
+        self.whole = Tokenizer.from_file(path)
+        if self.whole.get_vocab_size() > 1 << 16:
             raise ValueError("ids are stored in 16 bits")
-        known: dict[str, bytes] = {"": b""}
-        end = np.array([end_id], "<u2").tobytes()
+        parts = json.loads(self.whole.to_str())
+        split = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.letters = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": split}))
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for w, i in self.whole.get_vocab().items() if w.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {}
+
+    def _spelled(self, cores: list[str]) -> list[bytes]:
+        """Ids of each word of letters; many go to the model in one text, and a word's last token is marked as such."""
+        texts = [" ".join(cores[i : i + 1000]) for i in range(0, len(cores), 1000)]
+        ids = np.concatenate([np.array(e.ids, "<u2") for e in self.letters.encode_batch_fast(texts, add_special_tokens=False)]) if cores else np.zeros(0, "<u2")
+        ends = (2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(ends) != len(cores):
+            raise ValueError("the tokenizer doesn't mark the ends of words")
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+
+    def _learn(self, words: list[str]) -> None:
+        known, cores = self.known, self.cores
+        trimmed = pc.ascii_rtrim(pa.array(words, pa.string()), characters=self.TAIL)
+        low = pc.ascii_lower(trimmed).to_numpy(zero_copy_only=False).tolist()
+        plain = pc.and_(pc.string_is_ascii(trimmed), pc.utf8_is_alpha(trimmed)).to_numpy(zero_copy_only=False).tolist()
+        core: list[str | None] = []
+        for c, lower, ok in zip(trimmed.to_numpy(zero_copy_only=False).tolist(), low, plain, strict=True):
+            if ok:
+                core.append(lower)
+            else:
+                fine = not c.isascii() and c.isalpha() and "\u03a3" not in c and is_normalized("NFC", c) and (lower := c.lower()).isalpha()
+                core.append(lower if fine else None)
+        tails = ["" if c is None else w[len(c) :] for w, c in zip(words, core, strict=True)]
+        odd = [w for w, c in zip(words, core, strict=True) if c is None]
+        odd += set(tails).difference(known)
+        known.update(zip(odd, [array("H", e.ids).tobytes() for e in self.whole.encode_batch_fast(odd, add_special_tokens=False)], strict=True))
+        new = list(set(core).difference(cores, [None]))
+        cores.update(zip(new, self._spelled(new), strict=True))
+        known.update([(w, cores[c] + known[t]) for w, c, t in zip(words, core, tails, strict=True) if c is not None])
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts end to end, each text's followed by the end id, and the number of ids of each text."""
+        if len(self.known) > CACHE:
+            self.known, self.cores = {"": b""}, {}
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        here = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn([w for w in here if w not in self.known])
+        spelled = list(map(self.known.__getitem__, here))
+        size = np.fromiter(map(len, spelled), np.int64, len(spelled)) // 2
+        flat, begin = np.frombuffer(b"".join(spelled), "<u2"), np.cumsum(size) - size
+        which = coded.indices.to_numpy()
+        sizes = size[which]
+        at = np.cumsum(sizes)
+        ids = flat[np.repeat(begin[which] - at + sizes, sizes) + np.arange(at[-1] if len(at) else 0)]
+        ends = np.concatenate([[0], at])[words.offsets.to_numpy()[1:] - words.offsets[0].as_py()]
+        return np.insert(ids, ends, end_id), np.diff(ends, prepend=0) + 1
+
+
+def tokenize(path: str, end_id: int):
+    """A function for mapInArrow: (doc_id, text) to (doc_id, n, ids); ids are little-endian 16-bit, the end id last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import tokenizers
+
+        # A worker process serves many tasks; what it remembers of a tokenizer stays with the library's module.
+        kept = tokenizers.__dict__.setdefault("_gridweave_encoders", {})
+        encode = kept.get(path) or kept.setdefault(path, Encoder(path))
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                words = [t.replace("\n", " ").split(" ") for t in part.column("text").to_pylist()]
-                if len(known) > CACHE:
-                    known = {"": b""}
-                new = list(set().union(*words).difference(known)) if words else []
-                for w, e in zip(new, model.encode_batch(new, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u2").tobytes()
-                ids = [b"".join(map(known.__getitem__, w)) + end for w in words]
-                yield pa.record_batch([part.column("doc_id"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.large_binary() if sum(map(len, ids)) >> 31 else pa.binary())], names=["doc_id", "n", "ids"])
+            for part in bounded(batch, "text"):
+                ids, n = encode(part.column("text"), end_id)
+                offsets = np.concatenate([[0], np.cumsum(2 * n)]).astype(np.int32)
+                column = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u2"))])
+                yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), column], names=["doc_id", "n", "ids"])
 
     return run
 
 
+def bounded(batch: pa.RecordBatch, column: str, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of rows with about `most` bytes of the column each."""
+    total = pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+    rows = max(1, int(batch.num_rows * most / max(total, most)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def combinations(histogram: np.ndarray, window: int) -> np.ndarray:
     """Rows of three lengths, 0 for none, that sum to the window: pairs and triples of lengths in the histogram."""
     have = np.flatnonzero(histogram)
@@ -184,15 +259,13 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, n, ids, pieces) to one row per piece with its own ids, little-endian 32-bit."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            rows = []
-            for r in batch.slice(at, 512).to_pylist():
-                ids = np.frombuffer(r["ids"], "<u2").astype("<u4")
-                for p in r["pieces"]:
-                    rows.append((r["doc_id"], p["start"], p["length"], ids[p["start"] : p["start"] + p["length"]].tobytes(), r["n"], p["sequence_id"], p["offset"]))
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
+        for part in bounded(batch, "ids"):
+            pieces = part.column("pieces")
+            which = np.repeat(np.arange(part.num_rows), pc.list_value_length(pieces).to_numpy())
+            flat = {k: c.to_numpy() for k, c in zip(("start", "length", "sequence_id", "offset"), pieces.flatten().flatten(), strict=True)}
+            ids = [np.frombuffer(x.as_buffer(), "<u2").astype("<u4") for x in part.column("ids")]
+            own = [ids[r][s : s + n].tobytes() for r, s, n in zip(which.tolist(), flat["start"].tolist(), flat["length"].tolist(), strict=True)]
+            yield pa.record_batch([part.column("doc_id").take(pa.array(which)), pa.array(flat["start"]), pa.array(flat["length"]), pa.array(own, pa.binary()), part.column("n").take(pa.array(which)), pa.array(flat["sequence_id"]), pa.array(flat["offset"])], names=[x.split()[0] for x in PIECES.split(", ")])
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
