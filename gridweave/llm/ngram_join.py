@@ -6,13 +6,14 @@ global order. All orders put tokens that many documents share last (by powers of
 hash within a count. Order 1 finds candidates through an index of prefix tokens; the other orders and the sizes are
 checked on a candidate before its sets are compared.
 
-The index isn't turned into all pairs. Its small buckets (the nodes under one token) give pairs, a bounded number per row;
-those that share too few prefix tokens for the threshold go before any set is moved. Large buckets first pair their nodes
-with a few of them; verified links are joined into components, and further rounds pair what is left with other
-partners. Large buckets that still hold several components are then compared in blocks inside tasks, which return
-only links that join components. Pairs of one component are never compared, which loses no link that could change one.
+The index isn't turned into all pairs. Its small buckets (the nodes under one token) give pairs, a bounded number per row.
+Large buckets pair their nodes with a few of them; verified links are joined into components, and further rounds pair
+what is left with other partners. Large buckets that still hold several components are compared in blocks inside
+tasks, first by prefixes, which leaves few nodes, then by sets; tasks return only links that join components. Pairs of
+one component are never compared, which loses no link that could change one.
 
-Token sets move once, and only those of nodes in shared buckets: a bit array of bounded size tells the tasks which.
+Before any set is moved, pairs must share enough prefix tokens for the threshold. Sets come from the documents
+themselves, read again: a bit array of bounded size tells the tasks which ones to send.
 
 Edge cases: null and empty texts and texts without words have an empty set and link with nothing; shorter texts than a
 shingle are one token; repeated rows and copies are one node; a null doc_id links like any other but names no component
@@ -27,11 +28,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import Workspace, documents, keep_rows, text_key
+from gridweave.llm.common import Workspace, bounded, documents, keep_rows, text_key
 from gridweave.llm.components import components
 
 #: Tokens counted at once by a task, and how often one must occur among them to be reported.
@@ -43,13 +45,14 @@ PART = 256
 #: Global orders a candidate must pass, the index's among them.
 ORDERS = 3
 #: Large buckets, those with so many nodes in a part or several parts, are paired with a few of their nodes at a time, for
-#: so many rounds at most, while a round still links a share of its pairs.
-LARGE, PARTNERS, ROUNDS, GAIN = 16, 4, 6, 0.2
+#: so many rounds at most, while a round links a share of its pairs.
+LARGE, PARTNERS, ROUNDS, GAIN = 16, 8, 4, 0.2
 #: Nodes and tokens in a block of a large bucket.
 BLOCK_NODES, BLOCK_TOKENS = 1024, 1_000_000
 #: Least and most bits of the array that tells which sets to move.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
-WORDS_KEPT = 300_000
+#: Nodes that a task remembers to give each once.
+REMEMBERED = 300_000
 SALTS = 32
 
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]
@@ -61,29 +64,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Shingler:
-    """Texts to sorted arrays of distinct 64-bit tokens. Word hashes are remembered, up to a bound."""
-
-    def __init__(self, width: int):
-        self.width, self.known = width, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        # On bytes, lower() changes A-Z only and split() knows just the six white-space characters.
-        words = (text or "").encode().lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.known
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        width = min(self.width, len(h))
-        n = len(h) - width + 1
-        out = np.full(n, width, np.uint64)
-        for k in range(width):
-            out = _mix(out * np.uint64(_ODD[0]) + h[k : k + n])
-        return np.unique(out)
+def shingles(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """For each text its sorted distinct shingles as 64-bit tokens; a text shorter than a shingle is one token."""
+    words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
+    coded = words.flatten().dictionary_encode()
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_numpy(zero_copy_only=False)), np.uint64, len(coded.dictionary))
+    h = each[coded.indices.to_numpy()]
+    ends = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
+    some = (pc.binary_length(texts).fill_null(0).to_numpy() > 0).tolist()
+    size = len(h) - width + 1
+    full = _mix(sum(h[k : k + size] * np.uint64(_ODD[k % 4] + 2 * k) for k in range(width))) if size > 0 else h[:0]
+    begin = 0
+    empty = xxhash.xxh3_64_intdigest("")
+    for end, any_text in zip(ends.tolist(), some, strict=True):
+        n = end - begin
+        if n >= width:
+            yield np.unique(full[begin : end - width + 1])
+        elif not any_text or (n == 1 and int(h[begin]) == empty):
+            yield h[:0]  # no text, or white space only
+        else:
+            yield _mix(sum(h[begin + k : begin + k + 1] * np.uint64(_ODD[k % 4] + 2 * k) for k in range(n)) + np.uint64(n))
+        begin = end
 
 
 def need(n, percent: int):
@@ -99,8 +100,7 @@ class Levels:
     """How common a token is, as a power of two; 0 for tokens outside the table."""
 
     def __init__(self, tokens: np.ndarray, counts: np.ndarray):
-        order = np.argsort(tokens)
-        self.tokens, self.counts = tokens[order], counts[order]
+        self.tokens, self.counts = tokens, counts
         self.levels = np.log2(np.maximum(self.counts, 1)).astype(np.uint8) + np.uint8(1)
 
     def of(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,11 +137,11 @@ def linked(x: np.ndarray, y: np.ndarray, levels: Levels, percent: int) -> bool:
     return len(np.intersect1d(x, y, assume_unique=True)) >= want
 
 
-def frequent_tokens(docs: DataFrame, width: int) -> Levels:
-    """The KNOWN most frequent tokens. Tasks report tokens that occur several times among those they count at once."""
+def frequent_tokens(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The KNOWN most frequent tokens, ascending, and their counts. Tasks report tokens that occur several times among those they count at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, held, n = Shingler(width), [], 0
+        held, n = [], 0
 
         def report() -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -149,18 +149,21 @@ def frequent_tokens(docs: DataFrame, width: int) -> Levels:
             return pa.record_batch([pa.array(tokens[some].view(np.int64)), pa.array(counts[some])], names=["token", "count"])
 
         for batch in batches:
-            for text in batch.column("text"):
-                held.append(shingle(text.as_py()))
-                n += len(held[-1])
-                if n > COUNTED:
-                    yield report()
-                    held, n = [], 0
+            for part in bounded(batch, "text"):
+                for tokens in shingles(part.column("text"), width):
+                    held.append(tokens)
+                    n += len(tokens)
+                    if n > COUNTED:
+                        yield report()
+                        held, n = [], 0
         if n:
             yield report()
 
     rows = docs.select("text").mapInArrow(run, "token long, count long").groupBy("token").agg(F.sum("count").alias("count"))
     top = rows.orderBy(F.desc("count"), "token").limit(KNOWN).toArrow()
-    return Levels(top.column("token").to_numpy().view(np.uint64), top.column("count").to_numpy())
+    tokens = top.column("token").to_numpy().view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], top.column("count").to_numpy()[order]
 
 
 BASE = "doc_id long, text_key long, node long, n int, prefix array<struct<token:long,part:int>>"
@@ -173,14 +176,12 @@ def base_table(docs: DataFrame, width: int, percent: int, levels) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, seen, table = Shingler(width), set(), levels.value
+        seen, table = set(), Levels(*levels.value)
         kind = pa.list_(pa.struct([("token", pa.int64()), ("part", pa.int32())]))
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in bounded(batch, "text"):
                 nodes, sizes, lengths, tokens, parts = [], [], [], [], []
-                for text in part.column("text").to_pylist():
-                    x = shingle(text)
+                for x in shingles(part.column("text"), width):
                     node = set_hash(x) if len(x) else None
                     nodes.append(node)
                     sizes.append(len(x))
@@ -193,7 +194,7 @@ def base_table(docs: DataFrame, width: int, percent: int, levels) -> DataFrame:
                     lengths.append(len(first))
                     tokens.append(x[first])
                     parts.append(np.where(count[first] > PART, 1 + (node & 0x7FFFFFFF) % (count[first] // PART + 1), 0))
-                if len(seen) > WORDS_KEPT:
+                if len(seen) > REMEMBERED:
                     seen.clear()
                 offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
                 values = pa.StructArray.from_arrays([pa.array(np.concatenate(tokens).view(np.int64) if tokens else [], pa.int64()), pa.array(np.concatenate(parts) if parts else [], pa.int32())], ["token", "part"])
@@ -231,11 +232,10 @@ def moved_sets(docs: DataFrame, owners: DataFrame, width: int) -> DataFrame:
     array = docs.sparkSession.sparkContext.broadcast(bit_array(owners, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, marks = Shingler(width), array.value
+        marks = array.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = [shingle(t) for t in part.column("text").to_pylist()]
+            for part in bounded(batch, "text"):
+                sets = list(shingles(part.column("text"), width))
                 nodes = np.array([set_hash(x) for x in sets], np.int64)
                 bit = _bit(nodes, part.column("doc_id").to_numpy(), bits)
                 hit = [i for i in np.flatnonzero(marks[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)) if len(sets[i])]
@@ -249,7 +249,7 @@ def verify(pairs: DataFrame, sets: DataFrame, levels, percent: int) -> DataFrame
     """The pairs (a, b) that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = levels.value
+        table = Levels(*levels.value)
         for batch in batches:
             x, y = batch.column("x"), batch.column("y")
             keep = [linked(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64), table, percent) for i in range(batch.num_rows)]
@@ -323,6 +323,24 @@ def star_pairs(large: DataFrame, labels: DataFrame | None, turns: range, percent
     return best.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
 
+def prefixes(base: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, first, n): the prefixes of some nodes."""
+    rows = base.where(F.size("prefix") > 0).select("node", "n", F.col("prefix.token").alias("first"))
+    return rows.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.first("first").alias("first"), F.first("n").alias("n"))
+
+
+def sharing_pairs(pairs: DataFrame, base: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose prefixes share enough tokens."""
+    first = prefixes(base, ends(pairs))
+    x = pairs.join(first.select(F.col("node").alias("a"), F.col("first").alias("fa"), F.col("n").alias("na")), "a")
+    y = x.join(first.select(F.col("node").alias("b"), F.col("first").alias("fb"), F.col("n").alias("nb")), "b")
+    return y.where(_may_link("na", "nb", F.size(F.array_intersect("fa", "fb")), percent)).select("a", "b")
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+
+
 def mixed_buckets(large: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The rows of buckets that hold nodes of several components, with each node's component."""
     rows = _labelled(large, labels, "node", "label")
@@ -330,41 +348,81 @@ def mixed_buckets(large: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(mixed, "token")
 
 
-def block_links(large: DataFrame, labels: DataFrame | None, sets: DataFrame, levels, percent: int) -> DataFrame:
-    """(a, b): links across components in large buckets, enough of them to join what they join.
+def blocks(rows: DataFrame, size: str) -> DataFrame:
+    """Rows of buckets (token, node, n, label) dealt to blocks by node, once for each pair of blocks (p, q).
 
-    A bucket is dealt to blocks by node; each pair of blocks meets in one task. A pair is looked at under its first
-    common token only.
+    size: what of a row counts towards BLOCK_TOKENS.
     """
-    rows = mixed_buckets(large, labels).select("token", "node", "n", "label")
-    blocks = rows.groupBy("token").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    rows = rows.join(blocks, "token").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    count = rows.groupBy("token").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum(F.expr(size)) / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    rows = rows.join(count, "token").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("i", j).alias("p"), F.greatest("i", j).alias("q")))).alias("meet")
-    rows = rows.select("token", "node", "label", "i", meets).select("token", "node", "label", "i", "meet.p", "meet.q").join(sets, "node")
+    return rows.select("token", "node", "n", "label", "i", meets).select("token", "node", "n", "label", "i", "meet.p", "meet.q")
+
+
+def live_rows(mixed: DataFrame, base: DataFrame, percent: int) -> DataFrame:
+    """The rows (token, node, n, label) of mixed buckets whose node has a partner there that may link by prefixes."""
+    rows = blocks(mixed, f"n * {100 - percent} DIV 100 + 1").join(prefixes(base, mixed.select("node")).drop("n"), "node")
+
+    def run(frame):
+        first = [np.asarray(t, np.int64).view(np.uint64) for t in frame["first"]]
+        keep = np.zeros(len(frame), bool)
+        for a, partners, _, _ in promising(np.uint64(int(frame["token"].iat[0]) & 0xFFFFFFFFFFFFFFFF), frame["label"].to_numpy(), frame["i"].to_numpy(), frame["n"].to_numpy().astype(np.int64), first, percent):
+            keep[a] = True
+            keep[partners] = True
+        return frame.loc[keep, ["token", "node", "n", "label"]]
+
+    return rows.groupBy("token", "p", "q").applyInPandas(run, "token long, node long, n int, label long").distinct()
+
+
+def promising(token: np.uint64, label: np.ndarray, side: np.ndarray, n: np.ndarray, first: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each place: the later places that may link by sizes and prefixes, how much they share, and what they need.
+
+    Pairs are of different labels, on different sides (any, if all are on one), and have `token` as first common token.
+    """
+    every, order1 = np.unique(np.concatenate(first), return_inverse=True)
+    lengths = np.array([len(f) for f in first])
+    stops = np.cumsum(lengths)
+    begins = stops - lengths
+    ids = [order1[b:e] for b, e in zip(begins, stops, strict=True)]
+    here = int(np.searchsorted(every, token))
+    one_side = len(set(side.tolist())) == 1
+    rest = need(n, percent) - 1
+    rank = np.full(len(every), len(every), np.int64)
+    for a in range(len(first) - 1):
+        rank[ids[a]] = np.arange(len(ids[a]))
+        met = rank[order1[begins[a + 1] :]]
+        at = begins[a + 1 :] - begins[a + 1]
+        shared = np.add.reduceat(met < len(every), at)
+        want = overlap_needed(n[a], n[a + 1 :], percent)
+        ok = (np.minimum.reduceat(met, at) == rank[here]) & (shared >= want - np.maximum(rest[a], rest[a + 1 :])) & (want <= np.minimum(n[a], n[a + 1 :])) & (label[a + 1 :] != label[a])
+        if not one_side:
+            ok &= side[a + 1 :] != side[a]
+        rank[ids[a]] = len(every)
+        if ok.any():
+            yield a, np.flatnonzero(ok) + a + 1, shared[ok], want[ok]
 
-    def run(key, frame):
-        import pandas as pd
 
-        found = compare_block(np.uint64(int(key[0]) & 0xFFFFFFFFFFFFFFFF), frame["label"].tolist(), frame["i"].to_numpy(), [np.frombuffer(t, np.uint64) for t in frame["tokens"]], levels.value, percent)
+def block_links(live: DataFrame, sets: DataFrame, levels, percent: int) -> DataFrame:
+    """(a, b): links across components among live rows, enough of them to join what they join."""
+    rows = blocks(live, "n").join(sets, "node")
+
+    def run(frame):
+        token = np.uint64(int(frame["token"].iat[0]) & 0xFFFFFFFFFFFFFFFF)
+        found = compare_block(token, frame["label"].to_numpy(), frame["i"].to_numpy(), [np.frombuffer(t, np.uint64) for t in frame["tokens"]], Levels(*levels.value), percent)
+        out = frame[["node", "node"]].iloc[:0].set_axis(["a", "b"], axis=1)
         nodes = frame["node"].to_numpy()
-        return pd.DataFrame({"a": nodes[[a for a, _ in found]], "b": nodes[[b for _, b in found]]}, dtype="int64")
+        return out.reindex(range(len(found))).assign(a=nodes[[a for a, _ in found]], b=nodes[[b for _, b in found]]) if found else out
 
     return rows.groupBy("token", "p", "q").applyInPandas(run, "a long, b long")
 
 
-def compare_block(token: np.uint64, label: list[int], side: np.ndarray, sets: list[np.ndarray], levels: Levels, percent: int) -> list[tuple[int, int]]:
+def compare_block(token: np.uint64, label: np.ndarray, side: np.ndarray, sets: list[np.ndarray], levels: Levels, percent: int) -> list[tuple[int, int]]:
     """Pairs of places that link and join components, for pairs on different sides (any, if all are on one)."""
+    level = [levels.of(x)[0] for x in sets]
+    first = [x[prefix(x, v, 0, percent)] for x, v in zip(sets, level, strict=True)]
+    further = [[x[prefix(x, v, k, percent)] for x, v in zip(sets, level, strict=True)] for k in range(1, ORDERS)]
     n = np.array([len(x) for x in sets])
-    every, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum(n)
-    ids = [flat[e - k : e] for e, k in zip(ends, n, strict=True)]
-    level = levels.of(every)[0]
-    first = [i[prefix(x, level[i], 0, percent)] for i, x in zip(ids, sets, strict=True)]
-    order1 = np.concatenate(first)
-    begins = np.concatenate([[0], np.cumsum([len(f) for f in first])[:-1]])
-    here = int(np.searchsorted(every, token))
-    one_side = len(set(side.tolist())) == 1
-    parent = {x: x for x in label}
+    parent = {int(x): int(x) for x in label}
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -373,32 +431,14 @@ def compare_block(token: np.uint64, label: list[int], side: np.ndarray, sets: li
         return x
 
     out = []
-    rest = need(n, percent) - 1
-    rank = np.full(len(every), len(every), np.int64)
-    own = np.zeros(len(every), bool)
-    for a in range(len(sets)):
-        rank[first[a]] = np.arange(len(first[a]))
-        met = rank[order1]
-        shared = np.add.reduceat(met < len(every), begins)
-        earliest = np.minimum.reduceat(met, begins)
-        want = overlap_needed(n[a], n, percent)
-        ok = (earliest == rank[here]) & (shared >= want - np.maximum(rest[a], rest)) & (want <= np.minimum(n[a], n))
-        ok[: a + 1] = False
-        if not one_side:
-            ok &= side != side[a]
-        rank[first[a]] = len(every)
-        mine = root(label[a])
-        pairs = [b for b in np.flatnonzero(ok)[np.argsort(-shared[ok], kind="stable")] if root(label[b]) != mine]
-        if not pairs:
-            continue
-        own[ids[a]] = True
-        for b in pairs:
-            if root(label[b]) == root(label[a]):
+    for a, partners, shared, want in promising(token, label, side, n, first, percent):
+        for k in np.argsort(-shared, kind="stable"):
+            b = int(partners[k])
+            if root(int(label[b])) == root(int(label[a])):
                 continue
-            if own[ids[b]].sum() >= want[b]:
-                out.append((a, int(b)))
-                parent[root(label[b])] = root(label[a])
-        own[ids[a]] = False
+            if all(np.intersect1d(f[a], f[b], assume_unique=True).size for f in further) and len(np.intersect1d(sets[a], sets[b], assume_unique=True)) >= want[k]:
+                out.append((a, b))
+                parent[root(int(label[b]))] = root(int(label[a]))
     return out
 
 
@@ -413,48 +453,53 @@ def join_classes(docs: DataFrame, width: int = 5, percent: int = 80, note: Calla
     levels = spark.sparkContext.broadcast(frequent_tokens(docs, width))
     base = work.write(base_table(docs, width, percent, levels), "base")
     shared = work.write(index_table(base), "shared")
-    owners = base.select("node", "doc_id").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    owners = work.write(owners, "owners")
-    sets = work.write(moved_sets(docs, owners, width), "sets")
     labels: DataFrame | None = None
 
+    def sets_of(nodes: DataFrame, name: str) -> DataFrame:
+        owners = base.select("node", "doc_id").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+        return work.write(moved_sets(docs, work.write(owners, f"owners-{name}"), width), f"sets-{name}")
+
+    def merge(links: DataFrame, name: str) -> int:
+        """Join links into the components; how many there were."""
+        nonlocal labels
+        links = work.write(links, f"links-{name}")
+        m = links.count()
+        if m:
+            labelled = _labelled(_labelled(links, labels, "a", "ra"), labels, "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+            roots = components(labelled, work, f"roots-{name}")
+            if labels is None:
+                labels = roots
+            else:
+                moved = labels.join(roots.select(F.col("node").alias("root"), F.col("root").alias("_new")), "root", "left").select("node", F.coalesce("_new", "root").alias("root"))
+                labels = work.write(moved.union(roots), f"labels-{name}")
+        return m
+
     def settle(pairs: DataFrame, name: str) -> float:
         """Verify pairs and join the links into the components; the share of pairs that link."""
         pairs = work.write(pairs, f"pairs-{name}")
         n = pairs.count()
         if not n:
             return 0.0
-        m = merge(verify(pairs, sets, levels, percent), name)
+        m = merge(verify(pairs, sets_of(ends(pairs), name), levels, percent), name)
         if note:
             note(name, (n, m))
-        work.drop(f"pairs-{name}")
+        work.drop(f"sets-{name}", f"owners-{name}", f"links-{name}", f"pairs-{name}")
         return m / n
 
-    def merge(links: DataFrame, name: str) -> int:
-        nonlocal labels
-        links = work.write(links, f"links-{name}")
-        m = links.count()
-        if not m:
-            return 0
-        ends = _labelled(_labelled(links, labels, "a", "ra"), labels, "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        roots = components(ends, work, f"roots-{name}")
-        if labels is None:
-            labels = roots
-        else:
-            moved = labels.join(roots.select(F.col("node").alias("root"), F.col("root").alias("_new")), "root", "left").select("node", F.coalesce("_new", "root").alias("root"))
-            labels = work.write(moved.union(roots), f"labels-{name}")
-        work.drop(f"links-{name}")
-        return m
-
-    settle(small_pairs(shared, percent), "small")
     has = shared.groupBy("node").agg(F.count(F.lit(1)).alias("all"))
     large = work.write(shared.where("large").select("token", "part", "node", "n").join(has, "node"), "large")
     for at in range(ROUNDS):
-        if settle(star_pairs(large, labels, range(at * PARTNERS, (at + 1) * PARTNERS), percent), str(at)) < GAIN:
+        stars = work.write(star_pairs(large, labels, range(at * PARTNERS, (at + 1) * PARTNERS), percent), f"stars-{at}")
+        pairs = sharing_pairs(stars, base, percent)
+        if not at:
+            pairs = pairs.union(small_pairs(shared, percent)).distinct()
+        if settle(pairs, str(at)) < GAIN:
             break
-    m = merge(block_links(large, labels, sets, levels, percent), "blocks")
-    if note:
-        note("blocks", m)
+    live = work.write(live_rows(mixed_buckets(large, labels).select("token", "node", "n", "label").distinct(), base, percent), "live")
+    if not live.isEmpty():
+        m = merge(block_links(live, sets_of(live.select("node").distinct(), "live"), levels, percent), "blocks")
+        if note:
+            note("blocks", (live.count(), m))
 
     nodes = base.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     found = _labelled(nodes, labels, "node", "root")

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import Workspace, bucket_count, documents, gapless_rank, text_of
+from gridweave.llm.common import Workspace, bounded, bucket_count, documents, gapless_rank, text_of
 
 WINDOW = 2048
 END_ID = 1
@@ -137,14 +137,6 @@ def tokenize(path: str, end_id: int):
     return run
 
 
-def bounded(batch: pa.RecordBatch, column: str, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of rows with about `most` bytes of the column each."""
-    total = pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
-    rows = max(1, int(batch.num_rows * most / max(total, most)))
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def combinations(histogram: np.ndarray, window: int) -> np.ndarray:
     """Rows of three lengths, 0 for none, that sum to the window: pairs and triples of lengths in the histogram."""
     have = np.flatnonzero(histogram)
