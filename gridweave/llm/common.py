@@ -6,6 +6,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -92,7 +93,7 @@ def gapless_rank(df: DataFrame, group: list[str], order: list[Column], buckets:
     return numbered.join(shifts, [*group, "_bucket"]).withColumn(out, (F.col("_shift") + F.col("_place")).cast("long")).drop("_bucket", "_shift", "_place")
 
 
-def bounded(batch: pa.RecordBatch, column: str, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def bounded(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The batch in slices of rows with about `most` bytes of the column each."""
     total = pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
     rows = max(1, int(batch.num_rows * most / max(total, most)))
@@ -100,6 +101,18 @@ def bounded(batch: pa.RecordBatch, column: str, most: int = 1 << 23) -> Iterator
         yield batch.slice(at, rows)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Fewer rows in each Arrow batch of the actions within, so that batches of long texts stay small in workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_key(column: str = "text") -> Column:
     """A hash that, with the doc_id, tells rows apart without moving their texts."""
     return F.xxhash64(F.col(column))

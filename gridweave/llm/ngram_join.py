@@ -33,11 +33,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import Workspace, bounded, documents, keep_rows, text_key
+from gridweave.llm.common import Workspace, bounded, documents, keep_rows, small_batches, text_key
 from gridweave.llm.components import components
 
 #: Tokens counted at once by a task, and how often one must occur among them to be reported.
-COUNTED, REPORTED = 2_000_000, 3
+COUNTED, REPORTED = 1_000_000, 3
 #: The most frequent tokens that the orders know of, a table of at most 12 bytes each.
 KNOWN = 1 << 18
 #: Nodes for one part of a frequent token's bucket.
@@ -46,7 +46,7 @@ PART = 256
 ORDERS = 3
 #: Large buckets, those with so many nodes in a part or several parts, are paired with a few of their nodes at a time, for
 #: so many rounds at most, while a round links a share of its pairs.
-LARGE, PARTNERS, ROUNDS, GAIN = 16, 8, 4, 0.2
+LARGE, PARTNERS, ROUNDS, GAIN = 16, 8, 4, 0.6
 #: Nodes and tokens in a block of a large bucket.
 BLOCK_NODES, BLOCK_TOKENS = 1024, 1_000_000
 #: Least and most bits of the array that tells which sets to move.
@@ -285,9 +285,13 @@ def _may_link(a: str, b: str, shared: Column, percent: int) -> Column:
     rest. So a linked pair shares at least overlap_needed - max(rest) tokens of both prefixes.
     """
     a, b = F.col(a), F.col(b)
+    return (a * percent <= b * 100) & (b * percent <= a * 100) & (shared >= _fewest(a, b, percent))
+
+
+def _fewest(a: Column, b: Column, percent: int) -> Column:
+    """Fewest tokens that prefixes of linked sets of sizes a and b share. In b it rises up to a, then falls."""
     rest = F.floor((F.greatest(a, b) * percent + 99) / 100) - 1
-    want = F.floor((percent * (a + b) + (99 + percent)) / (100 + percent))
-    return (a * percent <= b * 100) & (b * percent <= a * 100) & (shared >= want - rest)
+    return F.floor((percent * (a + b) + (99 + percent)) / (100 + percent)) - rest
 
 
 def small_pairs(shared: DataFrame, percent: int) -> DataFrame:
@@ -309,14 +313,14 @@ def star_pairs(large: DataFrame, labels: DataFrame | None, turns: range, percent
 
     The partner of a bucket's part is the node of least hash in that turn; parts of one token meet by their partners.
     """
-    turn = F.explode(F.array(*[F.lit(t) for t in turns])).alias("turn")
-    rows = mixed_buckets(large, labels).select("*", turn)
-    rows = rows.withColumn("who", F.struct(F.xxhash64("turn", "node").alias("d"), "node", "n", "all", "label"))
-    partner = rows.groupBy("turn", "token", "part").agg(F.min("who").alias("with"))
-    over = partner.groupBy("turn", "token").agg(F.min("with").alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    inside = rows.join(partner, ["turn", "token", "part"]).select("turn", "node", "n", "all", "label", "with")
-    across = partner.join(over, ["turn", "token"]).select("turn", "with.node", "with.n", "with.all", "with.label", F.col("top").alias("with"))
-    met = inside.union(across).where(F.col("label") != F.col("with.label"))
+    rows = mixed_buckets(large, labels, percent)
+    who = [F.min(F.struct(F.xxhash64(F.lit(t), "node").alias("d"), "node", "n", "all", "label")).alias(f"w{t}") for t in turns]
+    partner = rows.groupBy("token", "part").agg(*who)
+    over = partner.groupBy("token").agg(*[F.min(f"w{t}").alias(f"t{t}") for t in turns], F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    each = lambda own: F.inline(F.array(*[F.struct(F.lit(t).alias("turn"), *own(t)) for t in turns]))
+    inside = rows.join(partner, ["token", "part"]).select("node", "n", "all", "label", each(lambda t: [F.col(f"w{t}").alias("with")]))
+    across = partner.join(over, "token").select(each(lambda t: [F.col(f"w{t}").alias("one"), F.col(f"t{t}").alias("with")])).select("one.node", "one.n", "one.all", "one.label", "turn", "with")
+    met = inside.unionByName(across).where(F.col("label") != F.col("with.label"))
     met = met.select("turn", "node", "n", "all", F.col("with.node").alias("other"), F.col("with.n").alias("m"), F.col("with.all").alias("all2"))
     counted = met.where(_may_link("n", "m", F.least("all", "all2"), percent)).groupBy("turn", "node", "other").agg(F.count(F.lit(1)).alias("c"))
     best = counted.groupBy("turn", "node").agg(F.max(F.struct("c", "other"))["other"].alias("b"))
@@ -341,11 +345,22 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
 
-def mixed_buckets(large: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The rows of buckets that hold nodes of several components, with each node's component."""
+def mixed_buckets(large: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """The rows of large buckets that may have a partner of another component there, with each node's component.
+
+    Sizes fall into classes whose bounds differ by the least ratio of linked sets, so partners are in the same class or
+    the next. A row needs another component in a class it can meet, and enough shared tokens for some size found there.
+    """
     rows = _labelled(large, labels, "node", "label")
-    mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("token")
-    return rows.join(mixed, "token")
+    own = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9)
+    near = rows.withColumn("class", F.explode(F.array(own, own + 1)))
+    near = near.groupBy("token", "class").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most")).where("lo != hi")
+    rows = rows.withColumn("class", F.explode(F.array(own, own + 1))).join(near, ["token", "class"])
+    n = F.col("n")
+    most = F.least("most", F.floor(n * 100 / percent))
+    least = F.greatest("least", F.ceil(n * percent / 100))
+    fewest = F.least(_fewest(n, most, percent), _fewest(n, least, percent))
+    return rows.where(F.col("all") >= fewest).select("token", "part", "node", "n", "all", "label").distinct()
 
 
 def blocks(rows: DataFrame, size: str) -> DataFrame:
@@ -363,15 +378,17 @@ def live_rows(mixed: DataFrame, base: DataFrame, percent: int) -> DataFrame:
     """The rows (token, node, n, label) of mixed buckets whose node has a partner there that may link by prefixes."""
     rows = blocks(mixed, f"n * {100 - percent} DIV 100 + 1").join(prefixes(base, mixed.select("node")).drop("n"), "node")
 
-    def run(frame):
-        first = [np.asarray(t, np.int64).view(np.uint64) for t in frame["first"]]
-        keep = np.zeros(len(frame), bool)
-        for a, partners, _, _ in promising(np.uint64(int(frame["token"].iat[0]) & 0xFFFFFFFFFFFFFFFF), frame["label"].to_numpy(), frame["i"].to_numpy(), frame["n"].to_numpy().astype(np.int64), first, percent):
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        first = [np.asarray(t.values).view(np.uint64) for t in rows.column("first").chunk(0)]
+        label, side, n = (rows.column(c).to_numpy() for c in ("label", "i", "n"))
+        keep = np.zeros(len(first), bool)
+        for a, partners, _, _ in promising(np.uint64(rows.column("token")[0].as_py() & 0xFFFFFFFFFFFFFFFF), label, side, n.astype(np.int64), first, percent):
             keep[a] = True
             keep[partners] = True
-        return frame.loc[keep, ["token", "node", "n", "label"]]
+        return rows.select(["token", "node", "n", "label"]).filter(pa.array(keep))
 
-    return rows.groupBy("token", "p", "q").applyInPandas(run, "token long, node long, n int, label long").distinct()
+    return rows.groupBy("token", "p", "q").applyInArrow(run, "token long, node long, n int, label long").distinct()
 
 
 def promising(token: np.uint64, label: np.ndarray, side: np.ndarray, n: np.ndarray, first: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -406,14 +423,15 @@ def block_links(live: DataFrame, sets: DataFrame, levels, percent: int) -> DataF
     """(a, b): links across components among live rows, enough of them to join what they join."""
     rows = blocks(live, "n").join(sets, "node")
 
-    def run(frame):
-        token = np.uint64(int(frame["token"].iat[0]) & 0xFFFFFFFFFFFFFFFF)
-        found = compare_block(token, frame["label"].to_numpy(), frame["i"].to_numpy(), [np.frombuffer(t, np.uint64) for t in frame["tokens"]], Levels(*levels.value), percent)
-        out = frame[["node", "node"]].iloc[:0].set_axis(["a", "b"], axis=1)
-        nodes = frame["node"].to_numpy()
-        return out.reindex(range(len(found))).assign(a=nodes[[a for a, _ in found]], b=nodes[[b for _, b in found]]) if found else out
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        token = np.uint64(rows.column("token")[0].as_py() & 0xFFFFFFFFFFFFFFFF)
+        sets = [np.frombuffer(t.as_buffer(), np.uint64) for t in rows.column("tokens").chunk(0)]
+        found = compare_block(token, rows.column("label").to_numpy(), rows.column("i").to_numpy(), sets, Levels(*levels.value), percent)
+        nodes = rows.column("node").to_numpy()
+        return pa.table({"a": pa.array(nodes[[a for a, _ in found]], pa.int64()), "b": pa.array(nodes[[b for _, b in found]], pa.int64())})
 
-    return rows.groupBy("token", "p", "q").applyInPandas(run, "a long, b long")
+    return rows.groupBy("token", "p", "q").applyInArrow(run, "a long, b long")
 
 
 def compare_block(token: np.uint64, label: np.ndarray, side: np.ndarray, sets: list[np.ndarray], levels: Levels, percent: int) -> list[tuple[int, int]]:
@@ -448,6 +466,12 @@ def join_classes(docs: DataFrame, width: int = 5, percent: int = 80, note: Calla
 
     note: is told the rows of each step, for tests and tuning.
     """
+    spark = docs.sparkSession
+    with small_batches(spark):
+        return _join_classes(docs, width, percent, note or (lambda *_: None))
+
+
+def _join_classes(docs: DataFrame, width: int, percent: int, note: Callable[[str, object], None]) -> DataFrame:
     spark = docs.sparkSession
     work = Workspace(spark, "ngram-join")
     levels = spark.sparkContext.broadcast(frequent_tokens(docs, width))
@@ -481,8 +505,7 @@ def join_classes(docs: DataFrame, width: int = 5, percent: int = 80, note: Calla
         if not n:
             return 0.0
         m = merge(verify(pairs, sets_of(ends(pairs), name), levels, percent), name)
-        if note:
-            note(name, (n, m))
+        note(name, (n, m))
         work.drop(f"sets-{name}", f"owners-{name}", f"links-{name}", f"pairs-{name}")
         return m / n
 
@@ -495,11 +518,10 @@ def join_classes(docs: DataFrame, width: int = 5, percent: int = 80, note: Calla
             pairs = pairs.union(small_pairs(shared, percent)).distinct()
         if settle(pairs, str(at)) < GAIN:
             break
-    live = work.write(live_rows(mixed_buckets(large, labels).select("token", "node", "n", "label").distinct(), base, percent), "live")
+    live = work.write(live_rows(mixed_buckets(large, labels, percent).select("token", "node", "n", "label").distinct(), base, percent), "live")
     if not live.isEmpty():
         m = merge(block_links(live, sets_of(live.select("node").distinct(), "live"), levels, percent), "blocks")
-        if note:
-            note("blocks", (live.count(), m))
+        note("blocks", (live.count(), m))
 
     nodes = base.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     found = _labelled(nodes, labels, "node", "root")
