@@ -46,7 +46,7 @@ PART = 256
 ORDERS = 3
 #: Large buckets, those with so many nodes in a part or several parts, are paired with a few of their nodes at a time, for
 #: so many rounds at most, while a round links a share of its pairs.
-LARGE, PARTNERS, ROUNDS, GAIN = 16, 8, 4, 0.6
+LARGE, PARTNERS, ROUNDS, GAIN = 64, 8, 4, 0.6
 #: Nodes and tokens in a block of a large bucket.
 BLOCK_NODES, BLOCK_TOKENS = 1024, 1_000_000
 #: Least and most bits of the array that tells which sets to move.
