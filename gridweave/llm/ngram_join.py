@@ -409,7 +409,7 @@ def promising(token: np.uint64, label: np.ndarray, side: np.ndarray, n: np.ndarr
         rank[ids[a]] = np.arange(len(ids[a]))
         met = rank[order1[begins[a + 1] :]]
         at = begins[a + 1 :] - begins[a + 1]
-        shared = np.add.reduceat(met < len(every), at)
+        shared = np.add.reduceat((met < len(every)).astype(np.int64), at)
         want = overlap_needed(n[a], n[a + 1 :], percent)
         ok = (np.minimum.reduceat(met, at) == rank[here]) & (shared >= want - np.maximum(rest[a], rest[a + 1 :])) & (want <= np.minimum(n[a], n[a + 1 :])) & (label[a + 1 :] != label[a])
         if not one_side:
