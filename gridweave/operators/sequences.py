@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,7 +15,7 @@ def merge_intervals(df: DataFrame, group: list[str], low: str, high: str, value:
     return rows.groupBy(*group, "island").agg(F.min(low).alias(low), F.max(high).alias(high), F.max(value).alias(value))
 
 
-def runs(df: DataFrame, group: list[str], order: list[Column], key: str, length: str) -> DataFrame:
+def runs(df: DataFrame, group: list[str], order: list[str], key: str, length: str) -> DataFrame:
     """Runs of equal key along an ordered group, with their lengths."""
     w = Window.partitionBy(*group).orderBy(*order)
     change = F.when(F.lag(key).over(w).eqNullSafe(F.col(key)), 0).otherwise(1)
@@ -23,7 +23,7 @@ def runs(df: DataFrame, group: list[str], order: list[Column], key: str, length:
     return rows.groupBy(*group, "run", key).agg(F.sum(length).alias("total"))
 
 
-def stations(df: DataFrame, group: list[str], order: list[Column], length: str) -> DataFrame:
+def stations(df: DataFrame, group: list[str], order: list[str], length: str) -> DataFrame:
     """Each row with where it begins along its group."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("station", F.coalesce(F.sum(length).over(w), F.lit(0)).cast("long"))

@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 
 
 BANDS = D.values(D.CHAMBER_COSTS)
-KEY = [F.col("line"), F.col("part"), F.col("supplier"), F.col("shipped")]
+KEY = ["line", "part", "supplier", "shipped"]
 
 # Projections
 
