@@ -174,7 +174,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> Ensemble:
 
 def score_documents(docs: DataFrame, ensemble: Ensemble, threshold: float = 0.7) -> DataFrame:
     """docs with score and predicted (1 at the threshold or above)."""
-    scored = statistics(docs).withColumn("score", ensemble.column()).drop("_s")
+    # Nothing is added, but a term that isn't deterministic keeps filters on the score above the statistics, which would
+    # else be worked out for every rule.
+    scored = statistics(docs).withColumn("score", ensemble.column() + F.monotonically_increasing_id() * F.lit(0.0)).drop("_s")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
