@@ -2,33 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridweave.functions import catalogue as C
 from gridweave.operators import sequences, spatial, trees
+from gridweave.plans.base import QUERIES, SQL, query
 from gridweave.sources import dimensions as D
 from gridweave.sources import scene
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name; sql may use the scene's tables."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            recursive = "RECURSIVE " if "UNION ALL" in sql and "RECURSION" in sql else ""
-            SQL[f.__name__] = f"WITH {recursive}{scene.SCENE_SQL}{sql}".replace("/*RECURSION*/", "")
-        return f
-
-    return add
-
-
 BANDS = D.values(D.CHAMBER_COSTS)
 KEY = ["line", "part", "supplier", "shipped"]
 
@@ -325,3 +307,6 @@ def sens_leave_one_out(spark, sf):
 
 
 FLAGSHIP = agg_variant_cost
+
+# These modules register their queries when imported.
+from gridweave.plans import depth_queries, geometry_queries, result_queries  # noqa: E402, F401
