@@ -8,6 +8,7 @@ add up towards the tie-in and decide diameters, which never fall on the way up.
 from __future__ import annotations
 
 import heapq
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -122,30 +123,66 @@ def sizes(parent: dict[int, int], flows: dict[int, float], lengths: dict[int, fl
     return total, {v: table[i][0] for v, i in step.items()}
 
 
-def plan_district(rows: pd.DataFrame) -> pd.DataFrame:
-    """The routes of one district from its rows (kind, id, x, y, x1, y1, flow), in metres."""
+@dataclass
+class District:
+    """The graph of a district; nodes are tie-in points and terminals, then corners."""
+
+    points: np.ndarray
+    names: list[str]
+    roots: list[int]
+    terminals: list[int]
+    flows: dict[int, float]
+    weights: np.ndarray
+
+
+def district(rows: pd.DataFrame) -> District:
+    """From rows (kind, id, x, y, x1, y1, flow), in metres."""
     rows = rows.sort_values(["kind", "id"], kind="stable")
     boxes = rows[rows.kind == "box"][["x", "y", "x1", "y1"]].to_numpy(float).reshape(-1, 4)
     ends = rows[rows.kind != "box"]
-    corners = np.concatenate([boxes[:, c] for c in ([0, 1], [2, 1], [2, 3], [0, 3])]) if len(boxes) else np.empty((0, 2))
+    corners = np.concatenate([boxes[:, c] for c in ([0, 1], [2, 1], [2, 3], [0, 3])])
     points = np.concatenate([ends[["x", "y"]].to_numpy(float).reshape(-1, 2), corners])
     names = [f"{k}:{i}" for k, i in zip(ends.kind, ends.id, strict=True)] + [f"corner:{i}" for i in range(len(corners))]
-    roots = [i for i, k in enumerate(ends.kind) if k == "tie"]
     terminals = [i for i, k in enumerate(ends.kind) if k == "terminal"]
-    weights = visibility_graph(points, boxes)
-    parent = grow(weights, roots, terminals)
-    lengths = {v: float(weights[v, u]) for v, u in parent.items() if u >= 0}
-    flows = {i: float(f) for i, (k, f) in enumerate(zip(ends.kind, ends.flow, strict=True)) if k == "terminal"}
-    total, dn = sizes(parent, flows, lengths)
-    price = {r[0]: r[3] for r in D.DIAMETERS}
-    edges = [(u, v) for v, u in parent.items() if u >= 0]
-    out = [
-        (int(rows.district.iloc[0]), n, names[u], names[v], *points[u], *points[v], round(total[v], 3), dn[v], round(lengths[v], 2), float(np.floor(lengths[v] * price[dn[v]] + 0.5)))
-        for n, (u, v) in enumerate(edges)
-    ]
+    flows = {i: float(ends.flow.iloc[i]) for i in terminals}
+    roots = [i for i, k in enumerate(ends.kind) if k == "tie"]
+    # Without both ends nothing is built, so sight isn't worked out.
+    weights = visibility_graph(points, boxes) if roots and terminals else np.full((len(points), len(points)), np.inf)
+    return District(points, names, roots, terminals, flows, weights)
+
+
+PRICE = {r[0]: r[3] for r in D.DIAMETERS}
+
+
+def routes(d: District, terminals: list[int]) -> list[tuple]:
+    """(from, to, flow, diameter, length, cost) of the edges that serve the terminals."""
+    parent = grow(d.weights, d.roots, terminals)
+    lengths = {v: float(d.weights[v, u]) for v, u in parent.items() if u >= 0}
+    total, dn = sizes(parent, {t: d.flows[t] for t in terminals}, lengths)
+    return [(u, v, round(total[v], 3), dn[v], round(lengths[v], 2), float(np.floor(lengths[v] * PRICE[dn[v]] + 0.5))) for v, u in parent.items() if u >= 0]
+
+
+def plan_district(rows: pd.DataFrame) -> pd.DataFrame:
+    d = district(rows)
+    out = [(int(rows.district.iloc[0]), n, d.names[u], d.names[v], *d.points[u], *d.points[v], *rest) for n, (u, v, *rest) in enumerate(routes(d, d.terminals))]
     return pd.DataFrame(out, columns=[c.split()[0] for c in ROUTES.split(", ")])
 
 
+def sensitivity_district(rows: pd.DataFrame) -> pd.DataFrame:
+    """The district planned whole and without each terminal; what one sees doesn't change, so the graph is built once."""
+    d = district(rows)
+
+    def sums(terminals: list[int]) -> np.ndarray:
+        return np.sum([r[4:] for r in routes(d, terminals)] or [(0.0, 0.0)], axis=0)
+
+    whole = sums(d.terminals) if d.terminals else None
+    out = []
+    for t in d.terminals:
+        length, cost = whole - sums([u for u in d.terminals if u != t])
+        out.append((int(rows.district.iloc[0]), int(d.names[t].split(":")[1]), float(cost), round(float(length), 2)))
+    return pd.DataFrame(out, columns=["district", "terminal", "adds_cost", "adds_length"])
+
+
 def plan(rows: DataFrame) -> DataFrame:
     """Routes of every district in rows (district, kind: tie, terminal or box, id, x, y, x1, y1, flow).
 
@@ -161,12 +198,6 @@ def unconnected(rows: DataFrame, routes: DataFrame) -> DataFrame:
     return t.join(reached, ["district", "node"], "left_anti").select("district", "id", "flow", (D.PENALTY + D.PENALTY_PER_FLOW * F.col("flow")).alias("penalty"))
 
 
-def without_each(rows: DataFrame) -> DataFrame:
-    """The scene of each district once whole (left_out null) and once without each terminal, as districts of their own.
-
-    Rows grow with terminals times the rows of their district; all runs are planned side by side.
-    """
-    t = rows.where("kind = 'terminal'").select("district", F.col("id").alias("left_out"))
-    runs = rows.select("district").distinct().withColumn("left_out", F.lit(None).cast("long")).unionByName(t)
-    r = rows.join(runs, "district").where("left_out IS NULL OR kind <> 'terminal' OR id <> left_out")
-    return r.withColumn("run", F.struct("district", "left_out")).withColumn("district", F.xxhash64("district", F.coalesce("left_out", F.lit(-1))))
+def sensitivity(rows: DataFrame) -> DataFrame:
+    """(district, terminal, adds_cost, adds_length): each district planned anew without each terminal."""
+    return rows.groupBy("district").applyInPandas(sensitivity_district, "district long, terminal long, adds_cost double, adds_length double")

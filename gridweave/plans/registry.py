@@ -309,4 +309,4 @@ def sens_leave_one_out(spark, sf):
 FLAGSHIP = agg_variant_cost
 
 # These modules register their queries when imported.
-from gridweave.plans import depth_queries, geometry_queries, result_queries  # noqa: E402, F401
+from gridweave.plans import depth_queries, geometry_queries, result_queries, route_queries  # noqa: E402, F401

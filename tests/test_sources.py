@@ -131,8 +131,11 @@ def test_plan(spark):
         assert np.isclose(np.hypot(r.x1 - r.x0, r.y1 - r.y0), r.length, atol=0.01)
         assert {d[0]: d[1] for d in D.DIAMETERS}[r.dn] >= r.flow and abs(r.cost - r.length * price[r.dn]) < 0.006 * price[r.dn]
     assert np.isclose(got[got.from_node == "tie:1"].flow.sum(), 42.5)
-    runs = routing.plan(routing.without_each(df.where("district = 1"))).toPandas()
-    assert runs.district.nunique() == 3
+    adds = {r.terminal: r.adds_cost for r in routing.sensitivity(df).collect()}
+    assert set(adds) == {1, 2, 9} and adds[9] == 0
+    for left in (1, 2):
+        rest = routing.plan(df.where(f"district = 1 AND NOT (kind = 'terminal' AND id = {left})")).agg(F.sum("cost")).first()[0]
+        assert np.isclose(adds[left], got.cost.sum() - rest)
 
 
 def test_diameters_never_fall_and_runs_keep_limits():
