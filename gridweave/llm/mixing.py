@@ -6,8 +6,14 @@ of a number of shards, and each such line is cut into blocks of equal tokens. Sa
 quotients w / (2k + 1)) gives every source a whole number of blocks, and each source's blocks to its shards. Within a
 shard, whole passes take all blocks and a seeded choice takes the rest once more.
 
+Whole documents: groups of about GROUP documents of a source take their blocks' words as whole documents. The longest
+come first; each rounds its words and the remainder so far up or down by a seeded draw and carries the rest on, so a
+group ends within about its shortest document of its quota, and length alone decides nothing. Where a few documents
+hold most of a group's words, no whole numbers may come nearer than a share of one of them.
+
 The driver holds one row per (source, shard): sources times at most 4096 numbers; sources are a configured list, not a
-key that grows with the rows. Documents are never gathered: positions are running sums in (source, shard).
+key that grows with the rows. Documents are never gathered: positions are running sums in (source, shard), and groups
+hold numbers, not texts. Texts move once, to meet their numbers by a 64-bit hash of id and text.
 
 Edge cases: null and empty texts have size 0 and take nothing; a null source is a source of its own, last in order;
 sources without words have target 0; repeated rows count each by itself; an empty table gives no rows; extra columns
@@ -16,14 +22,19 @@ pass through in apportion_documents.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import bucket_count, documents, word_count
+from gridweave.llm.common import Workspace, bucket_count, documents, word_count
 
 #: Words in a block.
 BLOCK = 64
+#: Documents in a group that takes whole documents, on average.
+GROUP = 4096
 
 
 def targets(sizes: list[int], weights: list[float], share: float, cap: float) -> list[float]:
@@ -98,25 +109,76 @@ def _covered(start: Column, size: Column, words: Column, blocks: Column, passes:
     return F.when(size > 0, passes * size + F.when(extra > 0, part).otherwise(F.lit(0))).otherwise(F.lit(0)).cast("long")
 
 
-def apportion_documents(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = BLOCK, seed: int = 11, keep: list[str] | None = None) -> DataFrame:
+def whole_times(sizes: np.ndarray, taken: np.ndarray, draws: np.ndarray, most: int) -> np.ndarray:
+    """How often each document comes whole, 0 to most, so that all together have the words taken. Longest first is nearest.
+
+    A draw in [0, 1) decides between the whole numbers around a document's words and the remainder carried to it, unless
+    what would be left is more than the later documents can take, or less than nothing.
+    """
+    out = np.zeros(len(sizes), np.int64)
+    left, rest, carried = int(taken.sum()), int(sizes.sum()), 0
+    for i, (s, q, u) in enumerate(zip(sizes.tolist(), taken.tolist(), draws.tolist(), strict=True)):
+        if not s:
+            continue
+        rest -= s
+        low, high = -((most * rest - left) // s), left // s
+        if low <= high:
+            t = min(max(math.floor((q + carried) / s + u), low), high)
+        else:  # none leaves what the later ones can take; the nearer one
+            t = low if low * s - left < left - high * s - most * rest else high
+        out[i] = t = min(max(t, 0), most)
+        left -= t * s
+        carried += q - t * s
+    return out
+
+
+def apportion_documents(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = BLOCK, seed: int = 11, keep: list[str] | None = None, whole: bool = True) -> DataFrame:
     """docs with size, source_size, target and taken. weights repeat over the sources by code point, null last.
 
     keep: the columns of docs to carry along (all where None); a long text that nobody needs is then not moved.
+    whole: whether documents are taken whole; else taken counts the words of the blocks that are.
     """
     keep = docs.columns if keep is None else keep
     docs = docs.drop("size", "source_size", "target", "taken")
-    rows = docs.withColumn("size", word_count())
-    spark = docs.sparkSession
+    carried = [x for x in dict.fromkeys([*keep, "doc_id"]) if x in docs.columns]
+    identity = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    rows = docs.withColumn("size", word_count()).withColumn("_h", identity)
+    numbers = ["size", "source_size", "target", "taken"]
+    if not whole:
+        return _placed(rows, carried, weights, share, cap, block, seed).select(*carried, *numbers)
+    slim = Workspace(docs.sparkSession, "mixing").write(rows.select("doc_id", "source", "size", "_h"), "sizes")
+    placed = _placed(slim, ["doc_id"], weights, share, cap, block, seed)
+    most = int(cap)
+
+    def run(rows: pa.Table) -> pa.Table:
+        size, h = rows.column("size").to_numpy(), rows.column("_h").to_numpy()
+        order = np.lexsort((h, -size))
+        draws = rows.column("_draw").to_numpy()[order]
+        times = whole_times(size[order], rows.column("taken").to_numpy()[order], draws, most)
+        return rows.select(["_h", "size", "source_size", "target"]).take(pa.array(order)).append_column("times", pa.array(times))
+
+    group = F.pmod(F.xxhash64("_h", F.lit(seed + 2)), F.col("_groups")).alias("_group")
+    draw = (F.pmod(F.xxhash64("_h", F.lit(seed + 3)), F.lit(1 << 30)) / (1 << 30)).alias("_draw")
+    chosen = placed.select("_s", group, "_h", draw, *numbers).groupBy("_s", "_group").applyInArrow(run, "_h long, size long, source_size long, target double, times long")
+    # Repeated rows share their times evenly.
+    each = chosen.groupBy("_h").agg(*[F.first(x).alias(x) for x in numbers[:3]], F.sum("times").alias("_t"), F.count(F.lit(1)).alias("_k"))
+    numbered = docs.select(*carried, identity.alias("_h")).withColumn("_n", F.row_number().over(Window.partitionBy("_h").orderBy(F.lit(1))))
+    taken = F.col("size") * (F.floor(F.col("_t") / F.col("_k")) + (F.col("_n") <= F.col("_t") % F.col("_k")).cast("long"))
+    return numbered.join(each, "_h").withColumn("taken", taken.cast("long")).select(*carried, *numbers)
+
+
+def _placed(rows: DataFrame, carried: list[str], weights: list[float], share: float, cap: float, block: int, seed: int) -> DataFrame:
+    """The carried columns of rows (source, size, _h) with source_size, target, the words taken by blocks, and how many groups the source has."""
+    spark = rows.sparkSession
     found = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
     found = sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [int(r["n"]) for r in found]
     per = [float(weights[i % len(weights)]) for i in range(len(found))]
     wanted = targets(sizes, per, share, cap) if found else []
     shards = bucket_count(sum(r["rows"] for r in found), 200)
-    names = spark.createDataFrame([(r["source"], i, sizes[i], wanted[i]) for i, r in enumerate(found)], "source string, _s int, source_size long, target double")
+    names = spark.createDataFrame([(r["source"], i, sizes[i], wanted[i], -(-r["rows"] // GROUP)) for i, r in enumerate(found)], "source string, _s int, source_size long, target double, _groups long")
     rows = rows.join(F.broadcast(names.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    identity = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    rows = rows.withColumn("_h", identity).withColumn("_shard", F.pmod(F.xxhash64("_h", F.lit(seed + 1)), F.lit(shards)).cast("int"))
+    rows = rows.withColumn("_shard", F.pmod(F.xxhash64("_h", F.lit(seed + 1)), F.lit(shards)).cast("int"))
 
     lines = rows.groupBy("_s", "_shard").agg(F.sum("size").alias("words")).where("words > 0").orderBy("_s", "_shard").collect()
     blocks = [max(1, round(r["words"] / block)) for r in lines]
@@ -131,13 +193,12 @@ def apportion_documents(docs: DataFrame, weights: list[float] = (3, 1, 2), share
     table = spark.createDataFrame(plan, "_s int, _shard int, _words long, _blocks long, _passes long, _extra long, _a long, _b long")
 
     line = Window.partitionBy("_s", "_shard").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    carried = [x for x in dict.fromkeys([*keep, "doc_id"]) if x in docs.columns]
-    placed = rows.select(*carried, "size", "source_size", "target", "_s", "_shard", "_h").withColumn("_start", F.coalesce(F.sum("size").over(line), F.lit(0)))
+    placed = rows.select(*carried, "size", "source_size", "target", "_s", "_shard", "_h", "_groups").withColumn("_start", F.coalesce(F.sum("size").over(line), F.lit(0)))
     placed = placed.join(table, ["_s", "_shard"], "left")
     c = F.col
     taken = _covered(c("_start"), c("size"), c("_words"), c("_blocks"), c("_passes"), c("_extra"), c("_a"), c("_b"))
     placed = placed.withColumn("taken", F.coalesce(taken, F.lit(0)).cast("long"))
-    return placed.drop("_s", "_shard", "_h", "_start", "_words", "_blocks", "_passes", "_extra", "_a", "_b")
+    return placed.drop("_shard", "_start", "_words", "_blocks", "_passes", "_extra", "_a", "_b")
 
 
 def _quotas(lines: list, blocks: list[int], wanted: list[float], sizes: list[int], cap: float) -> list[int]:
@@ -160,12 +221,12 @@ def _quotas(lines: list, blocks: list[int], wanted: list[float], sizes: list[int
 
 
 def mix(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """The mix as rows of docs: each document as often as its words are taken, to the nearest whole number of times."""
+    """The mix as rows of docs: each document as often as it is taken whole."""
     rows = apportion_documents(docs.drop("size", "source_size", "target", "taken"), weights, share, cap)
     times = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
     return rows.withColumn("_times", times).where("_times > 0").withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = apportion_documents(documents(spark, sf_dir).select("doc_id", "text", "source"), keep=["doc_id"])
+    mixed = apportion_documents(documents(spark, sf_dir).select("doc_id", "text", "source"), keep=["doc_id"], whole=False)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")

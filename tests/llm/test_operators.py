@@ -256,6 +256,36 @@ def test_mixing(spark, small, odd, none):
     assert mixing.apportion_documents(odd).count() == len(ODD) and mixing.apportion_documents(none).count() == 0
 
 
+def test_mix_meets_targets_in_whole_documents(spark, odd, none):
+    rng = np.random.default_rng(4)
+    lengths = np.minimum(rng.lognormal(5, 1, 1200).astype(int) + 1, 4000).tolist()
+    docs = docs_of(spark, [(i, " ".join(["w"] * n), None, f"s{i % 6}") for i, n in enumerate(lengths)])
+    target = {r["source"]: r["target"] for r in mixing.apportion_documents(docs).select("source", "target").distinct().collect()}
+    times = collections.Counter(r["doc_id"] for r in mixing.mix(docs).select("doc_id").collect())
+    words = collections.Counter()
+    for i, n in enumerate(lengths):
+        words[f"s{i % 6}"] += n * times[i]
+    assert all(abs(words[s] - t) <= 64 + 0.005 * t for s, t in target.items())
+    blocks = mixing.apportion_documents(docs, whole=False).groupBy("source").agg({"taken": "sum"}).collect()
+    assert all(abs(r[1] - target[r[0]]) <= 64 + 0.005 * target[r[0]] for r in blocks)
+    copies = docs_of(spark, [(1, "a b c", None, "s")] * 7 + [(2, "a b", None, "t")] * 40)
+    assert {r["doc_id"]: r["count"] for r in mixing.mix(copies).groupBy("doc_id").count().collect()} == {1: 14, 2: 40}  # at the cap; one block once
+    assert mixing.mix(odd).count() > 0 and mixing.mix(none).count() == 0
+
+
+def test_whole_times():
+    rng = np.random.default_rng(6)
+    for ratio in (0.3, 0.8, 1.3, 1.7):
+        sizes = np.sort(np.minimum(rng.lognormal(5, 1, 400).astype(int) + 1, 4000))[::-1]
+        long = 0
+        for _ in range(50):
+            times = mixing.whole_times(sizes, np.floor(sizes * ratio).astype(int), rng.random(400), 2)
+            assert times.min() >= 0 and times.max() <= 2 and abs((times * sizes).sum() - np.floor(sizes * ratio).sum()) <= 20
+            long += times[:20].mean() / 50
+        assert abs(long - ratio) < 0.1  # long documents come as often as others
+    assert mixing.whole_times(np.array([900, 100, 0]), np.array([800, 90, 0]), np.array([0.0, 0.0, 0.0]), 2).tolist() == [1, 0, 0]
+
+
 def test_sainte_lague_is_highest_quotients():
     rng = np.random.default_rng(2)
     for _ in range(40):
