@@ -289,11 +289,16 @@ def _may_link(a: str, b: str, shared: Column, percent: int) -> Column:
 
 
 def _fewest(a: Column, b: Column, percent: int) -> Column:
-    """Fewest tokens that prefixes of linked sets of sizes a and b share. In b it rises up to a, then falls."""
+    """Fewest tokens that prefixes of linked sets of sizes a and b share."""
     rest = F.floor((F.greatest(a, b) * percent + 99) / 100) - 1
     return F.floor((percent * (a + b) + (99 + percent)) / (100 + percent)) - rest
 
 
+def _above(a: Column, b: Column, percent: int) -> Column:
+    """A bound that _fewest is above: the same without rounding. In b it rises up to a, then falls; _fewest needn't."""
+    return (percent * (100 * (a + b) - (100 + percent) * F.greatest(a, b))) / (100 * (100 + percent))
+
+
 def small_pairs(shared: DataFrame, percent: int) -> DataFrame:
     """(a, b): nodes that meet in a small bucket and may link by sizes and shared prefix tokens.
 
@@ -359,7 +364,7 @@ def mixed_buckets(large: DataFrame, labels: DataFrame | None, percent: int) -> D
     n = F.col("n")
     most = F.least("most", F.floor(n * 100 / percent))
     least = F.greatest("least", F.ceil(n * percent / 100))
-    fewest = F.least(_fewest(n, most, percent), _fewest(n, least, percent))
+    fewest = F.floor(F.least(_above(n, most, percent), _above(n, least, percent))) + 1
     return rows.where(F.col("all") >= fewest).select("token", "part", "node", "n", "all", "label").distinct()
 
 

@@ -121,6 +121,24 @@ def test_blocks_lose_no_link():
     assert joined(links) == joined([(a, b) for a in range(60) for b in range(a) if similar(a, b)])
 
 
+def test_hub_of_a_large_bucket(spark):
+    common = [f"c{i}" for i in range(29)]
+    rows = [(0, " ".join([*common, "own"]))]  # shares one prefix token with texts of 33, the ends of its sizes suggest two
+    rows += [(i, " ".join([*common, *(f"o{i}x{k}" for k in range(5 if i == 64 else 4))])) for i in range(1, 65)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join_classes(docs_of(spark, rows), 1, 85).collect()}
+    assert got == {d: c for (d, _), (_, c) in zip(rows, classes(rows, 1, 85), strict=True)}
+    assert collections.Counter(got.values())[0] == 64
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_fewest_shared_tokens_are_bounded_by_the_ends(spark, percent):
+    n = spark.range(4, 300).selectExpr("id AS n")
+    pairs = n.crossJoin(n.selectExpr("n AS m")).where(f"n * {percent} <= m * 100 AND m * {percent} <= n * 100")
+    a, b = F.col("n"), F.col("m")
+    found = pairs.select("n", ngram_join._fewest(a, b, percent).alias("f"), ngram_join._above(a, b, percent).alias("g"), "m").groupBy("n").agg(F.min("f").alias("f"), F.min_by("g", "m").alias("lo"), F.max_by("g", "m").alias("hi"))
+    assert found.where(F.floor(F.least("lo", "hi")) + 1 > F.col("f")).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1000, 1040)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(80)]
