@@ -1,7 +1,8 @@
 """Routes around obstacles for many districts at once: one Arrow group a district, a numpy kernel inside.
 
 A district's obstacles are boxes that routes may touch but not enter. Its vertices are the boxes' corners, terminals and tie-in
-points; edges are the pairs that see each other. The tree grows by attaching the terminal nearest to what is built; flows
+points; edges are the pairs that see each other. Where a district has a square, its routes stay in it; what it can't join but
+might be joined beyond its sides is left to a wider district. The tree grows by attaching the terminal nearest to what is built; flows
 add up towards the tie-in and decide diameters, which never fall on the way up.
 """
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from gridweave.sources import dimensions as D
 
 ROUTES = "district long, edge long, from_node string, to_node string, x0 double, y0 double, x1 double, y1 double, flow double, dn int, length double, cost double"
+ATTEMPT = f"{ROUTES}, waits long"
 
 
 def visible(a: np.ndarray, b: np.ndarray, boxes: np.ndarray) -> np.ndarray:
@@ -66,10 +68,13 @@ def shortest(weights: np.ndarray, sources: list[int], closed: set[int]) -> tuple
     return distance, back
 
 
-def grow(weights: np.ndarray, roots: list[int], terminals: list[int], most: int = D.MAX_DEGREE) -> dict[int, int]:
-    """Parents of the nodes of a forest from the roots that reaches every terminal it can; terminals don't pass flow on."""
+def grow(weights: np.ndarray, roots: list[int], terminals: list[int], most: int = D.MAX_DEGREE, used: dict[int, int] | None = None) -> dict[int, int]:
+    """Parents of the nodes of a forest from the roots that reaches every terminal it can; terminals don't pass flow on.
+
+    used: branches that roots have already.
+    """
     parent: dict[int, int] = {r: -1 for r in roots}
-    degree = dict.fromkeys(roots, 2)
+    degree = {r: 2 + (used or {}).get(r, 0) for r in roots}
     left = set(terminals) - set(roots)
     while left:
         open_ = [v for v in parent if v not in terminals and degree.get(v, 0) < most]
@@ -133,22 +138,63 @@ class District:
     terminals: list[int]
     flows: dict[int, float]
     weights: np.ndarray
+    used: dict[int, int]
+    boxes: np.ndarray
+    square: np.ndarray | None
 
 
 def district(rows: pd.DataFrame) -> District:
-    """From rows (kind, id, x, y, x1, y1, flow), in metres."""
+    """From rows (kind, id, x, y, x1, y1, flow), in metres. The flow of a tie-in point counts the branches it has already."""
     rows = rows.sort_values(["kind", "id"], kind="stable")
     boxes = rows[rows.kind == "box"][["x", "y", "x1", "y1"]].to_numpy(float).reshape(-1, 4)
-    ends = rows[rows.kind != "box"]
+    square = rows[rows.kind == "square"][["x", "y", "x1", "y1"]].to_numpy(float)
+    square = square[0] if len(square) else None
+    ends = rows[rows.kind.isin(["tie", "terminal"])]
     corners = np.concatenate([boxes[:, c] for c in ([0, 1], [2, 1], [2, 3], [0, 3])])
+    ids = np.arange(len(corners))
+    if square is not None:  # boxes beyond the sides are unknown, so nothing turns there
+        inside = (corners >= square[:2]).all(axis=1) & (corners <= square[2:]).all(axis=1)
+        corners, ids = corners[inside], ids[inside]
     points = np.concatenate([ends[["x", "y"]].to_numpy(float).reshape(-1, 2), corners])
-    names = [f"{k}:{i}" for k, i in zip(ends.kind, ends.id, strict=True)] + [f"corner:{i}" for i in range(len(corners))]
+    names = [f"{k}:{i}" for k, i in zip(ends.kind, ends.id, strict=True)] + [f"corner:{i}" for i in ids]
     terminals = [i for i, k in enumerate(ends.kind) if k == "terminal"]
     flows = {i: float(ends.flow.iloc[i]) for i in terminals}
     roots = [i for i, k in enumerate(ends.kind) if k == "tie"]
-    # Without both ends nothing is built, so sight isn't worked out.
-    weights = visibility_graph(points, boxes) if roots and terminals else np.full((len(points), len(points)), np.inf)
-    return District(points, names, roots, terminals, flows, weights)
+    used = {i: int(ends.flow.iloc[i]) for i in roots if ends.flow.iloc[i] == ends.flow.iloc[i]}
+    # Without both ends nothing is built, so sight is worked out only where it tells what gets out.
+    seen = bool(terminals and (roots or square is not None))
+    weights = visibility_graph(points, boxes) if seen else np.full((len(points), len(points)), np.inf)
+    return District(points, names, roots, terminals, flows, weights, used, boxes, square)
+
+
+def gets_out(d: District, terminals: list[int]) -> list[int]:
+    """The terminals from which a side of the square can be reached: they, or a corner they reach, see straight on to it.
+
+    A shortest way to a side ends at a right angle to it, or where a box crosses it; the latter is in sight of a corner of
+    that box or of one whose side it slides along, so the feet of both coordinates are tried from every vertex.
+    """
+    if d.square is None or not terminals:
+        return []
+    x0, y0, x1, y1 = d.square
+    exits = np.zeros(len(d.points), bool)
+    for axis, side in ((0, x0), (0, x1), (1, y0), (1, y1)):
+        feet = d.points.copy()
+        feet[:, axis] = side
+        exits |= visible(d.points, feet, d.boxes)
+    out, known = [], {}
+    for t in terminals:
+        if t not in known:
+            reach, stack = {t}, [t]
+            while stack:
+                for u in np.flatnonzero(np.isfinite(d.weights[stack.pop()])).tolist():
+                    if u not in reach:
+                        reach.add(u)
+                        stack.append(u)
+            free = bool(exits[list(reach)].any())
+            known |= dict.fromkeys(reach, free)
+        if known[t]:
+            out.append(t)
+    return out
 
 
 PRICE = {r[0]: r[3] for r in D.DIAMETERS}
@@ -156,33 +202,65 @@ PRICE = {r[0]: r[3] for r in D.DIAMETERS}
 
 def routes(d: District, terminals: list[int]) -> list[tuple]:
     """(from, to, flow, diameter, length, cost) of the edges that serve the terminals."""
-    parent = grow(d.weights, d.roots, terminals)
+    parent = grow(d.weights, d.roots, terminals, used=d.used)
     lengths = {v: float(d.weights[v, u]) for v, u in parent.items() if u >= 0}
     total, dn = sizes(parent, {t: d.flows[t] for t in terminals}, lengths)
     return [(u, v, round(total[v], 3), dn[v], round(lengths[v], 2), float(np.floor(lengths[v] * PRICE[dn[v]] + 0.5))) for v, u in parent.items() if u >= 0]
 
 
 def plan_district(rows: pd.DataFrame) -> pd.DataFrame:
-    d = district(rows)
-    out = [(int(rows.district.iloc[0]), n, d.names[u], d.names[v], *d.points[u], *d.points[v], *rest) for n, (u, v, *rest) in enumerate(routes(d, d.terminals))]
+    return _plan_rows(int(rows.district.iloc[0]), district(rows))
+
+
+def _plan_rows(name: int, d: District) -> pd.DataFrame:
+    out = [(name, n, d.names[u], d.names[v], *d.points[u], *d.points[v], *rest) for n, (u, v, *rest) in enumerate(routes(d, d.terminals))]
     return pd.DataFrame(out, columns=[c.split()[0] for c in ROUTES.split(", ")])
 
 
 def sensitivity_district(rows: pd.DataFrame) -> pd.DataFrame:
     """The district planned whole and without each terminal; what one sees doesn't change, so the graph is built once."""
-    d = district(rows)
+    return _sensitivity(int(rows.district.iloc[0]), district(rows), set())
+
 
+def _sensitivity(name: int, d: District, without: set[int]) -> pd.DataFrame:
     def sums(terminals: list[int]) -> np.ndarray:
         return np.sum([r[4:] for r in routes(d, terminals)] or [(0.0, 0.0)], axis=0)
 
     whole = sums(d.terminals) if d.terminals else None
     out = []
     for t in d.terminals:
+        if int(d.names[t].split(":")[1]) in without:
+            continue
         length, cost = whole - sums([u for u in d.terminals if u != t])
-        out.append((int(rows.district.iloc[0]), int(d.names[t].split(":")[1]), float(cost), round(float(length), 2)))
+        out.append((name, int(d.names[t].split(":")[1]), float(cost), round(float(length), 2)))
     return pd.DataFrame(out, columns=["district", "terminal", "adds_cost", "adds_length"])
 
 
+def _left(d: District, reached: set[str]) -> list[int]:
+    """Terminals that no route reaches here but one may in a wider district."""
+    return gets_out(d, [t for t in d.terminals if d.names[t] not in reached])
+
+
+def attempt_district(rows: pd.DataFrame) -> pd.DataFrame:
+    """The routes of a district, and a row for each terminal that is left to a wider one."""
+    d, columns = district(rows), [c.split()[0] for c in ATTEMPT.split(", ")]
+    built = _plan_rows(int(rows.district.iloc[0]), d)
+    waits = [(*[None] * (len(columns) - 1), int(d.names[t].split(":")[1])) for t in sorted(_left(d, set(built.to_node)))]
+    return pd.DataFrame([(*r, None) for r in built.itertuples(index=False)] + waits, columns=columns, dtype=object)
+
+
+def sensitivity_attempt(rows: pd.DataFrame) -> pd.DataFrame:
+    """As sensitivity_district, without the terminals that are left to a wider district."""
+    d = district(rows)
+    waits = {int(d.names[t].split(":")[1]) for t in _left(d, {d.names[v] for _, v, *_ in routes(d, d.terminals)})}
+    return _sensitivity(int(rows.district.iloc[0]), d, waits)
+
+
+def attempt(rows: DataFrame) -> DataFrame:
+    """Routes of every district, and rows with only `waits`: terminals left to a wider district."""
+    return rows.groupBy("district").applyInPandas(attempt_district, ATTEMPT)
+
+
 def plan(rows: DataFrame) -> DataFrame:
     """Routes of every district in rows (district, kind: tie, terminal or box, id, x, y, x1, y1, flow).
 
@@ -198,6 +276,9 @@ def unconnected(rows: DataFrame, routes: DataFrame) -> DataFrame:
     return t.join(reached, ["district", "node"], "left_anti").select("district", "id", "flow", (D.PENALTY + D.PENALTY_PER_FLOW * F.col("flow")).alias("penalty"))
 
 
-def sensitivity(rows: DataFrame) -> DataFrame:
-    """(district, terminal, adds_cost, adds_length): each district planned anew without each terminal."""
-    return rows.groupBy("district").applyInPandas(sensitivity_district, "district long, terminal long, adds_cost double, adds_length double")
+def sensitivity(rows: DataFrame, waiting: bool = False) -> DataFrame:
+    """(district, terminal, adds_cost, adds_length): each district planned anew without each terminal.
+
+    waiting: whether terminals that are left to a wider district are left out.
+    """
+    return rows.groupBy("district").applyInPandas(sensitivity_attempt if waiting else sensitivity_district, "district long, terminal long, adds_cost double, adds_length double")

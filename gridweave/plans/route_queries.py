@@ -1,44 +1,113 @@
-"""Queries of routing: no SQL says them; tests hold the kernels against brute force."""
+"""Queries of routing: no SQL says them; tests hold the kernels against brute force.
+
+Terminals are planned in districts of DISTRICT, then what is left in districts of twice the side, and so on to one that holds the
+whole scene: what a district holds depends on density, and few terminals need a wide one. A terminal stops waiting when a
+route reaches it or when boxes shut it in. Tie-in points farther than SEARCH from all terminals of a district aren't taken.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.operators import routing
 from gridweave.plans.base import query
 from gridweave.plans.geometry_queries import geo_tie_in_samples
+from gridweave.sources import dimensions as D
 from gridweave.sources import scene
 
-#: Side of a district in centimetres. What one holds depends on density alone.
+#: Side of the smallest districts in centimetres. What one holds depends on density alone.
 DISTRICT = 5000
+#: How often the side is doubled: the widest district, of 3200 m, holds the scene of 2014 m x 1629 m and its boxes.
+WIDER = 6
+#: Largest distance from a terminal to a tie-in point in centimetres.
+SEARCH = 120_000
+#: Districts of one width have numbers below this.
+PER_WIDTH = 1_000_000_000
+
+
+def _number(cx, cy, width: int):
+    return (F.lit(width * PER_WIDTH).cast("long") + cx * 10_000 + cy).alias("district")
+
+
+def _district(x: str, y: str, width: int = 0):
+    side = DISTRICT << width
+    return _number(F.floor(F.col(x) / side), F.floor(F.col(y) / side), width)
 
 
-def _district(x, y):
-    return (F.floor(F.col(x) / DISTRICT) * 10_000 + F.floor(F.col(y) / DISTRICT)).alias("district")
+def _touched(width: int):
+    """The districts whose squares a box (x0, y0, x1, y1) touches."""
+    side = DISTRICT << width
+    over = lambda a, b: F.sequence(F.greatest(F.ceil(F.col(a) / side) - 1, F.lit(0)), F.floor(F.col(b) / side))
+    return F.explode(F.flatten(F.transform(over("x0", "x1"), lambda cx: F.transform(over("y0", "y1"), lambda cy: _number(cx, cy, width))))).alias("district")
 
 
-def districts(spark, sf):
-    """The scene dealt into districts, in metres: tie-in points along the network, terminals, and restrictions by their first corner."""
+def districts(spark, sf, width: int = 0, terminals: DataFrame | None = None, used: DataFrame | None = None):
+    """The scene dealt into districts, in metres: tie-in points along the network, terminals, boxes that touch it, its square.
+
+    width: how often the side is doubled. terminals: those still to plan (all where None), only in whose districts there are
+    rows. used: (node, n), branches of tie-in points.
+    """
     m = lambda name: (F.col(name) / 100.0).alias(name)
     none = lambda name: F.lit(None).cast("double").alias(name)
-    ties = geo_tie_in_samples(spark, sf).select(_district("x", "y"), F.lit("tie").alias("kind"), (F.col("line") * 1_000_000 + F.col("i")).alias("id"), m("x"), m("y"), none("x1"), none("y1"), none("flow"))
-    ends = scene.terminals(spark, sf).select(_district("x", "y"), F.lit("terminal").alias("kind"), F.col("terminal").alias("id"), m("x"), m("y"), none("x1"), none("y1"), m("flow"))
-    boxes = scene.restrictions(spark, sf).select(_district("x0", "y0"), F.lit("box").alias("kind"), F.col("box").alias("id"), m("x0"), m("y0"), m("x1"), m("y1"), none("flow")).withColumnsRenamed({"x0": "x", "y0": "y"})
-    return ends.unionByName(ties).unionByName(boxes)
+    side = DISTRICT << width
+    wanted = scene.terminals(spark, sf)
+    wanted = wanted if terminals is None else wanted.join(terminals, "terminal", "left_semi")
+    ends = wanted.select(_district("x", "y", width), F.lit("terminal").alias("kind"), F.col("terminal").alias("id"), m("x"), m("y"), none("x1"), none("y1"), m("flow"))
+    here = ends.select("district").distinct()
+    ties = geo_tie_in_samples(spark, sf).select(_district("x", "y", width), F.lit("tie").alias("kind"), (F.col("line") * 1_000_000 + F.col("i")).alias("id"), m("x"), m("y"), none("x1"), none("y1"), none("flow"))
+    ties = ties.join(here, "district", "left_semi")
+    if side > SEARCH // 2:  # narrower squares hold nothing farther apart
+        near = ends.select("district", F.col("x").alias("tx"), F.col("y").alias("ty"))
+        ties = ties.join(near, ["district"]).where(F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty")) <= SEARCH / 100).drop("tx", "ty").distinct()
+    if used is not None:
+        ties = ties.withColumn("node", F.concat(F.lit("tie:"), F.col("id"))).join(used, "node", "left").withColumn("flow", F.col("n").cast("double")).drop("node", "n")
+    boxes = scene.restrictions(spark, sf).select(_touched(width), F.lit("box").alias("kind"), F.col("box").alias("id"), m("x0"), m("y0"), m("x1"), m("y1"), none("flow")).withColumnsRenamed({"x0": "x", "y0": "y"})
+    at = F.col("district") % PER_WIDTH
+    x, y = F.floor(at / 10_000) * side / 100.0, at % 10_000 * side / 100.0
+    square = here.select("district", F.lit("square").alias("kind"), F.lit(0).cast("long").alias("id"), x.alias("x"), y.alias("y"), (x + side / 100.0).alias("x1"), (y + side / 100.0).alias("y1"), none("flow"))
+    return ends.unionByName(ties).unionByName(boxes.join(here, "district", "left_semi")).unionByName(square)
+
+
+def attempts(spark, sf):
+    """For each width: its rows, and what routing.attempt gives for them, kept for the widths after it."""
+    out, left, used = [], None, None
+    for width in range(WIDER + 1):
+        rows = districts(spark, sf, width, left, used)
+        found = routing.attempt(rows).localCheckpoint()
+        out.append((rows, found))
+        left = found.where("waits IS NOT NULL").select(F.col("waits").alias("terminal"))
+        if not left.count():
+            break
+        branches = [f.where("from_node LIKE 'tie:%'").select(F.col("from_node").alias("node")) for _, f in out]
+        for b in branches[1:]:
+            branches[0] = branches[0].unionByName(b)
+        used = branches[0].groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    return out
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @query()
 def route_plan(spark, sf):
-    return routing.plan(districts(spark, sf))
+    return _all([found.where("waits IS NULL").drop("waits") for _, found in attempts(spark, sf)])
 
 
 @query()
 def route_unconnected(spark, sf):
-    rows = districts(spark, sf)
-    return routing.unconnected(rows, routing.plan(rows))
+    """Terminals that no route reaches in any width, with their smallest district."""
+    reached = route_plan(spark, sf).select(F.col("to_node").alias("node"))
+    t = scene.terminals(spark, sf).select(_district("x", "y"), F.col("terminal").alias("id"), (F.col("flow") / 100.0).alias("flow"))
+    t = t.withColumn("node", F.concat(F.lit("terminal:"), F.col("id"))).join(reached, "node", "left_anti")
+    return t.select("district", "id", "flow", (D.PENALTY + D.PENALTY_PER_FLOW * F.col("flow")).alias("penalty"))
 
 
 @query()
 def route_leave_one_out(spark, sf):
-    """What each terminal adds to its district's cost and length."""
-    return routing.sensitivity(districts(spark, sf))
+    """What each terminal adds to the cost and length of the district that serves it."""
+    return _all([routing.sensitivity(rows, waiting=True) for rows, _ in attempts(spark, sf)])

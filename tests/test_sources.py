@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridweave.operators import routing
+from gridweave.plans import route_queries
 from gridweave.sources import dimensions as D
 from gridweave.sources import geojson, statement
 from gridweave.streaming import features as stream
@@ -150,6 +151,29 @@ def test_diameters_never_fall_and_runs_keep_limits():
         assert sum(100 for c in chain if c == d) <= limit[d]
 
 
+def test_wider_districts():
+    rows = [("square", 0, 0.0, 0.0, 50.0, 50.0, None), ("terminal", 1, 10.0, 10.0, None, None, 2.0), ("terminal", 2, 30.0, 30.0, None, None, 2.0), ("box", 1, 20.0, 20.0, 40.0, 40.0, None)]
+    columns = ["kind", "id", "x", "y", "x1", "y1", "flow"]
+    alone = pd.DataFrame(rows, columns=columns).assign(district=1)
+    assert routing.attempt_district(alone).waits.tolist() == [1]  # 2 is shut in, so no wider district helps it
+    wall = [("box", 2, 60.0, -10.0, 70.0, 90.0, None), ("tie", 7, 90.0, 10.0, None, None, 1.0)]
+    wide = pd.DataFrame([("square", 0, 0.0, 0.0, 100.0, 100.0, None), *rows[1:], *wall], columns=columns).assign(district=2)
+    got = routing.attempt_district(wide)
+    assert got.waits.dropna().empty and "terminal:1" in set(got.to_node)
+    assert ((got.x0 >= 0) & (got.x0 <= 100) & (got.y0 >= 0) & (got.y0 <= 100)).all() and not (got.y1 < 0).any()  # around the wall's end inside
+    twice = routing.district(wide.assign(flow=wide.flow.where(wide.kind != "tie", 2.0)))
+    assert routing.routes(twice, twice.terminals) == []  # the tie-in point has its branches already
+
+
+def test_every_terminal_is_tried_to_the_search_radius(spark):
+    small = "/root/testdata/sf0.001"
+    found = route_queries.attempts(spark, small)
+    reached = {r["to_node"] for _, f in found for r in f.where("to_node LIKE 'terminal:%'").collect()}
+    assert len(reached) > 100  # 119 of 150 have a tie-in point within 1200 m
+    boxes = route_queries.districts(spark, small, 1).where("kind = 'box'").groupBy("id").count()
+    assert boxes.where("count > 1").count() > 0  # boxes across a border are in all districts they touch
+
+
 def test_no_ends_no_routes():
     empty = pd.DataFrame({"district": [4], "kind": ["box"], "id": [1], "x": [0.0], "y": [0.0], "x1": [1.0], "y1": [1.0], "flow": [None]})
     assert routing.plan_district(empty).empty
