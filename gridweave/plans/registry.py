@@ -159,7 +159,7 @@ SELECT ancestor AS node, CAST(sum(flow) AS BIGINT) AS total FROM up GROUP BY anc
 )
 def agg_subtree_flow(spark, sf):
     t = scene.terminals(spark, sf).select(F.col("terminal").alias("node"), F.when(F.col("terminal") >= 1, F.floor((F.col("terminal") - 1) / 2)).alias("parent"), "flow")
-    return trees.subtree_sums(t, "flow", 32)
+    return trees.subtree_sums(t, "flow")
 
 
 @query("SELECT node, count(*) AS degree, CAST(max(dn) AS BIGINT) AS dn FROM (SELECT chamber AS node, dn FROM chambers WHERE parent IS NOT NULL UNION ALL SELECT parent, dn FROM chambers WHERE parent IS NOT NULL) GROUP BY node")
@@ -243,7 +243,7 @@ SELECT node, depth FROM walk"""
 )
 def graph_bfs_depth(spark, sf):
     t = scene.chambers(spark, sf).select(F.col("chamber").alias("node"), "parent")
-    return trees.ancestors(t, 32).groupBy("node").agg(F.max("steps").cast("long").alias("depth"))
+    return trees.roots(t).select("node", "depth")
 
 
 @query(
@@ -252,7 +252,7 @@ SELECT node, ancestor, steps FROM up"""
 )
 def flow_path_chain(spark, sf):
     t = scene.chambers(spark, sf).select(F.col("chamber").alias("node"), "parent")
-    return trees.ancestors(t, 32).select("node", "ancestor", F.col("steps").cast("long").alias("steps"))
+    return trees.ancestors(t)
 
 
 # Sets

@@ -48,21 +48,21 @@ def _forest(spark, sf):
 def rule_network_connected(spark, sf):
     """Nodes that no path leads to from the source, with the root they hang from."""
     f = _forest(spark, sf)
-    up = trees.ancestors(f, 32).groupBy("node").agg(F.max_by("ancestor", "steps").alias("root"))
+    up = trees.roots(f)
     first = f.agg(F.min("node").alias("source"))
     return up.join(F.broadcast(first), F.col("root") != F.col("source")).select("node", "root")
 
 
 @query(f"/*RECURSION*/, {CUT}, reach AS (SELECT node, node AS root FROM forest WHERE parent IS NULL UNION ALL SELECT f.node, r.root FROM reach r JOIN forest f ON f.parent = r.node) SELECT root, count(*) AS nodes FROM reach GROUP BY root")
 def graph_components(spark, sf):
-    return trees.ancestors(_forest(spark, sf), 32).groupBy("node").agg(F.max_by("ancestor", "steps").alias("root")).groupBy("root").agg(F.count(F.lit(1)).alias("nodes"))
+    return trees.roots(_forest(spark, sf)).groupBy("root").agg(F.count(F.lit(1)).alias("nodes"))
 
 
 @query("/*RECURSION*/, need AS (SELECT DISTINCT chamber FROM chambers WHERE chamber % 11 = 5 UNION ALL SELECT c.parent FROM need n JOIN chambers c ON c.chamber = n.chamber WHERE c.parent IS NOT NULL) SELECT DISTINCT chamber AS node FROM need")
 def graph_prune(spark, sf):
     """Nodes with a consumer at or below them."""
-    t = scene.chambers(spark, sf).select(F.col("chamber").alias("node"), "parent")
-    return trees.ancestors(t, 32).where("node % 11 = 5").select(F.col("ancestor").alias("node")).distinct()
+    t = scene.chambers(spark, sf).select(F.col("chamber").alias("node"), "parent", F.when(F.col("chamber") % 11 == 5, 1).otherwise(0).alias("needs"))
+    return trees.subtree_sums(t, "needs").where("total > 0").select("node")
 
 
 @query("SELECT c.chamber AS node FROM chambers c LEFT JOIN (SELECT parent, count(*) AS below FROM chambers GROUP BY parent) k ON k.parent = c.chamber WHERE coalesce(below, 0) <> 1 OR c.parent IS NULL")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.operators import routing
+from gridweave.operators.storage import Workspace
 from gridweave.plans.base import query
 from gridweave.plans.geometry_queries import geo_tie_in_samples
 from gridweave.sources import dimensions as D
@@ -71,10 +72,10 @@ def districts(spark, sf, width: int = 0, terminals: DataFrame | None = None, use
 
 def attempts(spark, sf):
     """For each width: its rows, and what routing.attempt gives for them, kept for the widths after it."""
-    out, left, used = [], None, None
+    out, left, used, work = [], None, None, Workspace(spark, "routes")
     for width in range(WIDER + 1):
         rows = districts(spark, sf, width, left, used)
-        found = routing.attempt(rows).localCheckpoint()
+        found = work.write(routing.attempt(rows), f"width-{width}")
         out.append((rows, found))
         left = found.where("waits IS NOT NULL").select(F.col("waits").alias("terminal"))
         if not left.count():
