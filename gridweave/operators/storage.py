@@ -35,6 +35,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/gridweave/{name}-{uuid.uuid4().hex}"
+        self.written: set[str] = set()
         if _open:
             _open[-1].append(self)
 
@@ -42,16 +43,22 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.written.add(name)
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
         """Remove the named tables, all if none is named."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        self.written = self.written.difference(names) if names else set()
         for at in [self.path(n) for n in names] or [self.root]:
             p = jvm.org.apache.hadoop.fs.Path(at)
             p.getFileSystem(conf).delete(p, True)
 
+    def keep(self, *names: str) -> None:
+        """Remove all tables but the named."""
+        self.drop(*sorted(self.written.difference(names)) or ["none"])
+
 
 @contextmanager
 def temporary_tables() -> Iterator[None]:
