@@ -3,8 +3,10 @@
 For every participant of a conversation (distinct role), the whole dialogue is rendered with that speaker as the
 assistant and every other speaker as a named user. Each message carries its text, its character range in the rendering
 and its mask: 1 where the speaker is the one to learn from, else 0. Only DataFrame functions are used, and a
-conversation that holds very many turns is never gathered: ranges are running sums over its turns, dealt to
-consecutive spans of turns.
+conversation that holds very many turns is never gathered: messages are sorted over the whole table by ranges of
+(conversation, turn, speaker, text), a conversation's spans are the ranges that it lies in, and positions are running sums
+within a span, shifted by the sums of the spans before. So spans hold about as many messages whatever the turns' values,
+nulls included; only messages equal in all four columns can't be told apart and share a span.
 
 Edge cases: a null role speaks as `unknown`; a null text is an empty message; a null conv_id is a conversation of its
 own; rows that repeat a turn are kept, ordered by turn (null first), role and text, identical rows as they come; an empty
@@ -16,8 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Turns of a conversation whose running sums are formed together.
-SPAN = 256
+from gridweave.llm.common import Workspace
+
+#: Messages of a span, about; no fewer spans than shuffle partitions are used.
+SPAN = 50_000
 
 
 def _render(speaker: Column, viewer: Column, text: Column) -> Column:
@@ -32,8 +36,11 @@ def rotate(conversations: DataFrame) -> DataFrame:
     """
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
     viewers = rows.select("conv_id", F.col("speaker").alias("perspective")).distinct()
-    # A long conversation is dealt out by spans of turns; each span meets all viewers.
-    rows = rows.withColumn("span", F.floor(F.coalesce("turn", F.lit(-1)) / SPAN))
+    spark = conversations.sparkSession
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-conversations.count() // SPAN))
+    # Written, because a range's number must be the same in all that follows.
+    rows = rows.repartitionByRange(ranges, "conv_id", "turn", "speaker", "text").withColumn("span", F.spark_partition_id())
+    rows = Workspace(spark, "chat").write(rows, "messages")
     spans = rows.select("conv_id", "span").distinct()
     x, v = spans.alias("x"), viewers.alias("v")
     seats = x.join(v, F.col("x.conv_id").eqNullSafe(F.col("v.conv_id"))).select("x.conv_id", "x.span", "perspective")

@@ -22,14 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import SPACES, Workspace, documents, keep_rows, text_key, text_of
+from gridweave.llm.common import SPACES, Workspace, documents, keep_rows, look_up, text_key, text_of
 
 #: Bytes of a chunk: mean, least, most.
 MEAN, LEAST, MOST = 2048, 512, 16384
 #: Identifiers that a task remembers to send each chunk once; forgotten when full, which only sends some again.
 REMEMBERED = 200_000
-#: Parts that the rows of a group of copies are dealt to when they look up the group.
-SALTS = 32
 
 
 def gear() -> np.ndarray:
@@ -135,9 +133,8 @@ def deduplicate(docs: DataFrame, width: int = 16) -> DataFrame:
     # The most code points, then the smallest id with null last, then the first row, as one struct to take the max of.
     rank = F.struct("points", F.coalesce(-F.col("doc_id"), F.lit(-(1 << 63))).alias("i"), (-F.col("row")).alias("r"), "doc_id", "row")
     groups = rows.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), F.max(rank).alias("best")).where("group_size > 1")
-    groups = groups.select("recipe", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "group_size", F.col("best.doc_id").alias("keep"), F.col("best.row").alias("keep_row"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
-    out = salted.join(groups, ["recipe", "salt"], "left")
+    groups = work.write(groups.select("recipe", "group_size", F.col("best.doc_id").alias("keep"), F.col("best.row").alias("keep_row")), "groups")
+    out = look_up(rows, groups, ["recipe"], "group_size")
     alone = F.col("group_size").isNull()
     return out.select(
         "doc_id",

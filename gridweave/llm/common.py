@@ -1,10 +1,8 @@
-"""What the operators share: the shared folder, written tables, text normal forms, distributed ranks."""
+"""What the operators share: written tables, text normal forms, distributed ranks, look-ups that spread large classes."""
 
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -14,6 +12,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridweave.operators.storage import Workspace, temporary_tables  # noqa: F401
+
 # Functions of this package travel to the executors by value, so a cluster needs no copy of it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.rpartition(".")[0]])
 
@@ -22,38 +22,6 @@ SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir; where it is unset, one is made and set (local runs)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="gridweave-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-class Workspace:
-    """Tables written to the shared folder during one call of an operator.
-
-    A written table cuts lineage and survives the loss of executors. drop() removes tables that nothing reads any more.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/gridweave/{name}-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in names:
-            at = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            at.getFileSystem(conf).delete(at, True)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -65,7 +33,7 @@ def text_of(column: str = "text") -> Column:
 
 def word_count(column: str = "text") -> Column:
     """Number of maximal runs of characters other than the six white-space characters; 0 for null."""
-    inner = F.regexp_replace(text_of(column), f"^{SPACE_RUN}|{SPACE_RUN}$", "")
+    inner = F.regexp_replace(text_of(column), f"^{SPACE_RUN}|{SPACE_RUN}\\z", "")  # $ would also match before a last line end
     return F.when(inner == "", F.lit(0)).otherwise(F.size(F.split(inner, SPACE_RUN, -1))).cast("long")
 
 
@@ -74,9 +42,25 @@ def id_remainder(modulus: int, column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(0)).cast("int")
 
 
-def bucket_count(rows: int, per_bucket: int, most: int = 4096) -> int:
-    """How many hash buckets hold about per_bucket rows each; bounded, so that tables with a row per bucket stay small."""
-    return max(1, min(most, -(-rows // per_bucket)))
+def bucket_count(rows: int, per_bucket: int, most: int = 4096, widest: int = 100_000) -> int:
+    """How many hash buckets hold about per_bucket rows each, or, beyond `most` buckets, about `widest`."""
+    return max(1, min(most, -(-rows // per_bucket)), -(-rows // widest))
+
+
+def look_up(rows: DataFrame, classes: DataFrame, key: list[str], size: str, most: int = 4096, least: int = 1000) -> DataFrame:
+    """rows left-joined with classes by key, no matter how many rows one class has. classes: written, a row per key.
+
+    size: the column of classes that says how many rows bear the key. Classes with more than 1 / most of all those rows, and
+    more than `least`, are dealt to parts of that many. They are fewer than `most`, whatever the data, so that their keys
+    can be broadcast, and all parts together add fewer than `most` rows to classes. Rows with a null key are spread.
+    """
+    share = max(least, -(-int(classes.agg(F.sum(size)).first()[0] or 0) // most))
+    parts = F.ceil(F.col(size) / share).cast("int")
+    wide = classes.where(F.col(size) > share).select(*key, parts.alias("_parts"))
+    none = F.array_contains(F.array(*[F.col(k).isNull() for k in key]), True)
+    dealt = F.when(none, F.lit(most)).otherwise(F.coalesce("_parts", F.lit(1)))
+    rows = rows.join(F.broadcast(wide), key, "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), dealt).cast("int")).drop("_parts")
+    return rows.join(classes.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))), [*key, "_part"], "left").drop("_part")
 
 
 def gapless_rank(df: DataFrame, group: list[str], order: list[Column], buckets: int, out: str) -> DataFrame:

@@ -6,17 +6,17 @@ bit's logistic loss counts by how well its classifier did on that language in tr
 lie close together are flagged.
 
 Up to 4 languages get every useful split (exhaustive code), as do up to 7; beyond, random dense codewords. The classifiers
-are fitted on at most PER_LANGUAGE texts of each language, drawn by a hash over all labelled rows, whole texts.
-Prediction reads whole texts in slices of bounded size.
+are fitted on at most PER_LANGUAGE texts of each language, and about TEXTS of all, drawn by a hash over all labelled
+rows, whole texts. More than LANGUAGES languages raise ValueError. Texts are read whole, in slices of bounded size that
+overlap, so that the cuts add and lose no n-gram.
 
-Edge cases: null texts and texts without letters are `und` with score 0; no labelled rows at all makes everything
+Edge cases: null texts and texts without letters (Unicode category L) are `und` with score 0; no labelled rows at all makes everything
 `und`; one learned language is predicted with score 1; repeated rows and ties are predicted alike (ties go to the language first by
 code point); an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,27 +28,30 @@ from pyspark.sql import functions as F
 from gridweave.llm.common import documents, id_remainder
 
 BUCKETS = 4096
-PER_LANGUAGE = 500
+PER_LANGUAGE, TEXTS, LANGUAGES = 500, 4000, 256
 #: Bytes of text looked up at once.
 SLICE = 1 << 18
 #: Texts whose best codeword is less likely than this are flagged.
 SURE = 0.9
-LETTER = re.compile(r"[^\W\d_]")
 
 
-def n_grams(data: bytes) -> np.ndarray:
-    """Buckets of all byte pairs and triples of a text that is put between spaces."""
-    b = np.frombuffer(b" " + data + b" ", np.uint8).astype(np.uint32)
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
+def n_grams(data: bytes, begins: int) -> np.ndarray:
+    """Buckets of the byte pairs and triples that begin at one of the first so many places."""
+    b = np.frombuffer(data, np.uint8).astype(np.uint32)
     two = b[:-1] * np.uint32(0x9E3779B1) + b[1:] * np.uint32(0x85EBCA6B)
     three = b[:-2] * np.uint32(0xC2B2AE35) + b[1:-1] * np.uint32(0x27D4EB2F) + b[2:] * np.uint32(0x165667B1)
-    return np.concatenate([two, three]) >> np.uint32(20)
+    return np.concatenate([two[:begins], three[:begins]]) >> np.uint32(20)
 
 
-def pieces(text: str) -> Iterator[bytes]:
-    """The lower-cased text in slices; n-grams across a cut are left out, which at this size changes no mean."""
-    data = text.lower().encode()
-    for at in range(0, max(1, len(data)), SLICE):
-        yield data[at : at + SLICE]
+def pieces(text: str, width: int = SLICE) -> Iterator[np.ndarray]:
+    """The n-grams of the lower-cased text, put between spaces, by slices of where they begin."""
+    data = b" " + text.lower().encode() + b" "
+    for at in range(0, len(data) - 1, width):
+        yield n_grams(data[at : at + width + 2], width)
 
 
 def codewords(languages: int, seed: int = 5) -> np.ndarray:
@@ -65,22 +68,27 @@ def codewords(languages: int, seed: int = 5) -> np.ndarray:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 300, decay: float = 1e-5) -> np.ndarray:
-    """Weights of one classifier per column of y (-1, 1), accelerated gradient; the last row of the result is the bias."""
+    """Weights of one classifier per column of y (-1, 1), accelerated gradient; the last row of the result is the bias.
+
+    Weights stay sums of rows of x, so steps are taken on the rows' shares in them, by the products of rows: rows are fewer
+    than features.
+    """
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w = np.zeros((x.shape[1], y.shape[1]), x.dtype)
-    v, t = w, 1.0
-    v0 = np.ones(x.shape[1])
+    products = x @ x.T
+    top, v0 = 1.0, np.ones(len(x), x.dtype)
     for _ in range(30):
-        v0 = x.T @ (x @ v0)
-        top = np.linalg.norm(v0)
+        v0 = products @ v0
+        top = float(np.linalg.norm(v0))
         v0 /= top
     rate = 4 * len(x) / top
+    w = np.zeros((len(x), y.shape[1]), x.dtype)
+    v, t = w, 1.0
     for _ in range(steps):
-        slope = -(x.T @ (y / (1 + np.exp(np.clip(y * (x @ v), -30, 30))))) / len(x) + decay * v
+        slope = -(y / (1 + np.exp(np.clip(y * (products @ v), -30, 30)))) / len(x) + decay * v
         new = v - rate * slope
         u = (1 + (1 + 4 * t * t) ** 0.5) / 2
         v, w, t = new + (t - 1) / u * (new - w), new, u
-    return w
+    return x.T @ w
 
 
 @dataclass
@@ -100,8 +108,7 @@ class Model:
 
     def margins(self, text: str) -> np.ndarray:
         total, n = np.zeros(self.weights.shape[1]), 0
-        for piece in pieces(text):
-            index = n_grams(piece)
+        for index in pieces(text):
             total += self.weights.take(index, axis=0).sum(0, dtype=np.float64)
             n += len(index)
         return total / n + self.bias
@@ -109,8 +116,8 @@ class Model:
 
 def frequencies(text: str) -> np.ndarray:
     counts = np.zeros(BUCKETS)
-    for piece in pieces(text):
-        counts += np.bincount(n_grams(piece), minlength=BUCKETS)
+    for index in pieces(text):
+        counts += np.bincount(index, minlength=BUCKETS)
     return counts / counts.sum()
 
 
@@ -121,9 +128,12 @@ SCALE = 256.0
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Fit on (doc_id, text, lang) rows, lang not null; at most per_language texts of each language, drawn by hash."""
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row per language
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
     if not counts:
         return None
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    per_language = min(per_language, max(1, TEXTS // len(counts)))
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 1.25 * per_language / n))])
     order = F.xxhash64(F.lit(3), "doc_id", "text")
     drawn = labelled.withColumn("_o", order).where(F.pmod("_o", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
@@ -160,7 +170,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         for b in batches:
             names, scores, flags = [], [], []
             for t in b.column("text").to_pylist():
-                if model is None or t is None or not LETTER.search(t):
+                if model is None or t is None or not has_letter(t):
                     names.append("und")
                     scores.append(0.0)
                     flags.append(True)

@@ -52,19 +52,19 @@ def number(ident: int, n: int) -> bytes:
 
 
 def lace(frames: list[bytes], lacing: int) -> bytes:
-    """The lace head (count and sizes) for 2 to 256 frames, or nothing without lacing."""
+    """The head of a lace (count and sizes) for 2 to 256 frames, or nothing without lacing."""
     if lacing == NO_LACING:
         return b""
-    head, sizes = bytes([len(frames) - 1]), [len(f) for f in frames]
+    count, sizes = bytes([len(frames) - 1]), [len(f) for f in frames]
     if lacing == XIPH:
-        return head + b"".join(b"\xff" * (n // 255) + bytes([n % 255]) for n in sizes[:-1])
+        return count + b"".join(b"\xff" * (n // 255) + bytes([n % 255]) for n in sizes[:-1])
     if lacing == EBML_LACING:
-        out = head + size_vint(sizes[0])
+        out = count + size_vint(sizes[0])
         for a, b in zip(sizes, sizes[1:-1], strict=False):
             width = next(w for w in range(1, 9) if abs(b - a) < (1 << 7 * w - 1) - 1)
             out += size_vint(b - a + (1 << 7 * width - 1) - 1, width)
         return out
-    return head
+    return count
 
 
 def block(track: int, relative: int, frames: list[bytes], lacing: int) -> bytes:
@@ -73,7 +73,7 @@ def block(track: int, relative: int, frames: list[bytes], lacing: int) -> bytes:
 
 def mux(payload: bytes, frame: int = FRAME, per_block: int = 8, per_cluster: int = 64, lacing: int = FIXED) -> bytes:
     """An audio file of 8-bit samples: frames of equal length, laced in blocks; a cue for every cluster. Ticks are samples."""
-    head = element(EBML, number(EBML_VERSION, 1) + number(EBML_READ_VERSION, 1) + number(EBML_MAX_ID, 4) + number(EBML_MAX_SIZE, 8) + element(DOC_TYPE, b"matroska") + number(DOC_TYPE_VERSION, 4) + number(DOC_TYPE_READ, 2))
+    start = element(EBML, number(EBML_VERSION, 1) + number(EBML_READ_VERSION, 1) + number(EBML_MAX_ID, 4) + number(EBML_MAX_SIZE, 8) + element(DOC_TYPE, b"matroska") + number(DOC_TYPE_VERSION, 4) + number(DOC_TYPE_READ, 2))
     info = element(INFO, number(TIMESTAMP_SCALE, 10**9 // RATE) + element(MUXING_APP, b"gridweave") + element(WRITING_APP, b"gridweave"))
     audio = element(AUDIO, element(SAMPLING, struct.pack(">d", RATE)) + number(CHANNELS, 1) + number(BIT_DEPTH, 8))
     tracks = element(TRACKS, element(TRACK_ENTRY, number(TRACK_NUMBER, 1) + number(TRACK_UID, 1) + number(TRACK_TYPE, 2) + number(FLAG_LACING, 1) + number(DEFAULT_DURATION, frame * 10**9 // RATE) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio))
@@ -89,7 +89,7 @@ def mux(payload: bytes, frame: int = FRAME, per_block: int = 8, per_cluster: int
         cues.append(element(CUE_POINT, number(CUE_TIME, c) + element(CUE_TRACK_POSITIONS, number(CUE_TRACK, 1) + number(CUE_CLUSTER, at))))
         parts.append(element(CLUSTER, b"".join(blocks)))
         at += len(parts[-1])
-    return head + element(SEGMENT, b"".join(parts) + element(CUES, b"".join(cues)))
+    return start + element(SEGMENT, b"".join(parts) + element(CUES, b"".join(cues)))
 
 
 @dataclass
@@ -105,33 +105,47 @@ class Media:
     doc_type: str = ""
 
 
-def vint(data: bytes, at: int, keep: bool = False) -> tuple[int, int, int]:
+def vint(data: bytes, at: int, end: int, keep: bool = False) -> tuple[int, int, int]:
     """Value, offset after it and width of the variable-length integer at an offset. keep: with its length marker."""
-    if at >= len(data) or not data[at]:
+    if at >= end or not data[at]:
         raise ValueError(f"no variable-length integer at {at}")
     width = 9 - data[at].bit_length()
-    if at + width > len(data):
+    if at + width > end:
         raise ValueError(f"the integer at {at} is cut off")
     value = int.from_bytes(data[at : at + width], "big")
     return value if keep else value ^ 1 << 7 * width, at + width, width
 
 
-def children(data: bytes, at: int, end: int, stop: set[int] | None = None) -> Iterator[tuple[int, int, int, int]]:
-    """(id, element start, body start, body end) of each element; one of unknown size ends where `stop` or the parent does."""
+def head(data: bytes, at: int, end: int) -> tuple[int, int, int | None]:
+    """Id, body start and body end of the element at an offset; the end of an unknown size is None."""
+    ident, body, _ = vint(data, at, end, keep=True)
+    size, body, width = vint(data, body, end)
+    if size == (1 << 7 * width) - 1:
+        return ident, body, None
+    if body + size > end:
+        raise ValueError(f"element at {at} runs beyond its parent")
+    return ident, body, body + size
+
+
+def children(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
+    """(id, element start, body start, body end) of each element.
+
+    A segment or cluster of unknown size ends before the next element of its own or a higher level. Its elements are
+    stepped over to find that, those of an unknown size being entered, so each byte range is walked once a level.
+    """
     while at < end:
-        begin = at
-        ident, at, _ = vint(data, at, keep=True)
-        size, at, width = vint(data, at)
-        last = at + size
-        if size == (1 << 7 * width) - 1:
+        ident, body, last = head(data, at, end)
+        if last is None:
             if ident not in (SEGMENT, CLUSTER):
-                raise ValueError(f"element of unknown size at {begin}")
-            last = end if ident == SEGMENT else next((b for i, b, _, _ in children(data, at, end) if i in TOP), end)
-        if last > end:
-            raise ValueError(f"element at {begin} runs beyond its parent")
-        yield ident, begin, at, last
-        if stop and ident in stop:
-            return
+                raise ValueError(f"element of unknown size at {at}")
+            beyond = {EBML, SEGMENT} if ident == SEGMENT else TOP | {EBML, SEGMENT}
+            last = body
+            while last < end:
+                inner, start, stop = head(data, last, end)
+                if inner in beyond:
+                    break
+                last = start if stop is None else stop
+        yield ident, at, body, last
         at = last
 
 
@@ -139,6 +153,8 @@ def unlace(data: bytes, at: int, end: int, lacing: int) -> list[tuple[int, int]]
     """(start, length) of each frame of a block's body."""
     if lacing == NO_LACING:
         return [(at, end - at)]
+    if at >= end:
+        raise ValueError(f"the lace at {at} is cut off")
     count, at = data[at] + 1, at + 1
     if lacing == FIXED:
         if (end - at) % count:
@@ -147,12 +163,16 @@ def unlace(data: bytes, at: int, end: int, lacing: int) -> list[tuple[int, int]]
     sizes: list[int] = []
     for i in range(count - 1):
         if lacing == XIPH:
-            n = 0
-            while data[at] == 255:
-                n, at = n + 255, at + 1
-            n, at = n + data[at], at + 1
+            n = 255
+            total = 0
+            while n == 255:
+                if at >= end:
+                    raise ValueError(f"the lace at {at} is cut off")
+                n, at = data[at], at + 1
+                total += n
+            n = total
         else:
-            n, at, width = vint(data, at)
+            n, at, width = vint(data, at, end)
             if i:
                 n = sizes[-1] + n - (1 << 7 * width - 1) + 1
         sizes.append(n)
@@ -170,8 +190,16 @@ def parse(data: bytes) -> Media:
     out = Media()
     uint = lambda a, b: int.from_bytes(data[a:b], "big")
 
+    def text(a: int, b: int) -> str:
+        try:
+            return data[a:b].rstrip(b"\0").decode()
+        except UnicodeDecodeError as e:
+            raise ValueError(f"text at {a} isn't UTF-8") from e
+
     def frames(a: int, b: int, base: int, cluster: int) -> None:
-        track, a, _ = vint(data, a)
+        track, a, _ = vint(data, a, b)
+        if a + 3 > b:
+            raise ValueError(f"the block head at {a} is cut off")
         relative, flags = struct.unpack_from(">hB", data, a)
         step = out.durations.get(track, 0)
         for i, (start, n) in enumerate(unlace(data, a + 3, b, flags >> 1 & 3)):
@@ -180,18 +208,22 @@ def parse(data: bytes) -> Media:
 
     for top, _, a, b in children(data, 0, len(data)):
         if top == EBML:
-            out.doc_type = next((data[x:y].decode() for i, _, x, y in children(data, a, b) if i == DOC_TYPE), "matroska")
+            out.doc_type = next((text(x, y) for i, _, x, y in children(data, a, b) if i == DOC_TYPE), "matroska")
         if top != SEGMENT:
             continue
         for ident, begin, x, y in children(data, a, b):
             if ident == INFO:
                 out.scale = next((uint(p, q) for i, _, p, q in children(data, x, y) if i == TIMESTAMP_SCALE), out.scale)
+                if not out.scale:
+                    raise ValueError(f"the timestamp scale at {x} is 0")
             elif ident == TRACKS:
                 for i, _, p, q in children(data, x, y):
                     if i == TRACK_ENTRY:
                         known = {j: (r, s) for j, _, r, s in children(data, p, q)}
+                        if TRACK_NUMBER not in known or CODEC_ID not in known:
+                            raise ValueError(f"the track at {p} lacks its number or codec")
                         track = uint(*known[TRACK_NUMBER])
-                        out.tracks[track] = data[slice(*known[CODEC_ID])].decode()
+                        out.tracks[track] = text(*known[CODEC_ID])
                         out.durations[track] = uint(*known[DEFAULT_DURATION]) if DEFAULT_DURATION in known else 0
             elif ident == CLUSTER:
                 base = 0
@@ -268,7 +300,7 @@ def digests(media: DataFrame) -> DataFrame:
         payload = b"".join(data[s : s + k] for _, _, s, k, _ in found.packets)
         starts = {c for *_, c in found.packets}
         good = sum(where in starts for _, _, where in found.cues)
-        feature = f"packets={len(found.packets)};clusters={len(found.clusters)};cues={good};last={found.packets[-1][1]};codec={found.tracks[1]};mean={sum(payload) // len(payload)}"
+        feature = f"packets={len(found.packets)};clusters={len(found.clusters)};cues={good};last={found.packets[-1][1] if found.packets else 0};codec={found.tracks.get(1)};mean={sum(payload) // max(len(payload), 1)}"
         return doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,8 +11,8 @@ come first; each rounds its words and the remainder so far up or down by a seede
 group ends within about its shortest document of its quota, and length alone decides nothing. Where a few documents
 hold most of a group's words, no whole numbers may come nearer than a share of one of them.
 
-The driver holds one row per (source, shard): sources times at most 4096 numbers; sources are a configured list, not a
-key that grows with the rows. Documents are never gathered: positions are running sums in (source, shard), and groups
+The driver holds one row per (source, shard), at most LINES; sources are a configured list, not a key that grows with the
+rows, and more than SOURCES of them raise ValueError. Documents are never gathered: positions are running sums in (source, shard), and groups
 hold numbers, not texts. Texts move once, to meet their numbers by a 64-bit hash of id and text.
 
 Edge cases: null and empty texts have size 0 and take nothing; a null source is a source of its own, last in order;
@@ -33,6 +33,8 @@ from gridweave.llm.common import Workspace, bucket_count, documents, word_count
 
 #: Words in a block.
 BLOCK = 64
+#: Most sources; most lines, of a source in a shard, that the driver plans.
+SOURCES, LINES = 10_000, 1 << 20
 #: Documents in a group that takes whole documents, on average.
 GROUP = 4096
 
@@ -144,9 +146,11 @@ def apportion_documents(docs: DataFrame, weights: list[float] = (3, 1, 2), share
     identity = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
     rows = docs.withColumn("size", word_count()).withColumn("_h", identity)
     numbers = ["size", "source_size", "target", "taken"]
-    if not whole:
-        return _placed(rows, carried, weights, share, cap, block, seed).select(*carried, *numbers)
-    slim = Workspace(docs.sparkSession, "mixing").write(rows.select("doc_id", "source", "size", "_h"), "sizes")
+    work = Workspace(docs.sparkSession, "mixing")
+    if not whole:  # counted once, what is carried along with it
+        counted = work.write(rows.select(*dict.fromkeys([*carried, "source"]), "size", "_h"), "sizes")
+        return _placed(counted, carried, weights, share, cap, block, seed).select(*carried, *numbers)
+    slim = work.write(rows.select("doc_id", "source", "size", "_h"), "sizes")
     placed = _placed(slim, ["doc_id"], weights, share, cap, block, seed)
     most = int(cap)
 
@@ -170,12 +174,14 @@ def apportion_documents(docs: DataFrame, weights: list[float] = (3, 1, 2), share
 def _placed(rows: DataFrame, carried: list[str], weights: list[float], share: float, cap: float, block: int, seed: int) -> DataFrame:
     """The carried columns of rows (source, size, _h) with source_size, target, the words taken by blocks, and how many groups the source has."""
     spark = rows.sparkSession
-    found = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    found = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).limit(SOURCES + 1).collect()
+    if len(found) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources: weights are meant for a configured list")
     found = sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [int(r["n"]) for r in found]
     per = [float(weights[i % len(weights)]) for i in range(len(found))]
     wanted = targets(sizes, per, share, cap) if found else []
-    shards = bucket_count(sum(r["rows"] for r in found), 200)
+    shards = min(bucket_count(sum(r["rows"] for r in found), 200), LINES // max(1, len(found)))
     names = spark.createDataFrame([(r["source"], i, sizes[i], wanted[i], -(-r["rows"] // GROUP)) for i, r in enumerate(found)], "source string, _s int, source_size long, target double, _groups long")
     rows = rows.join(F.broadcast(names.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumn("_shard", F.pmod(F.xxhash64("_h", F.lit(seed + 1)), F.lit(shards)).cast("int"))

@@ -1,12 +1,14 @@
 """Exact Jaccard self-join on word shingles by filters under several global token orders.
 
-A document's set is its distinct shingles, as 64-bit hashes. Documents with equal sets are one node. Any two nodes that
-link (Jaccard similarity at the threshold or above) share a token among their first n - ceil(t n) + 1 tokens under every
+A document's set is its distinct shingles, as 64-bit hashes. Documents with equal sets are one node, named by 64 bits of
+a hash of the set; the names are checked against 64 further bits, and names that different sets share are drawn anew, so
+nodes are told apart by 128 bits. Any two nodes that link (Jaccard similarity at the threshold or above) share a token among their first n - ceil(t n) + 1 tokens under every
 global order. All orders put tokens that many documents share last (by powers of two of a corpus count), and differ by
 hash within a count. Order 1 finds candidates through an index of prefix tokens; the other orders and the sizes are
 checked on a candidate before its sets are compared.
 
-The index isn't turned into all pairs. Its small buckets (the nodes under one token) give pairs, a bounded number per row.
+The index isn't turned into all pairs. Buckets are counted, and those of many nodes dealt to parts of about PART, whatever
+the token. Small buckets (the nodes under one token) give pairs, a bounded number per row.
 Large buckets pair their nodes with a few of them; verified links are joined into components, and further rounds pair
 what is left with other partners. Large buckets that still hold several components are compared in blocks inside
 tasks, first by prefixes, which leaves few nodes, then by sets; tasks return only links that join components. Pairs of
@@ -33,14 +35,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import Workspace, bounded, documents, keep_rows, small_batches, text_key
+from gridweave.llm.common import Workspace, bounded, documents, keep_rows, look_up, small_batches, text_key
 from gridweave.llm.components import components
 
 #: Tokens counted at once by a task, and how often one must occur among them to be reported.
 COUNTED, REPORTED = 1_000_000, 3
 #: The most frequent tokens that the orders know of, a table of at most 12 bytes each.
 KNOWN = 1 << 18
-#: Nodes for one part of a frequent token's bucket.
+#: Nodes for one part of a large bucket.
 PART = 256
 #: Global orders a candidate must pass, the index's among them.
 ORDERS = 3
@@ -53,7 +55,8 @@ BLOCK_NODES, BLOCK_TOKENS = 1024, 1_000_000
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 #: Nodes that a task remembers to give each once.
 REMEMBERED = 300_000
-SALTS = 32
+#: Most names that may be drawn anew: of 10^11 sets about 300 share their 64 bits with another.
+ANEW = 100_000
 
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]
 
@@ -100,16 +103,14 @@ class Levels:
     """How common a token is, as a power of two; 0 for tokens outside the table."""
 
     def __init__(self, tokens: np.ndarray, counts: np.ndarray):
-        self.tokens, self.counts = tokens, counts
-        self.levels = np.log2(np.maximum(self.counts, 1)).astype(np.uint8) + np.uint8(1)
+        self.tokens = tokens
+        self.levels = np.log2(np.maximum(counts, 1)).astype(np.uint8) + np.uint8(1)
 
-    def of(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Level and count of each token."""
+    def of(self, tokens: np.ndarray) -> np.ndarray:
         if not len(self.tokens):
-            return np.zeros(len(tokens), np.uint8), np.zeros(len(tokens), np.int64)
+            return np.zeros(len(tokens), np.uint8)
         at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-        hit = self.tokens[at] == tokens
-        return np.where(hit, self.levels[at], np.uint8(0)), np.where(hit, self.counts[at], 0)
+        return np.where(self.tokens[at] == tokens, self.levels[at], np.uint8(0))
 
 
 def prefix(tokens: np.ndarray, level: np.ndarray, order: int, percent: int) -> np.ndarray:
@@ -130,7 +131,7 @@ def linked(x: np.ndarray, y: np.ndarray, levels: Levels, percent: int) -> bool:
     want = overlap_needed(len(x), len(y), percent)
     if want > min(len(x), len(y)):
         return False
-    lx, ly = levels.of(x)[0], levels.of(y)[0]
+    lx, ly = levels.of(x), levels.of(y)
     for order in range(1, ORDERS):
         if not len(np.intersect1d(x[prefix(x, lx, order, percent)], y[prefix(y, ly, order, percent)], assume_unique=True)):
             return False
@@ -166,45 +167,63 @@ def frequent_tokens(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
     return tokens[order], top.column("count").to_numpy()[order]
 
 
-BASE = "doc_id long, text_key long, node long, n int, prefix array<struct<token:long,part:int>>"
+BASE = "doc_id long, text_key long, node long, further long, n int, prefix array<long>"
 
 
-def base_table(docs: DataFrame, width: int, percent: int, levels) -> DataFrame:
-    """A row per document: its node (a hash of its set; null for an empty set), size, and prefix in order 1.
+class Names:
+    """Names sets: 64 bits of a hash, others of its bits for a name in `anew`, and 64 further bits."""
+
+    def __init__(self, anew: frozenset[int] = frozenset(), width: int = 8):
+        self.anew, self.width = anew, width
+
+    def __call__(self, tokens: np.ndarray) -> tuple[int, int]:
+        h = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+        node, further = int.from_bytes(h[: self.width], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)
+        while node in self.anew:
+            h = hashlib.blake2b(h, digest_size=16).digest()
+            node = int.from_bytes(h[:8], "big", signed=True)
+        return node, further
 
-    A task gives the prefix of a node once, as far as it remembers. Frequent tokens' buckets have parts from 1 by node; part 0 is a whole bucket.
-    """
+
+def base_table(docs: DataFrame, width: int, percent: int, levels, names: Names) -> DataFrame:
+    """A row per document: its node (null for an empty set), size, and prefix in order 1, which a task gives of a node once, as far as it remembers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, table = set(), Levels(*levels.value)
-        kind = pa.list_(pa.struct([("token", pa.int64()), ("part", pa.int32())]))
         for batch in batches:
             for part in bounded(batch, "text"):
-                nodes, sizes, lengths, tokens, parts = [], [], [], [], []
+                named, sizes, lengths, tokens = [], [], [], []
                 for x in shingles(part.column("text"), width):
-                    node = set_hash(x) if len(x) else None
-                    nodes.append(node)
+                    node, further = names(x) if len(x) else (None, None)
+                    named.append((node, further))
                     sizes.append(len(x))
-                    if node is None or node in seen:
+                    if node is None or (node, further) in seen:
                         lengths.append(0)
                         continue
-                    seen.add(node)
-                    level, count = table.of(x)
-                    first = prefix(x, level, 0, percent)
+                    seen.add((node, further))
+                    first = prefix(x, table.of(x), 0, percent)
                     lengths.append(len(first))
                     tokens.append(x[first])
-                    parts.append(np.where(count[first] > PART, 1 + (node & 0x7FFFFFFF) % (count[first] // PART + 1), 0))
                 if len(seen) > REMEMBERED:
                     seen.clear()
                 offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-                values = pa.StructArray.from_arrays([pa.array(np.concatenate(tokens).view(np.int64) if tokens else [], pa.int64()), pa.array(np.concatenate(parts) if parts else [], pa.int32())], ["token", "part"])
-                yield pa.record_batch([part.column("doc_id"), part.column("text_key"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, values).cast(kind)], names=["doc_id", "text_key", "node", "n", "prefix"])
+                values = pa.array(np.concatenate(tokens).view(np.int64) if tokens else [], pa.int64())
+                yield pa.record_batch([part.column("doc_id"), part.column("text_key"), *[pa.array([x[i] for x in named], pa.int64()) for i in (0, 1)], pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "text_key", "node", "further", "n", "prefix"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text").mapInArrow(run, BASE)
 
 
-def set_hash(tokens: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "big", signed=True)
+def told_apart(docs: DataFrame, width: int, percent: int, levels, work: Workspace, bytes_of_name: int = 8) -> tuple[DataFrame, Names]:
+    """The written base table, and names that no two different sets in it share."""
+    names = Names(width=bytes_of_name)
+    while True:
+        base = work.write(base_table(docs, width, percent, levels, names), "base")
+        shared = base.where("node IS NOT NULL").groupBy("node").agg(F.min("further").alias("lo"), F.max("further").alias("hi")).where("lo != hi").select("node").limit(ANEW + 1).collect()
+        if not shared:
+            return base, names
+        names = Names(names.anew | {r["node"] for r in shared}, bytes_of_name)
+        if len(names.anew) > ANEW:
+            raise RuntimeError("too many sets share their names")
 
 
 def _bit(node: np.ndarray, doc: np.ndarray, bits: int) -> np.ndarray:
@@ -225,7 +244,7 @@ def bit_array(owners: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def moved_sets(docs: DataFrame, owners: DataFrame, width: int) -> DataFrame:
+def moved_sets(docs: DataFrame, owners: DataFrame, width: int, names: Names) -> DataFrame:
     """(node, tokens) of the owners (node, doc_id): from the documents, only rows whose bit is set."""
     n = owners.count()
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (32 * n).bit_length()))
@@ -236,7 +255,7 @@ def moved_sets(docs: DataFrame, owners: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for part in bounded(batch, "text"):
                 sets = list(shingles(part.column("text"), width))
-                nodes = np.array([set_hash(x) for x in sets], np.int64)
+                nodes = np.array([names(x)[0] for x in sets], np.int64)
                 bit = _bit(nodes, part.column("doc_id").to_numpy(), bits)
                 hit = [i for i in np.flatnonzero(marks[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)) if len(sets[i])]
                 yield pa.record_batch([pa.array(nodes[hit]), pa.array([sets[i].tobytes() for i in hit], pa.binary())], names=["node", "tokens"])
@@ -268,14 +287,14 @@ def _labelled(rows: DataFrame, labels: DataFrame | None, node: str, label: str)
     return found.withColumn(label, F.coalesce("_root", node)).drop("_root")
 
 
-def index_table(base: DataFrame) -> DataFrame:
-    """(token, part, node, n, large): nodes by prefix token, where the token may have another node."""
-    whole = Window.partitionBy("token", "part").orderBy("node")
-    all_rows = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = base.where(F.size("prefix") > 0).select("node", "n", F.inline("prefix"))
-    rows = rows.select("*", F.lag("node").over(whole).alias("before"), F.first("node").over(all_rows).alias("lo"), F.last("node").over(all_rows).alias("hi"), F.count(F.lit(1)).over(all_rows).alias("k"))
-    rows = rows.where("(lo != hi OR part > 0) AND (before IS NULL OR before != node)")
-    return rows.select("token", "part", "node", "n", ((F.col("part") > 0) | (F.col("k") >= LARGE)).alias("large"))
+def index_table(base: DataFrame, work: Workspace) -> DataFrame:
+    """(token, part, node, n, large): nodes by prefix token, where the token has another node."""
+    rows = base.where(F.size("prefix") > 0).select("node", "n", F.explode("prefix").alias("token"))
+    # Most tokens have one node; their rows end here, by counts that are partial in each task.
+    size = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo != hi")
+    rows = look_up(rows, work.write(size.select("token", "k"), "buckets"), ["token"], "k").where("k IS NOT NULL")
+    part = F.when(F.col("k") > PART, F.pmod(F.xxhash64("node"), F.ceil(F.col("k") / PART))).otherwise(0).cast("int")
+    return rows.select("token", part.alias("part"), "node", "n", (F.col("k") >= LARGE).alias("large")).distinct()
 
 
 def _may_link(a: str, b: str, shared: Column, percent: int) -> Column:
@@ -313,18 +332,18 @@ def small_pairs(shared: DataFrame, percent: int) -> DataFrame:
     return counted.where(_may_link("na", "nb", F.col("c") + F.least("wa", "wb"), percent)).select("a", "b")
 
 
-def star_pairs(large: DataFrame, labels: DataFrame | None, turns: range, percent: int) -> DataFrame:
+def star_pairs(large: DataFrame, labels: DataFrame | None, turns: range, percent: int, work: Workspace) -> DataFrame:
     """(a, b): for each turn, each node with the bucket partner that it meets in most buckets, of those in another component.
 
     The partner of a bucket's part is the node of least hash in that turn; parts of one token meet by their partners.
     """
-    rows = mixed_buckets(large, labels, percent)
+    rows = work.write(mixed_buckets(large, labels, percent, work), "mixed")
     who = [F.min(F.struct(F.xxhash64(F.lit(t), "node").alias("d"), "node", "n", "all", "label")).alias(f"w{t}") for t in turns]
-    partner = rows.groupBy("token", "part").agg(*who)
-    over = partner.groupBy("token").agg(*[F.min(f"w{t}").alias(f"t{t}") for t in turns], F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    partner = work.write(rows.groupBy("token", "part").agg(*who), "partners")
+    over = work.write(partner.groupBy("token").agg(*[F.min(f"w{t}").alias(f"t{t}") for t in turns], F.count(F.lit(1)).alias("parts")).where("parts > 1"), "over")
     each = lambda own: F.inline(F.array(*[F.struct(F.lit(t).alias("turn"), *own(t)) for t in turns]))
     inside = rows.join(partner, ["token", "part"]).select("node", "n", "all", "label", each(lambda t: [F.col(f"w{t}").alias("with")]))
-    across = partner.join(over, "token").select(each(lambda t: [F.col(f"w{t}").alias("one"), F.col(f"t{t}").alias("with")])).select("one.node", "one.n", "one.all", "one.label", "turn", "with")
+    across = look_up(partner, over, ["token"], "parts").where("parts IS NOT NULL").select(each(lambda t: [F.col(f"w{t}").alias("one"), F.col(f"t{t}").alias("with")])).select("one.node", "one.n", "one.all", "one.label", "turn", "with")
     met = inside.unionByName(across).where(F.col("label") != F.col("with.label"))
     met = met.select("turn", "node", "n", "all", F.col("with.node").alias("other"), F.col("with.n").alias("m"), F.col("with.all").alias("all2"))
     counted = met.where(_may_link("n", "m", F.least("all", "all2"), percent)).groupBy("turn", "node", "other").agg(F.count(F.lit(1)).alias("c"))
@@ -334,7 +353,7 @@ def star_pairs(large: DataFrame, labels: DataFrame | None, turns: range, percent
 
 def prefixes(base: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, first, n): the prefixes of some nodes."""
-    rows = base.where(F.size("prefix") > 0).select("node", "n", F.col("prefix.token").alias("first"))
+    rows = base.where(F.size("prefix") > 0).select("node", "n", F.col("prefix").alias("first"))
     return rows.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.first("first").alias("first"), F.first("n").alias("n"))
 
 
@@ -350,7 +369,7 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
 
-def mixed_buckets(large: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+def mixed_buckets(large: DataFrame, labels: DataFrame | None, percent: int, work: Workspace) -> DataFrame:
     """The rows of large buckets that may have a partner of another component there, with each node's component.
 
     Sizes fall into classes whose bounds differ by the least ratio of linked sets, so partners are in the same class or
@@ -359,8 +378,9 @@ def mixed_buckets(large: DataFrame, labels: DataFrame | None, percent: int) -> D
     rows = _labelled(large, labels, "node", "label")
     own = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9)
     near = rows.withColumn("class", F.explode(F.array(own, own + 1)))
-    near = near.groupBy("token", "class").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most")).where("lo != hi")
-    rows = rows.withColumn("class", F.explode(F.array(own, own + 1))).join(near, ["token", "class"])
+    near = near.groupBy("token", "class").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("members")).where("lo != hi")
+    near = work.write(near, "near")
+    rows = look_up(rows.withColumn("class", F.explode(F.array(own, own + 1))), near, ["token", "class"], "members").where("members IS NOT NULL")
     n = F.col("n")
     most = F.least("most", F.floor(n * 100 / percent))
     least = F.greatest("least", F.ceil(n * percent / 100))
@@ -368,20 +388,25 @@ def mixed_buckets(large: DataFrame, labels: DataFrame | None, percent: int) -> D
     return rows.where(F.col("all") >= fewest).select("token", "part", "node", "n", "all", "label").distinct()
 
 
-def blocks(rows: DataFrame, size: str) -> DataFrame:
-    """Rows of buckets (token, node, n, label) dealt to blocks by node, once for each pair of blocks (p, q).
+def dealt(rows: DataFrame, size: str, work: Workspace) -> DataFrame:
+    """Rows of buckets (token, node, n, label) with how many blocks their bucket has and which is theirs, by node.
 
     size: what of a row counts towards BLOCK_TOKENS.
     """
-    count = rows.groupBy("token").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum(F.expr(size)) / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    rows = rows.join(count, "token").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum(F.expr(size)) / BLOCK_TOKENS)).cast("int")
+    count = work.write(rows.groupBy("token").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("members")), "blocks")
+    return look_up(rows, count, ["token"], "members").drop("members").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def meetings(rows: DataFrame) -> DataFrame:
+    """Dealt rows, once for each pair of blocks (p, q) that theirs is in."""
     meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("i", j).alias("p"), F.greatest("i", j).alias("q")))).alias("meet")
-    return rows.select("token", "node", "n", "label", "i", meets).select("token", "node", "n", "label", "i", "meet.p", "meet.q")
+    return rows.select(*[c for c in rows.columns if c != "blocks"], meets).select("*", "meet.p", "meet.q").drop("meet")
 
 
-def live_rows(mixed: DataFrame, base: DataFrame, percent: int) -> DataFrame:
+def live_rows(mixed: DataFrame, base: DataFrame, percent: int, work: Workspace) -> DataFrame:
     """The rows (token, node, n, label) of mixed buckets whose node has a partner there that may link by prefixes."""
-    rows = blocks(mixed, f"n * {100 - percent} DIV 100 + 1").join(prefixes(base, mixed.select("node")).drop("n"), "node")
+    rows = meetings(dealt(mixed, f"n * {100 - percent} DIV 100 + 1", work).join(prefixes(base, mixed.select("node")).drop("n"), "node"))
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
@@ -424,9 +449,9 @@ def promising(token: np.uint64, label: np.ndarray, side: np.ndarray, n: np.ndarr
             yield a, np.flatnonzero(ok) + a + 1, shared[ok], want[ok]
 
 
-def block_links(live: DataFrame, sets: DataFrame, levels, percent: int) -> DataFrame:
+def block_links(live: DataFrame, sets: DataFrame, levels, percent: int, work: Workspace) -> DataFrame:
     """(a, b): links across components among live rows, enough of them to join what they join."""
-    rows = blocks(live, "n").join(sets, "node")
+    rows = meetings(dealt(live, "n", work).join(sets, "node"))
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
@@ -441,7 +466,7 @@ def block_links(live: DataFrame, sets: DataFrame, levels, percent: int) -> DataF
 
 def compare_block(token: np.uint64, label: np.ndarray, side: np.ndarray, sets: list[np.ndarray], levels: Levels, percent: int) -> list[tuple[int, int]]:
     """Pairs of places that link and join components, for pairs on different sides (any, if all are on one)."""
-    level = [levels.of(x)[0] for x in sets]
+    level = [levels.of(x) for x in sets]
     first = [x[prefix(x, v, 0, percent)] for x, v in zip(sets, level, strict=True)]
     further = [[x[prefix(x, v, k, percent)] for x, v in zip(sets, level, strict=True)] for k in range(1, ORDERS)]
     n = np.array([len(x) for x in sets])
@@ -465,28 +490,28 @@ def compare_block(token: np.uint64, label: np.ndarray, side: np.ndarray, sets: l
     return out
 
 
-def join_classes(docs: DataFrame, width: int = 5, percent: int = 80, note: Callable[[str, object], None] | None = None) -> DataFrame:
+def join_classes(docs: DataFrame, width: int = 5, percent: int = 80, note: Callable[[str, object], None] | None = None, bytes_of_name: int = 8) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), text_key,
     and root, which rows of one class share (null for a row that has no copies and no links).
 
-    note: is told the rows of each step, for tests and tuning.
+    note: is told the rows of each step, for tests and tuning. bytes_of_name: fewer make sets share names, for tests.
     """
     spark = docs.sparkSession
     with small_batches(spark):
-        return _join_classes(docs, width, percent, note or (lambda *_: None))
+        return _join_classes(docs, width, percent, note or (lambda *_: None), bytes_of_name)
 
 
-def _join_classes(docs: DataFrame, width: int, percent: int, note: Callable[[str, object], None]) -> DataFrame:
+def _join_classes(docs: DataFrame, width: int, percent: int, note: Callable[[str, object], None], bytes_of_name: int) -> DataFrame:
     spark = docs.sparkSession
     work = Workspace(spark, "ngram-join")
     levels = spark.sparkContext.broadcast(frequent_tokens(docs, width))
-    base = work.write(base_table(docs, width, percent, levels), "base")
-    shared = work.write(index_table(base), "shared")
+    base, names = told_apart(docs, width, percent, levels, work, bytes_of_name)
+    shared = work.write(index_table(base, work), "shared")
     labels: DataFrame | None = None
 
     def sets_of(nodes: DataFrame, name: str) -> DataFrame:
         owners = base.select("node", "doc_id").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        return work.write(moved_sets(docs, work.write(owners, f"owners-{name}"), width), f"sets-{name}")
+        return work.write(moved_sets(docs, work.write(owners, f"owners-{name}"), width, names), f"sets-{name}")
 
     def merge(links: DataFrame, name: str) -> int:
         """Join links into the components; how many there were."""
@@ -517,24 +542,27 @@ def _join_classes(docs: DataFrame, width: int, percent: int, note: Callable[[str
     has = shared.groupBy("node").agg(F.count(F.lit(1)).alias("all"))
     large = work.write(shared.where("large").select("token", "part", "node", "n").join(has, "node"), "large")
     for at in range(ROUNDS):
-        stars = work.write(star_pairs(large, labels, range(at * PARTNERS, (at + 1) * PARTNERS), percent), f"stars-{at}")
+        stars = work.write(star_pairs(large, labels, range(at * PARTNERS, (at + 1) * PARTNERS), percent, work), f"stars-{at}")
         pairs = sharing_pairs(stars, base, percent)
         if not at:
             pairs = pairs.union(small_pairs(shared, percent)).distinct()
         if settle(pairs, str(at)) < GAIN:
             break
-    live = work.write(live_rows(mixed_buckets(large, labels, percent).select("token", "node", "n", "label").distinct(), base, percent), "live")
+    mixed = work.write(mixed_buckets(large, labels, percent, work).select("token", "node", "n", "label").distinct(), "mixed")
+    live = work.write(live_rows(mixed, base, percent, work), "live")
     if not live.isEmpty():
-        m = merge(block_links(live, sets_of(live.select("node").distinct(), "live"), levels, percent), "blocks")
+        m = merge(block_links(live, sets_of(live.select("node").distinct(), "live"), levels, percent, work), "blocks-live")
         note("blocks", (live.count(), m))
 
     nodes = base.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    found = _labelled(nodes, labels, "node", "root")
-    roots = found.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("rows")).where("rows > 1")
-    named = found.join(roots, "root").select("node", "root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = base.select("doc_id", "text_key", "node", F.col("n").cast("long").alias("n_shingles"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)).cast("int").alias("salt"))
+    found = work.write(_labelled(nodes, labels, "node", "root"), "found")
+    classes = found.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("rows"), F.count(F.lit(1)).alias("members")).where("rows > 1")
+    named = look_up(found.select("node", "root", "copies"), work.write(classes, "classes"), ["root"], "members").where("members IS NOT NULL")
+    named = work.write(named.select("node", "root", "copies", "component_id"), "named")
+    work.keep("base", "named")
+    rows = look_up(base.select("doc_id", "text_key", "node", F.col("n").cast("long").alias("n_shingles")), named, ["node"], "copies")
     component = F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    return rows.join(named, ["node", "salt"], "left").select("doc_id", "n_shingles", component, "text_key", "root")
+    return rows.select("doc_id", "n_shingles", component, "text_key", "root")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

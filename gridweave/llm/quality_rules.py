@@ -8,7 +8,7 @@ The ensemble is fitted on at most TRAIN labelled texts, drawn by a hash over all
 
 Edge cases: null and empty texts have all statistics 0 and get a score like any other; without labelled rows, or with
 one class only, the score is the mean label (0.5 without any); a label of null is no label, and of several labels of a
-document the lowest counts; repeated rows are scored alike; an empty table gives no rows; extra columns pass through
+document the lowest counts; of rows with one id, the one with the least statistics is fitted; repeated rows are scored alike; an empty table gives no rows; extra columns pass through
 score_documents unless they bear the name of an output, which replaces them.
 """
 
@@ -167,8 +167,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> Ensemble:
     share = min(1.0, (most + 8 * most**0.5) / max(n, 1))
     drawn = labels.where(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(order).limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    got = statistics(rows).select(order.alias("o"), "quality", *[F.col("_s")[k].alias(k) for k in STATISTICS]).toPandas()
-    got = got.sort_values(["o", *STATISTICS]).drop_duplicates()
+    # Of the rows that bear one id, the one with the least statistics counts, so the driver gets a row per label.
+    one = statistics(rows).groupBy(order.alias("o"), "quality").agg(F.min("_s").alias("_s"))
+    got = one.select("o", "quality", *[F.col("_s")[k].alias(k) for k in STATISTICS]).toPandas().sort_values(["o", "quality"])
     return fit(got[STATISTICS].to_numpy(float), got["quality"].to_numpy(float))
 
 

@@ -97,7 +97,7 @@ def test_blocks_lose_no_link():
         s[rng.integers(0, 120, rng.integers(0, 9))] = rng.integers(0, 2**63)
         sets.append(np.unique(s))
     levels = ngram_join.Levels(np.sort(base[:40]), np.full(40, 50))
-    first = [s[ngram_join.prefix(s, levels.of(s)[0], 0, 85)] for s in sets]
+    first = [s[ngram_join.prefix(s, levels.of(s), 0, 85)] for s in sets]
 
     def joined(pairs):
         parent = list(range(60))
