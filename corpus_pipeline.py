@@ -1,11 +1,16 @@
-"""The corpus pipeline: quality, exact copies, near copies, mix, packing, each stage on all that the one before kept."""
+"""The corpus pipeline: quality, exact copies, near copies, mix, packing, each stage on all that the one before kept.
+
+Edge cases, in every stage: a null text counts as empty and is a document like any other; a null doc_id stays null; repeated
+rows are copies of each other for the copy stages and documents of their own for the others; an empty table gives an empty
+table; further columns, whatever their names, pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from gridweave.llm import chunk_dedup, mixing, ngram_join, packing, quality_rules
-from gridweave.llm.common import Workspace, documents
+from gridweave.llm.common import Workspace, documents, temporary_tables
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,5 +48,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "pipeline")
     docs = documents(spark, sf_dir)
     for at, (_, stage) in enumerate(STAGES):
-        docs = work.write(stage(spark, docs, sf_dir), f"stage-{at}")
+        with temporary_tables():  # what a stage wrote for itself goes once its result is written
+            docs = work.write(stage(spark, docs, sf_dir), f"stage-{at}")
+        work.drop(f"stage-{at - 1}")
     return docs
