@@ -287,14 +287,18 @@ def rule_capacity_and_run(spark, sf):
     return s.where(F.coalesce(run * 100 < F.col("length"), F.lit(True)) | F.coalesce(capacity < F.col("flow"), F.lit(False))).select("variant", "line", "part", "supplier", "flow")
 
 
-@query("SELECT variant, lines, distinct_lines FROM (SELECT variant, count(*) AS lines, count(DISTINCT line) AS distinct_lines FROM segments GROUP BY variant) WHERE lines <> distinct_lines")
+@query("SELECT variant, count(*) AS lines FROM segments GROUP BY variant HAVING list_sort(list(line)) <> range(1, count(*) + 1)")
 def rule_ranks_sequential(spark, sf):
-    return scene.segments(spark, sf).groupBy("variant").agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("line").alias("distinct_lines")).where("lines <> distinct_lines")
+    """Variants whose lines, sorted, aren't 1 to n: repeats and gaps."""
+    lines = scene.segments(spark, sf).groupBy("variant").agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("line").alias("k"), F.min("line").alias("lo"), F.max("line").alias("hi"))
+    return lines.where("lines <> k OR lo <> 1 OR hi <> lines").select("variant", "lines")
 
 
-@query("SELECT variant, line, part, supplier, cost, CAST(dn AS BIGINT) AS dn FROM segments WHERE special AND cost <= length // 100 * 140000")
+@query("SELECT s.variant, s.line, s.part, s.supplier, s.cost, CAST(s.dn AS BIGINT) AS dn FROM segments s JOIN dims d USING (dn) WHERE special AND cost <= 1.62::DOUBLE * (s.length / 100.0::DOUBLE * d.per_m) - 10000")
 def rule_special_dearer(spark, sf):
-    return scene.segments(spark, sf).where("special AND cost <= floor(length / 100) * 140000").select("variant", "line", "part", "supplier", "cost", F.col("dn").cast("long").alias("dn"))
+    """Special crossings that cost less than 1.62 times what their own diameter costs, by 10000 or more."""
+    due = F.col("length") / 100.0 * C.of_diameter(F.col("dn"), 3)
+    return scene.segments(spark, sf).where(F.col("special") & (F.col("cost") <= 1.62 * due - 10000)).select("variant", "line", "part", "supplier", "cost", F.col("dn").cast("long").alias("dn"))
 
 
 # Sensitivity
@@ -309,4 +313,4 @@ def sens_leave_one_out(spark, sf):
 FLAGSHIP = agg_variant_cost
 
 # These modules register their queries when imported.
-from gridweave.plans import depth_queries, geometry_queries, result_queries, route_queries  # noqa: E402, F401
+from gridweave.plans import compliance_queries, depth_queries, geometry_queries, result_queries, route_queries  # noqa: E402, F401
