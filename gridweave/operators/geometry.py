@@ -74,10 +74,20 @@ def line_box(prefix: str = "", margin: int = 0) -> tuple[Column, Column, Column,
     return F.least(a, c) - margin, F.least(b, d) - margin, F.greatest(a, c) + margin, F.greatest(b, d) + margin
 
 
-def lines_near(points: DataFrame, lines: DataFrame, point: str, line: str, radius: int) -> DataFrame:
+def with_passed_cells(df: DataFrame, margin: int, size: int) -> DataFrame:
+    """A row for every grid cell that a line (x0, y0, x1, y1) passes within a margin; of a slanted line's box that is a small share."""
+    cells = with_cells(df, line_box(margin=margin), size)
+    near = margin + 1
+    cell = (F.col("cx") * size - near, F.col("cy") * size - near, (F.col("cx") + 1) * size + near, (F.col("cy") + 1) * size + near)
+    low, high = inside_part(*[F.col(n) for n in ("x0", "y0", "x1", "y1")], cell)
+    return cells.where(low <= high)
+
+
+def lines_near(points: DataFrame, lines: DataFrame, point: str, line: str, radius: int, cell: int = 10_000) -> DataFrame:
     """(point, line, fraction, distance) of every line within the radius of a point (x, y); lines have x0, y0, x1, y1."""
-    l = with_cells(lines.select(line, "x0", "y0", "x1", "y1"), line_box(margin=radius), radius)
-    p = points.select(point, "x", "y", F.floor(F.col("x") / radius).alias("cx"), F.floor(F.col("y") / radius).alias("cy"))
+    cell = max(cell, radius)
+    l = with_passed_cells(lines.select(line, "x0", "y0", "x1", "y1"), radius, cell)
+    p = points.select(point, "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
     x, y, *ends = (F.col(n) for n in ("x", "y", "x0", "y0", "x1", "y1"))
     t, fx, fy = nearest_on_segment(x, y, *ends)
     hit = p.join(l, ["cx", "cy"]).withColumn("fraction", t).withColumn("distance", F.sqrt((x - fx) * (x - fx) + (y - fy) * (y - fy)))
@@ -96,6 +106,29 @@ def crossings(lines: DataFrame, line: str, cell: int) -> DataFrame:
     return pairs.where(first & apart(a, b) & apart(b, a)).select("a", "b")
 
 
+def box_distance(x0: Column, y0: Column, x1: Column, y1: Column, box: tuple[Column, Column, Column, Column]) -> Column:
+    """Distance between a segment and a box, 0 where they meet: else an end is nearest to the box or a corner to the segment."""
+    to_box = lambda x, y: F.hypot(F.greatest(box[0] - x, x - box[2], F.lit(0)), F.greatest(box[1] - y, y - box[3], F.lit(0)))
+
+    def to_segment(x, y):
+        _, fx, fy = nearest_on_segment(x, y, x0, y0, x1, y1)
+        return F.hypot(x - fx, y - fy)
+
+    corners = [to_segment(box[i], box[j]) for i in (0, 2) for j in (1, 3)]
+    low, high = inside_part(x0, y0, x1, y1, box)
+    return F.when(low < high, 0.0).otherwise(F.least(to_box(x0, y0), to_box(x1, y1), *corners))
+
+
+def buffer_of_box(box: tuple[Column, Column, Column, Column], by: Column) -> Column:
+    """The ring around a box at a distance, two segments a quarter turn: an array of (x, y) that turns left, from the lower right."""
+    half = by * (0.5**0.5)
+    out = []
+    for x, y, sx, sy in ((box[2], box[1], 1, -1), (box[2], box[3], 1, 1), (box[0], box[3], -1, 1), (box[0], box[1], -1, -1)):
+        turn = [(x, y + sy * by), (x + sx * half, y + sy * half), (x + sx * by, y)]
+        out += turn if sx * sy < 0 else turn[::-1]
+    return F.array(*[F.struct(a.cast("double").alias("x"), b.cast("double").alias("y")) for a, b in out])
+
+
 def inside_part(x0: Column, y0: Column, x1: Column, y1: Column, box: tuple[Column, Column, Column, Column]) -> tuple[Column, Column]:
     """Fractions of a segment between which it runs inside a box; from >= to where its interior misses the box."""
     low, high = F.lit(0.0), F.lit(1.0)

@@ -18,6 +18,14 @@ RESTRICTIONS = [
     ("water", "FORBIDDEN", 1.0, 1.0), ("railway", "FORBIDDEN", 1.0, 1.0), ("road", "SPECIAL_CROSSING", 1.5, 1.6), ("tram_tracks", "SPECIAL_CROSSING", 1.5, 1.75),
     ("gas_pipeline", "SPECIAL_CROSSING", 2.0, 1.25), ("power_cable", "SPECIAL_CROSSING", 2.0, 1.15), ("heat_network", "SPECIAL_CROSSING", 1.0, 1.05),
 ]
+# Restriction type, least crossing angle (degrees), least depth of cover below its surface (m), margin of the special part (m), whether that part lies within the polygon.
+CROSSINGS = [
+    ("road", 45, 1.0, 3.0, True), ("tram_tracks", 45, 1.2, 3.0, True), ("gas_pipeline", None, None, 2.0, False), ("power_cable", None, None, 2.0, False), ("heat_network", None, None, 2.0, False),
+]
+# Longest run alongside a special object (m), nearby objects explained (m beyond the required distance), a distance that binds, one that touches (m).
+ALONGSIDE, NEARBY, BINDING, TOUCHING = 3.0, 12.0, 0.5, 0.05
+# Usual depth (m), half of a flat part (m), steepest slope.
+USUAL_DEPTH, FLAT_HALF, SLOPE = 3.0, 2.0, 0.1
 # Alias, restriction type.
 ALIASES = [
     ("oks", "oks_existing"), ("oks_exist", "oks_existing"), ("building", "oks_existing"), ("existing_building", "oks_existing"),
