@@ -1,7 +1,8 @@
 """Routes around obstacles for many districts at once: one Arrow group a district, a numpy kernel inside.
 
 A district's obstacles are boxes that routes may touch but not enter. Its vertices are the boxes' corners, terminals and tie-in
-points; edges are the pairs that see each other. Where a district has a square, its routes stay in it; what it can't join but
+points; edges are the pairs that see each other. What a vertex sees is worked out when a path first comes through it, in
+widening circles, until the boxes within hide everything beyond. Where a district has a square, its routes stay in it; what it can't join but
 might be joined beyond its sides is left to a wider district. The tree grows by attaching the terminal nearest to what is built; flows
 add up towards the tie-in and decide diameters, which never fall on the way up.
 """
@@ -40,58 +41,133 @@ def visible(a: np.ndarray, b: np.ndarray, boxes: np.ndarray) -> np.ndarray:
     return (outside | (low >= high - 1e-9)).all(axis=1)
 
 
-def visibility_graph(points: np.ndarray, boxes: np.ndarray) -> np.ndarray:
-    """Distances between points that see each other, infinity elsewhere. Rows are tested one at a time, so memory is n x boxes."""
-    n = len(points)
-    weights = np.full((n, n), np.inf)
-    for i in range(n - 1):
-        rest = points[i + 1 :]
-        seen = visible(np.broadcast_to(points[i], rest.shape), rest, boxes)
-        weights[i, i + 1 :] = np.where(seen, np.hypot(*(rest - points[i]).T), np.inf)
-    return np.minimum(weights, weights.T)
-
-
-def shortest(weights: np.ndarray, sources: list[int], closed: set[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Distance to the nearest source and the step towards it; nodes in closed end paths but don't pass them on."""
-    distance, back = np.full(len(weights), np.inf), np.full(len(weights), -1)
-    distance[sources] = 0.0
-    heap = [(0.0, s) for s in sources]
-    while heap:
-        d, v = heapq.heappop(heap)
-        if d > distance[v] or (v in closed and d > 0):
-            continue
-        through = d + weights[v]
-        better = np.flatnonzero(through < distance)
-        distance[better], back[better] = through[better], v
-        for u in better.tolist():
-            heapq.heappush(heap, (float(distance[u]), u))
-    return distance, back
-
-
-def grow(weights: np.ndarray, roots: list[int], terminals: list[int], most: int = D.MAX_DEGREE, used: dict[int, int] | None = None) -> dict[int, int]:
+def hidden_beyond(p: np.ndarray, boxes: np.ndarray) -> bool:
+    """Whether boxes around a point leave no direction open. Directions along sides are open, so intervals must overlap."""
+    outside = boxes[~((boxes[:, 0] < p[0]) & (p[0] < boxes[:, 2]) & (boxes[:, 1] < p[1]) & (p[1] < boxes[:, 3]))]
+    if len(outside) < len(boxes):
+        return True  # inside one
+    if len(outside) < 2:
+        return False
+    middle = np.arctan2((outside[:, 1] + outside[:, 3]) / 2 - p[1], (outside[:, 0] + outside[:, 2]) / 2 - p[0])
+    dx, dy = outside[:, [0, 2, 2, 0]] - p[0], outside[:, [1, 1, 3, 3]] - p[1]
+    turn = np.arctan2(dy, dx) - middle[:, None]
+    turn = np.where((dx == 0) & (dy == 0), 0.0, (turn + np.pi) % (2 * np.pi) - np.pi)
+    low = (middle + turn.min(axis=1)) % (2 * np.pi)
+    high = low + (turn.max(axis=1) - turn.min(axis=1))
+    order = np.argsort(low)
+    low, high = low[order], np.maximum.accumulate(high[order])
+    end = max(high[-1] - 2 * np.pi, 0.0)  # how far intervals that pass the full turn reach into the next
+    before = np.concatenate([[end], np.maximum(high[:-1], end)])
+    return bool((low < before - 1e-9).all() and high[-1] > 2 * np.pi + low[0] + 1e-9)
+
+
+def sees(p: np.ndarray, points: np.ndarray, boxes: np.ndarray, start: float = 50.0) -> np.ndarray:
+    """Indices of the points in sight of p, by circles of twice the radius each; boxes nearer by are tried first."""
+    far = np.hypot(*(points - p).T)
+    dx, dy = (np.maximum(np.maximum(boxes[:, k] - p[k], p[k] - boxes[:, k + 2]), 0.0) for k in (0, 1))
+    near, most = np.hypot(dx, dy), np.hypot(*(np.maximum(np.abs(boxes[:, k] - p[k]), np.abs(boxes[:, k + 2] - p[k])) for k in (0, 1)))
+    order = np.argsort(near, kind="stable")
+    boxes, near, most = boxes[order], near[order], most[order]
+    found, inner, radius = [], -1.0, start
+    while True:
+        left = np.flatnonzero((far > inner) & (far <= radius))
+        until, at, width = int(np.searchsorted(near, radius, "right")), 0, 16
+        while at < until and len(left):
+            some = boxes[at : min(at + width, until)]
+            left = left[visible(np.broadcast_to(p, (len(left), 2)), points[left], some)]
+            at, width = at + width, width * 2
+        found.append(left)
+        if not len(far) or radius >= far.max() or hidden_beyond(p, boxes[:until][most[:until] <= radius]):
+            return np.concatenate(found)
+        inner, radius = radius, radius * 2
+
+
+class Sight:
+    """What each of some points sees, with distances, worked out once when asked for."""
+
+    def __init__(self, points: np.ndarray, boxes: np.ndarray):
+        self.points, self.boxes, self.known = points, boxes, {}
+
+    def __call__(self, v: int) -> list[tuple[int, float]]:
+        if v not in self.known:
+            seen = sees(self.points[v], self.points, self.boxes)
+            seen = seen[seen != v]
+            self.known[v] = list(zip(seen.tolist(), np.hypot(*(self.points[seen] - self.points[v]).T).tolist(), strict=True))
+        return self.known[v]
+
+
+def shortest(neighbours, sources: list[int], closed) -> tuple[dict[int, float], dict[int, int]]:
+    """Distance of each reachable node to the nearest source and the step towards it; nodes in closed end paths but don't pass them on."""
+    paths = Paths(neighbours, sources)
+    for _ in paths.settle(closed):
+        pass
+    return paths.distance, paths.back
+
+
+class Paths:
+    """Shortest paths from sources; nodes come out by distance, as far as they are asked for."""
+
+    def __init__(self, neighbours, sources: list[int]):
+        self.neighbours, self.distance, self.back = neighbours, dict.fromkeys(sources, 0.0), {}
+        self.heap = [(0.0, s) for s in sorted(sources)]
+
+    def settle(self, closed):
+        while self.heap:
+            d, v = heapq.heappop(self.heap)
+            if d > self.distance[v]:
+                continue
+            if v not in closed or d == 0:
+                for u, w in self.neighbours(v):
+                    if d + w < self.distance.get(u, np.inf):
+                        self.distance[u], self.back[u] = d + w, v
+                        heapq.heappush(self.heap, (d + w, u))
+            yield v
+
+
+def grow(neighbours, roots: list[int], terminals: list[int], most: int = D.MAX_DEGREE, used: dict[int, int] | None = None) -> dict[int, int]:
     """Parents of the nodes of a forest from the roots that reaches every terminal it can; terminals don't pass flow on.
 
-    used: branches that roots have already.
+    The terminal nearest to the forest is attached first. Each terminal seeks the forest from its side, so only its
+    surroundings are looked at; what joins the forest later may be nearer, and only where a node on the way has all its
+    branches is a search repeated. used: branches that roots have already.
     """
     parent: dict[int, int] = {r: -1 for r in roots}
     degree = {r: 2 + (used or {}).get(r, 0) for r in roots}
-    left = set(terminals) - set(roots)
-    while left:
-        open_ = [v for v in parent if v not in terminals and degree.get(v, 0) < most]
-        if not open_:
-            break
-        full = {v for v in parent if v not in open_}
-        distance, back = shortest(weights, open_, set(terminals) | full)
-        best = min(left, key=lambda t: (distance[t], t))
-        if not np.isfinite(distance[best]):
+    ends = set(terminals)
+    open_ = {r for r in roots if r not in ends and degree[r] < most}
+    searches: dict[int, Paths] = {}
+    best: dict[int, tuple[float, int]] = {}
+
+    def seek(t: int) -> None:
+        paths = searches[t] = Paths(neighbours, [t])
+        met = next((v for v in paths.settle(ends | parent.keys()) if v in open_), None)
+        best[t] = (np.inf, -1) if met is None else (paths.distance[met], met)
+
+    for t in sorted(ends - set(roots)):
+        seek(t)
+    while best:
+        t = min(best, key=lambda t: (best[t][0], t))
+        _, v = best.pop(t)
+        if v < 0:
             break
-        v = best
-        while v not in parent:
-            u = int(back[v])
-            parent[v] = u
+        back, joined = searches.pop(t).back, [v]
+        while v != t:
+            u = back[v]
+            parent[u] = v
             degree[u], degree[v] = degree.get(u, 0) + 1, degree.get(v, 0) + 1
+            joined.append(u)
             v = u
-        left.discard(best)
+        filled = [x for x in joined if x not in ends and degree[x] >= most]
+        fresh = [x for x in joined[1:] if x not in ends and degree[x] < most]
+        open_.difference_update(filled)
+        open_.update(fresh)
+        for other, paths in searches.items():
+            if any(x in paths.distance for x in filled):
+                seek(other)
+                continue
+            for x in fresh:
+                if paths.distance.get(x, np.inf) < best[other][0]:
+                    best[other] = (paths.distance[x], x)
     return parent
 
 
@@ -137,7 +213,7 @@ class District:
     roots: list[int]
     terminals: list[int]
     flows: dict[int, float]
-    weights: np.ndarray
+    sight: Sight
     used: dict[int, int]
     boxes: np.ndarray
     square: np.ndarray | None
@@ -161,10 +237,7 @@ def district(rows: pd.DataFrame) -> District:
     flows = {i: float(ends.flow.iloc[i]) for i in terminals}
     roots = [i for i, k in enumerate(ends.kind) if k == "tie"]
     used = {i: int(ends.flow.iloc[i]) for i in roots if ends.flow.iloc[i] == ends.flow.iloc[i]}
-    # Without both ends nothing is built, so sight is worked out only where it tells what gets out.
-    seen = bool(terminals and (roots or square is not None))
-    weights = visibility_graph(points, boxes) if seen else np.full((len(points), len(points)), np.inf)
-    return District(points, names, roots, terminals, flows, weights, used, boxes, square)
+    return District(points, names, roots, terminals, flows, Sight(points, boxes), used, boxes, square)
 
 
 def gets_out(d: District, terminals: list[int]) -> list[int]:
@@ -175,22 +248,25 @@ def gets_out(d: District, terminals: list[int]) -> list[int]:
     """
     if d.square is None or not terminals:
         return []
-    x0, y0, x1, y1 = d.square
-    exits = np.zeros(len(d.points), bool)
-    for axis, side in ((0, x0), (0, x1), (1, y0), (1, y1)):
-        feet = d.points.copy()
-        feet[:, axis] = side
-        exits |= visible(d.points, feet, d.boxes)
+    sides = [(0, d.square[0]), (0, d.square[2]), (1, d.square[1]), (1, d.square[3])]
+
+    def exits(v: int) -> bool:
+        feet = np.repeat(d.points[v][None], 4, axis=0)
+        for k, (axis, side) in enumerate(sides):
+            feet[k, axis] = side
+        return bool(len(sees(d.points[v], feet, d.boxes)))
+
     out, known = [], {}
     for t in terminals:
         if t not in known:
-            reach, stack = {t}, [t]
-            while stack:
-                for u in np.flatnonzero(np.isfinite(d.weights[stack.pop()])).tolist():
+            reach, stack, free = {t}, [t], False
+            while stack and not free:
+                v = stack.pop()
+                free = known.get(v) or exits(v)
+                for u, _ in [] if free else d.sight(v):
                     if u not in reach:
                         reach.add(u)
                         stack.append(u)
-            free = bool(exits[list(reach)].any())
             known |= dict.fromkeys(reach, free)
         if known[t]:
             out.append(t)
@@ -202,8 +278,8 @@ PRICE = {r[0]: r[3] for r in D.DIAMETERS}
 
 def routes(d: District, terminals: list[int]) -> list[tuple]:
     """(from, to, flow, diameter, length, cost) of the edges that serve the terminals."""
-    parent = grow(d.weights, d.roots, terminals, used=d.used)
-    lengths = {v: float(d.weights[v, u]) for v, u in parent.items() if u >= 0}
+    parent = grow(d.sight, d.roots, terminals, used=d.used) if d.roots else {}
+    lengths = {v: float(np.hypot(*(d.points[v] - d.points[u]))) for v, u in parent.items() if u >= 0}
     total, dn = sizes(parent, {t: d.flows[t] for t in terminals}, lengths)
     return [(u, v, round(total[v], 3), dn[v], round(lengths[v], 2), float(np.floor(lengths[v] * PRICE[dn[v]] + 0.5))) for v, u in parent.items() if u >= 0]
 
@@ -256,9 +332,15 @@ def sensitivity_attempt(rows: pd.DataFrame) -> pd.DataFrame:
     return _sensitivity(int(rows.district.iloc[0]), d, waits)
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """By district to a fixed number of tasks: a district is little data but much work, so few bytes don't mean few tasks."""
+    tasks = max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks, "district")
+
+
 def attempt(rows: DataFrame) -> DataFrame:
     """Routes of every district, and rows with only `waits`: terminals left to a wider district."""
-    return rows.groupBy("district").applyInPandas(attempt_district, ATTEMPT)
+    return _dealt(rows).groupBy("district").applyInPandas(attempt_district, ATTEMPT)
 
 
 def plan(rows: DataFrame) -> DataFrame:
@@ -266,7 +348,7 @@ def plan(rows: DataFrame) -> DataFrame:
 
     A district is one task's: its size is set by whoever draws the districts, not by the number of them.
     """
-    return rows.groupBy("district").applyInPandas(plan_district, ROUTES)
+    return _dealt(rows).groupBy("district").applyInPandas(plan_district, ROUTES)
 
 
 def unconnected(rows: DataFrame, routes: DataFrame) -> DataFrame:
@@ -281,4 +363,4 @@ def sensitivity(rows: DataFrame, waiting: bool = False) -> DataFrame:
 
     waiting: whether terminals that are left to a wider district are left out.
     """
-    return rows.groupBy("district").applyInPandas(sensitivity_attempt if waiting else sensitivity_district, "district long, terminal long, adds_cost double, adds_length double")
+    return _dealt(rows).groupBy("district").applyInPandas(sensitivity_attempt if waiting else sensitivity_district, "district long, terminal long, adds_cost double, adds_length double")

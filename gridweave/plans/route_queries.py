@@ -70,11 +70,21 @@ def districts(spark, sf, width: int = 0, terminals: DataFrame | None = None, use
     return ends.unionByName(ties).unionByName(boxes.join(here, "district", "left_semi")).unionByName(square)
 
 
+_attempts: dict[tuple[str, str], list[tuple[DataFrame, DataFrame]]] = {}
+
+
 def attempts(spark, sf):
-    """For each width: its rows, and what routing.attempt gives for them, kept for the widths after it."""
+    """For each width: its rows, and what routing.attempt gives for them, written; once for an application and a folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _attempts:
+        _attempts[key] = _attempt_widths(spark, sf)
+    return _attempts[key]
+
+
+def _attempt_widths(spark, sf):
     out, left, used, work = [], None, None, Workspace(spark, "routes")
     for width in range(WIDER + 1):
-        rows = districts(spark, sf, width, left, used)
+        rows = work.write(districts(spark, sf, width, left, used), f"rows-{width}")
         found = work.write(routing.attempt(rows), f"width-{width}")
         out.append((rows, found))
         left = found.where("waits IS NOT NULL").select(F.col("waits").alias("terminal"))

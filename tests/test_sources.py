@@ -100,9 +100,43 @@ def test_shortest_paths_against_brute_force():
         w = np.minimum(w, w.T)
         w[rng.uniform(size=(6, 6)) < 0.3] = np.inf
         w = np.maximum(w, w.T)
-        distance, _ = routing.shortest(w, [0], set())
+        distance, _ = routing.shortest(lambda v, w=w: [(u, w[v, u]) for u in range(6) if np.isfinite(w[v, u])], [0], set())
         for v in range(1, 6):
-            assert np.isclose(distance[v], brute_shortest(w, 0, v)) or distance[v] == brute_shortest(w, 0, v) == np.inf
+            assert np.isclose(distance.get(v, np.inf), brute_shortest(w, 0, v)) or v not in distance and brute_shortest(w, 0, v) == np.inf
+
+
+def test_sight_in_circles_is_sight_over_all_boxes():
+    rng = np.random.default_rng(7)
+    for n, side in ((3, 900), (60, 900), (400, 300)):
+        low = rng.integers(0, side, (n, 2)).astype(float)
+        boxes = np.concatenate([low, low + rng.integers(5, 25, (n, 2))], axis=1)
+        points = np.concatenate([boxes[:, [0, 1]], boxes[:, [2, 3]], boxes[:, [0, 3]], rng.uniform(0, side, (20, 2))])
+        for v in rng.integers(0, len(points), 25):
+            want = np.flatnonzero(routing.visible(np.broadcast_to(points[v], points.shape), points, boxes))
+            assert sorted(routing.sees(points[v], points, boxes).tolist()) == want.tolist()
+
+
+def test_growing_keeps_paths_or_seeks_them_anew_alike():
+    rng = np.random.default_rng(9)
+    points = rng.uniform(0, 100, (40, 2))
+    w = np.hypot(*(points[:, None] - points[None]).transpose(2, 0, 1))
+    near = lambda v: [(u, w[v, u]) for u in range(40) if u != v and w[v, u] < 35]
+    roots, ends = [0, 1], list(range(2, 16))
+    got = routing.grow(near, roots, ends)
+    parent, degree, left = {0: -1, 1: -1}, {0: 2, 1: 2}, set(ends)
+    while left:  # a fresh search for every terminal
+        open_ = [v for v in parent if v not in ends and degree.get(v, 0) < 4]
+        distance, back = routing.shortest(near, open_, set(ends) | (set(parent) - set(open_)))
+        best = min(left, key=lambda t: (distance.get(t, np.inf), t))
+        if best not in distance:
+            break
+        v = best
+        while v not in parent:
+            parent[v] = back[v]
+            degree[back[v]], degree[v] = degree.get(back[v], 0) + 1, degree.get(v, 0) + 1
+            v = back[v]
+        left.discard(best)
+    assert got == parent and max(degree.values()) <= 4
 
 
 def test_sight_against_samples():
