@@ -41,7 +41,10 @@ def decode(features: DataFrame) -> DataFrame:
     unknown = kind.isNotNull() & ~kind.isin(*NESTING, "GeometryCollection")
     checked = F.when(bad, F.raise_error(F.concat(F.lit("not a feature, at ordinal "), F.col("ordinal").cast("string")))).when(unknown, F.raise_error(F.concat(F.lit("unknown geometry type "), kind))).otherwise(kind)
     raw = F.from_json("f.properties", "map<string,string>")
-    scalar = lambda k, v: ~F.coalesce(v, F.lit("")).rlike(r"(?s)^\s*(\{|\[.*\{)")
+    # Text may look like an object: only then the value's own kind is looked up.
+    kinds = F.from_json("f.properties", "map<string,variant>")
+    nested = lambda v: F.coalesce(v, F.lit("")).rlike(r"(?s)^\s*(\{|\[.*\{)")
+    scalar = lambda k, v: F.when(nested(v), F.schema_of_variant(kinds[k]) == "STRING").otherwise(True)
     props = F.coalesce(F.map_filter(raw, scalar), F.create_map().cast("map<string,string>"))
     number = F.get_json_object("f.properties", "$.id")
     # Whether the id was text decides how it is written again.
