@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from gridweave.operators.storage import Workspace
 from gridweave.sources.geojson import FormatError, decode
 
-#: The array of features, a string, an innermost array (skipped), a bracket, a character that JSON has in strings only.
-TOKEN = re.compile(r'(?P<features>"features"\s*:\s*\[)|"[^"\\]*(?:\\.[^"\\]*)*(?P<end>"|\Z)|\[[^\[\]{}"]*\]|[{}\[\]]|(?P<bad>[^\s\d,:.eE+\-truefalsn])', re.S)
+#: The array of features, a string, innermost arrays (skipped), a bracket, a character that JSON has in strings only.
+TOKEN = re.compile(r'(?P<features>"features"\s*:\s*\[)|"[^"\\]*(?:\\.[^"\\]*)*(?P<end>"|\Z)|(?:\[[^\[\]{}"]*\][\s,]*)+|[{}\[\]]|(?P<bad>[^\s\d,:.eE+\-truefalsn])', re.S)
 STRING_END = re.compile(r'[^"\\]*(?:\\.[^"\\]*)*"', re.S)
 PAIRS = {"}": "{", "]": "["}
 
