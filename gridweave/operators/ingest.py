@@ -5,12 +5,12 @@ All functions take features as gridweave.sources.geojson decodes them; coordinat
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions import catalogue as C
+from gridweave.operators import geometry as G
+from gridweave.operators import topology
 from gridweave.sources import dimensions as D
 from gridweave.sources import geojson
 
@@ -53,7 +53,10 @@ def chambers(features: DataFrame) -> DataFrame:
 
 
 def chambers_with_network(chambers: DataFrame, segments: DataFrame, tolerance: float) -> DataFrame:
-    """chambers with degree and dn, taken from the segments that end within the tolerance; a stated dn stays."""
+    """chambers with degree and dn, taken from the segments that end within the tolerance; a stated dn stays.
+
+    A chamber where nothing ends, but on a line's way, has two connections: the line comes in and goes on.
+    """
     ends = segments.select("dn", F.explode(F.array(F.element_at("points", 1), F.element_at("points", -1))).alias("p")).select(F.col("dn").alias("line_dn"), F.col("p")[0].alias("ex"), F.col("p")[1].alias("ey"))
     cell = lambda v: F.floor(F.col(v) / tolerance)
     ends = ends.withColumn("cx", cell("ex")).withColumn("cy", cell("ey"))
@@ -61,24 +64,35 @@ def chambers_with_network(chambers: DataFrame, segments: DataFrame, tolerance: f
     c = chambers.withColumn("c", F.explode(around)).select("id", "x", "y", "c.cx", "c.cy")
     near = c.join(ends, ["cx", "cy"]).where(F.hypot(F.col("x") - F.col("ex"), F.col("y") - F.col("ey")) <= tolerance)
     met = near.groupBy("id").agg(F.count(F.lit(1)).alias("degree"), F.max("line_dn").alias("line_dn"))
-    out = chambers.join(met, "id", "left")
+    spot = chambers.join(met, "id", "left_anti").select("id", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    passed = topology.nearest_links(spot, topology.links(segments), "id", tolerance).select("id", F.lit(2).alias("passed"))
+    out = chambers.join(met, "id", "left").join(passed, "id", "left")
     inferred = (F.col("dn") == 0) & F.col("line_dn").isNotNull()
-    return out.select("id", F.when(inferred, F.col("line_dn")).otherwise(F.col("dn")).alias("dn"), inferred.alias("inferred"), F.coalesce("degree", F.lit(0)).alias("degree"), "x", "y")
+    return out.select("id", F.when(inferred, F.col("line_dn")).otherwise(F.col("dn")).alias("dn"), inferred.alias("inferred"), F.coalesce("degree", "passed", F.lit(0)).alias("degree"), "x", "y")
 
 
 def terminals(features: DataFrame) -> DataFrame:
-    """(id, id_is_text, x, y, flow, origin): a building's point, the point with the smallest id of several; its flow, else the point's.
+    """(id, id_is_text, x, y, flow, origin): a building's point, of several the one nearest to the network, then the smallest id;
+    the building's flow, 0 without one.
 
-    Points without a building stand alone. A building without a point gets the first corner of its outline.
+    Points without a building stand alone with their own flow. A building without a point gets the place of its outline that is
+    nearest to the network, its first corner where there's no network.
     """
     f = with_ids(features)
     points = f.where("object_type = 'oks_connection_point' AND geom IS NOT NULL").select(
         F.col("id").alias("point"), F.col("id_is_text").alias("point_is_text"), F.col("props")["oks_id"].alias("oks"), F.col("geom.parts")[0][0][0].alias("px"), F.col("geom.parts")[0][0][1].alias("py"), _number("flow_tph").alias("point_flow")
     )
-    buildings = f.where("object_type = 'oks_future' AND geom IS NOT NULL").select(F.col("id").alias("oks"), "id_is_text", F.col("geom.parts")[0][0][0].alias("bx"), F.col("geom.parts")[0][0][1].alias("by"), _number("flow_tph").alias("flow"))
-    one = points.where("oks IS NOT NULL").groupBy("oks").agg(F.min(F.struct("point", "px", "py", "point_flow")).alias("p")).select("oks", "p.*")
-    linked = buildings.join(one, "oks", "left").select(
-        F.col("oks").alias("id"), "id_is_text", F.coalesce("px", "bx").alias("x"), F.coalesce("py", "by").alias("y"), F.coalesce("flow", "point_flow", F.lit(0.0)).alias("flow"), F.when(F.col("point").isNull(), "outline").otherwise("building").alias("origin")
+    network = topology.links(segments(features))
+    buildings = f.where("object_type = 'oks_future' AND geom IS NOT NULL").select(F.col("id").alias("oks"), "id_is_text", F.col("geom.parts").alias("parts"), F.col("geom.parts")[0][0][0].alias("bx"), F.col("geom.parts")[0][0][1].alias("by"), _number("flow_tph").alias("flow"))
+    owned = points.where("oks IS NOT NULL")
+    several = owned.join(owned.groupBy("oks").count().where("count > 1"), "oks", "left_semi")
+    spot = several.select("point", F.col("px").alias("x0"), F.col("py").alias("y0"), F.col("px").alias("x1"), F.col("py").alias("y1"))
+    far = topology.nearest_links(spot, network, "point").select("point", "d")
+    one = owned.join(far, "point", "left").groupBy("oks").agg(F.min(F.struct(F.coalesce("d", F.lit(float("inf"))), "point", "px", "py")).alias("p")).select("oks", "p.point", "p.px", "p.py")
+    bare = buildings.join(owned, "oks", "left_anti").select("oks", F.explode("parts").alias("points"))
+    edge = topology.nearest_links(topology.links(bare, "oks"), network, "oks").select("oks", F.col("x").alias("ex"), F.col("y").alias("ey"))
+    linked = buildings.join(one, "oks", "left").join(edge, "oks", "left").select(
+        F.col("oks").alias("id"), "id_is_text", F.coalesce("px", "ex", "bx").alias("x"), F.coalesce("py", "ey", "by").alias("y"), F.coalesce("flow", F.lit(0.0)).alias("flow"), F.when(F.col("point").isNull(), "outline").otherwise("building").alias("origin")
     )
     alone = points.join(buildings.select("oks"), "oks", "left_anti")
     return linked.unionByName(alone.select(F.col("point").alias("id"), F.col("point_is_text").alias("id_is_text"), F.col("px").alias("x"), F.col("py").alias("y"), F.coalesce("point_flow", F.lit(0.0)).alias("flow"), F.lit("point").alias("origin")))
@@ -132,18 +146,42 @@ def diagnostics(features: DataFrame, samples: int = 50) -> DataFrame:
     return whole.unionByName(overall)
 
 
-def upstream(edges: DataFrame, root: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, parent, depth) by breadth from the root over edges (a, b), each usable both ways; the smallest parent of several.
+def own_footprints(terminals: DataFrame, restrictions: DataFrame, cell: float) -> DataFrame:
+    """(terminal, restriction): the forbidden polygon that holds a terminal without a building of its own; the smallest of several,
+    then the smallest id. Its border counts as held; a polygon may have several terminals, and one with holes holds none there.
 
-    A round joins the frontier only and is written to a checkpoint, so that the plan doesn't grow. Stops when nothing is new.
+    Polygons meet terminals in the grid cells that their boxes touch; the area is that of all rings as they turn.
+    """
+    rings = F.transform("geom.parts", lambda ring: F.transform(F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))), lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
+    shapes = restrictions.where("rule = 'FORBIDDEN' AND geom.type IN ('Polygon', 'MultiPolygon')").select(F.col("id").alias("restriction"), rings.alias("rings"))
+    every = F.flatten("rings")
+    box = [f(every.getField(n)) for f in (F.array_min, F.array_max) for n in ("x", "y")]
+    shapes = G.with_cells(shapes.select("*", *[b.alias(n) for b, n in zip(box, ("x0", "y0", "x1", "y1"), strict=True)]), tuple(F.col(n) for n in ("x0", "y0", "x1", "y1")), cell)
+    turned = lambda ring: F.aggregate(F.transform(ring, lambda p, i: p.x * ring[(i + 1) % F.size(ring)].y - ring[(i + 1) % F.size(ring)].x * p.y), F.lit(0.0), lambda a, v: a + v)
+    area = F.abs(F.aggregate(F.transform("rings", turned), F.lit(0.0), lambda a, v: a + v))
+    spots = terminals.where("origin = 'point'").select(F.col("id").alias("terminal"), "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
+    inside = F.aggregate(F.transform("rings", lambda ring: G.covers(ring, F.col("x"), F.col("y")).cast("int")), F.lit(0), lambda a, v: a + v) % 2 == 1
+    held = spots.join(shapes, ["cx", "cy"]).where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").where(inside).withColumn("area", area)
+    return held.groupBy("terminal").agg(F.min(F.struct("area", "restriction"))["restriction"].alias("restriction"))
+
+
+def network(features: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (node, x, y), edges (id, a, b) and (id, kind, upstream, inferred) of the existing network.
+
+    The next object towards the source is the input's upstream_object_id where every line and chamber states one; else all are
+    worked out anew from the network. Chambers that stand on no node have none.
     """
-    both = reduce(DataFrame.unionByName, [edges.select("a", "b"), edges.select(F.col("b").alias("a"), F.col("a").alias("b"))])
-    done = root.select("node", F.lit(None).cast(root.schema["node"].dataType).alias("parent"), F.lit(0).alias("depth"))
-    frontier = done
-    for depth in range(1, rounds + 1):
-        step = frontier.select(F.col("node").alias("a")).join(both, "a").select(F.col("b").alias("node"), F.col("a").alias("parent"))
-        fresh = step.join(done.select("node"), "node", "left_anti").groupBy("node").agg(F.min("parent").alias("parent")).withColumn("depth", F.lit(depth)).checkpoint()
-        if fresh.isEmpty():
-            return done
-        done, frontier = done.unionByName(fresh), fresh
-    raise ValueError(f"the network is deeper than {rounds} steps")
+    lines, pits = segments(features), chambers(features)
+    nodes, edges = topology.stitch(lines, tolerance)
+    at = topology.at_nodes(pits, nodes, "id", tolerance).select("id", "node")
+    stated = with_ids(features).where("object_type IN ('heat_network', 'heat_chamber')").select(F.col("id").alias("whole"), F.col("props")["upstream_object_id"].alias("stated"))
+    every = lines.select("id", F.lit("segment").alias("kind")).unionByName(pits.select("id", F.lit("chamber").alias("kind"))).withColumn("whole", F.regexp_replace("id", r"#\d+$", ""))
+    every = every.join(stated, "whole", "left").drop("whole")
+    if not every.where("stated IS NULL").isEmpty():
+        found = topology.next_to_source(edges, at, topology.source_node(source(features), nodes))
+        every = every.drop("stated").join(found, ["id", "kind"], "left").withColumn("inferred", F.col("upstream").isNotNull())
+        return nodes, edges, every.select("id", "kind", "upstream", "inferred")
+    return nodes, edges, every.select("id", "kind", F.col("stated").alias("upstream"), F.lit(False).alias("inferred"))
+
+
+upstream = topology.upstream
