@@ -24,7 +24,10 @@ def within(points: DataFrame, targets: DataFrame, point: str, target: str, radiu
 
 
 def nearest(points: DataFrame, targets: DataFrame, point: str, target: str, cell: int, extent: int) -> DataFrame:
-    """(point, target, d2) for every point. Points without a target in reach try again with cells of four times the size."""
+    """(point, target, d2) for every point with a target within the extent; others have no row.
+
+    Points without a target in reach try again with cells of four times the size, up to the extent.
+    """
     found = None
     while True:
         here = within(points, targets, point, target, cell)
