@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridweave.llm import chat, chunk_dedup, grid_codes, language_id, matroska, mixing, ngram_join, packing, quality_rules, shard_tree, url_filter, whitening
+from gridweave.llm import chat, chunk_dedup, grid_codes, html_crf, language_id, matroska, mixing, ngram_join, packing, quality_rules, shard_tree, url_filter, whitening
 
 QUERIES = {
     "op1_chat_rotation": chat.op1_chat_rotation,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_ngram_join": ngram_join.op10_ngram_join,
+    "op11_html_crf": html_crf.op11_html_crf,
     "op12_whitening": whitening.op12_whitening,
     "op13_grid_codes": grid_codes.op13_grid_codes,
 }
