@@ -6,8 +6,8 @@ bit's logistic loss counts by how well its classifier did on that language in tr
 lie close together are flagged.
 
 Up to 4 languages get every useful split (exhaustive code), as do up to 7; beyond, random dense codewords. The classifiers
-are fitted on at most PER_LANGUAGE texts of each language, and about TEXTS of all, drawn by a hash over all labelled
-rows, whole texts. More than LANGUAGES languages raise ValueError. Texts are read whole, in slices of bounded size that
+are fitted on at most PER_LANGUAGE different texts of each language, and TEXTS of all, drawn by a hash over all labelled
+rows, whole texts; copies of a text count as one, however many they are. More than LANGUAGES languages raise ValueError. Texts are read whole, in slices of bounded size that
 overlap, so that the cuts add and lose no n-gram.
 
 Edge cases: null texts and texts without letters (Unicode category L) are `und` with score 0; no labelled rows at all makes everything
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridweave.llm.common import documents, id_remainder
@@ -126,34 +126,28 @@ SCALE = 256.0
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
-    """Fit on (doc_id, text, lang) rows, lang not null; at most per_language texts of each language, drawn by hash."""
-    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    """Fit on (doc_id, text, lang) rows, lang not null; at most per_language different texts of each language, drawn by hash."""
+    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.xxhash64(F.lit(3), "text").alias("_o"))
+    # Copies of a text are one: a text counts once, and of its copies one is drawn.
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang", "_o").agg(F.lit(1)).groupBy("lang").count().limit(LANGUAGES + 1).collect()}
     if not counts:
         return None
     if len(counts) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     per_language = min(per_language, max(1, TEXTS // len(counts)))
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 1.25 * per_language / n))])
-    order = F.xxhash64(F.lit(3), "doc_id", "text")
-    drawn = labelled.withColumn("_o", order).where(F.pmod("_o", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    thin = labelled.where(F.pmod("_o", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    drawn = thin.groupBy("lang", "_o").agg(F.min("text").alias("text"))
+    drawn = drawn.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_o"))).where(F.col("_r") <= per_language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [frequencies(t) for t in b.column("text").to_pylist()]
             yield pa.record_batch([b.column("lang"), b.column("_o"), pa.array([(f * SCALE).astype(np.float16).tobytes() for f in found], pa.binary())], names=["lang", "_o", "x"])
 
-    rows = drawn.select("lang", "_o", "text").mapInArrow(run, "lang string, _o long, x binary").collect()
-    rows.sort(key=lambda r: (r["lang"], r["_o"], r["x"]))
-    seen: dict[str, int] = {}
-    kept = []
-    for r in rows:
-        seen[r["lang"]] = seen.get(r["lang"], 0) + 1
-        if seen[r["lang"]] <= per_language:
-            kept.append(r)
+    kept = drawn.select("lang", "_o", "text").mapInArrow(run, "lang string, _o long, x binary").collect()
+    kept.sort(key=lambda r: (r["lang"], r["_o"]))
     languages = sorted({r["lang"] for r in kept})
-    if not languages:
-        return None
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in kept]).astype(np.float32)
     at = np.array([languages.index(r["lang"]) for r in kept])
     code = codewords(len(languages))

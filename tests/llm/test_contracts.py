@@ -306,3 +306,16 @@ def test_chunk_recipes_keep_the_longest_original(spark):
     rows = [(1, "a b"), (2, "a  b"), (3, "ab"), (4, " a b "), (5, " a b ")]
     got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in chunk_dedup.deduplicate(docs_of(spark, rows)).collect()}
     assert got == {i: (4, 5, i == 4) for i in range(1, 6)}
+
+
+def test_language_fit_takes_copies_once(spark, monkeypatch):
+    """100,000 copies of one labelled text bring one row to the driver, and no language more than its share."""
+    plain = [(i, f"the and of to in number {i} a", "en") for i in range(30)] + [(100 + i, f"der und die das nicht zahl {i} ein", "de") for i in range(30)]
+    rows = spark.createDataFrame(plain, "doc_id long, text string, lang string")
+    copies = spark.range(1000, 101_000).select(F.col("id").alias("doc_id"), F.lit("the same text again and again").alias("text"), F.lit("en").alias("lang"))
+    seen = []
+    real = np.stack
+    monkeypatch.setattr(language_id.np, "stack", lambda a, *b, **c: (seen.append(len(a)), real(a, *b, **c))[1])
+    model = language_id.fit(rows.unionByName(copies), per_language=20)
+    assert seen[0] <= 40 and model.languages == ["de", "en"]
+    assert language_id.fit(rows.unionByName(copies)).languages == ["de", "en"] and max(seen) <= 61
