@@ -72,7 +72,7 @@ class Result:
     def paths(self) -> DataFrame:
         """(variant, point, steps, node, dn, length): the segments from each reached connection point up, in order."""
         ends = self.points.join(self.reached.where("reached"), ["variant", "node"], "left_semi").select((F.col("variant") * NODES + F.col("node")).alias("node"))
-        up = trees.ancestors(self.tree).join(ends, "node", "left_semi")
+        up = trees.ancestors(self.tree, ends)
         line = self.lines.select((F.col("variant") * NODES + F.col("b")).alias("ancestor"), "variant", F.col("b").alias("at"), "dn", "length")
         return self.work.write(up.join(line, "ancestor").select("variant", (F.col("node") % NODES).alias("point"), "steps", F.col("at").alias("node"), "dn", "length"), "paths")
 

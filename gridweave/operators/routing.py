@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.operators.forest import diameters
 from gridweave.sources import dimensions as D
 
 ROUTES = "district long, edge long, from_node string, to_node string, x0 double, y0 double, x1 double, y1 double, flow double, dn int, length double, cost double"
@@ -183,25 +184,7 @@ def sizes(parent: dict[int, int], flows: dict[int, float], lengths: dict[int, fl
     total: dict[int, float] = {}
     for v in reversed(order):
         total[v] = flows.get(v, 0.0) + sum(total[c] for c in children.get(v, ()))
-    table = [(r[0], r[1], r[2]) for r in D.DIAMETERS]
-    step = {v: next((i for i, r in enumerate(table) if r[1] >= total[v]), len(table) - 1) for v in order if parent[v] >= 0}
-    for _ in range(256):
-        for v in reversed(order):
-            if parent[v] >= 0:
-                step[v] = max([step[v], *(step[c] for c in children.get(v, ()))])
-        run: dict[int, float] = {}
-        for v in order:
-            u = parent[v]
-            if u >= 0:
-                run[v] = lengths[v] + (run[u] if u in step and step[u] == step[v] else 0.0)
-        over = next((v for v in order if v in run and run[v] > table[step[v]][2] and step[v] < len(table) - 1), None)
-        if over is None:
-            break
-        size, v = step[over], over
-        while v in step and step[v] == size:
-            step[v] += 1
-            v = parent[v]
-    return total, {v: table[i][0] for v, i in step.items()}
+    return total, diameters({v: u for v, u in parent.items() if u >= 0}, lengths, total)
 
 
 @dataclass
@@ -227,7 +210,8 @@ def district(rows: pd.DataFrame) -> District:
     square = square[0] if len(square) else None
     ends = rows[rows.kind.isin(["tie", "terminal"])]
     corners = np.concatenate([boxes[:, c] for c in ([0, 1], [2, 1], [2, 3], [0, 3])])
-    ids = np.arange(len(corners))
+    box_ids = rows[rows.kind == "box"]["id"].to_list()
+    ids = np.array([f"{b}:{k}" for k in range(4) for b in box_ids], object)  # a name means one point in every district
     if square is not None:  # boxes beyond the sides are unknown, so nothing turns there
         inside = (corners >= square[:2]).all(axis=1) & (corners <= square[2:]).all(axis=1)
         corners, ids = corners[inside], ids[inside]

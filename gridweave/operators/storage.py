@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +60,33 @@ class Workspace:
         self.drop(*sorted(self.written.difference(names)) or ["none"])
 
 
+_kept: dict[tuple[str, str], tuple[tuple, Workspace, object]] = {}
+
+
+def files_of(*frames: DataFrame) -> tuple:
+    """(path, bytes, time of change) of all files that frames read."""
+    out = []
+    for f in frames:
+        jvm, conf = f.sparkSession._jvm, f.sparkSession._jsc.hadoopConfiguration()
+        for name in sorted(f.inputFiles()):
+            p = jvm.org.apache.hadoop.fs.Path(name)
+            status = p.getFileSystem(conf).getFileStatus(p)
+            out.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
+def shared_result(spark: SparkSession, name: str, inputs: list[DataFrame], build: Callable[[Workspace], object]) -> object:
+    """What build writes for these input files, once for an application; when a file changes, the old tables go and it's built anew."""
+    key, now = (spark.sparkContext.applicationId, name), files_of(*inputs)
+    if key in _kept and _kept[key][0] == now:
+        return _kept[key][2]
+    if key in _kept:
+        _kept.pop(key)[1].drop()
+    work = Workspace(spark, name.rsplit("/", 1)[-1])
+    _kept[key] = (now, work, build(work))
+    return _kept[key][2]
+
+
 @contextmanager
 def temporary_tables() -> Iterator[None]:
     """Removes, at its end, the tables of workspaces that were opened within: results must be written elsewhere by then."""

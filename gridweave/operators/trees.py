@@ -67,11 +67,29 @@ def subtree_sums(tree: DataFrame, value: str) -> DataFrame:
     return _rounds(Workspace(tree.sparkSession, "sums"), first, "s", step).select("node", "total")
 
 
-def ancestors(tree: DataFrame) -> DataFrame:
-    """(node, ancestor, steps), itself included: as many rows as all paths have nodes. For depths and sums see above."""
+def rollup(tree: DataFrame, value: str) -> DataFrame:
+    """(node, root, depth, total): what roots and subtree_sums give, in the same rounds."""
+
+    def step(rows: DataFrame) -> DataFrame:
+        more = rows.where("up IS NOT NULL").groupBy(F.col("up").alias("node")).agg(F.sum("total").alias("_more"))
+        onward = rows.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
+        met = rows.join(more, "node", "left").join(onward, "up", "left")
+        total = (F.col("total") + F.coalesce("_more", F.lit(0))).cast(rows.schema["total"].dataType)
+        return met.select("node", F.col("_up").alias("up"), F.coalesce("_root", "root").alias("root"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), total.alias("total"))
+
+    first = _jumps(tree, value)
+    kind = first.agg(F.sum(value)).schema[0].dataType
+    depth = F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth")
+    first = first.select("node", "up", F.coalesce("up", "node").alias("root"), depth, F.coalesce(value, F.lit(0)).cast(kind).alias("total"))
+    return _rounds(Workspace(tree.sparkSession, "rollup"), first, "u", step).select("node", "root", "depth", "total")
+
+
+def ancestors(tree: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(node, ancestor, steps), itself included, of all nodes or those in `of` (node): as many rows as their paths have nodes."""
     work = Workspace(tree.sparkSession, "ancestors")
     jump = work.write(_jumps(tree), "j-0")
-    known = work.write(jump.select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("steps")), "k-0")
+    first = jump if of is None else jump.join(of.select("node"), "node", "left_semi")
+    known = work.write(first.select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("steps")), "k-0")
     n, at = None, 0
     while not jump.where("up IS NOT NULL").isEmpty():
         n = jump.count() if n is None else n

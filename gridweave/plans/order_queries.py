@@ -141,9 +141,15 @@ def win_shortlist(spark, sf):
     s = scene.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("chamber"), F.col("s_nationkey").alias("nation"))
     t = scene.table(spark, sf, "customer").select(F.col("c_custkey").alias("terminal"), F.col("c_nationkey").alias("nation"))
     c = scene.chambers(spark, sf).join(s, "chamber").select("nation", "chamber", F.col("x").alias("cx"), F.col("y").alias("cy"))
-    p = scene.terminals(spark, sf).join(t, "terminal").join(c, "nation").withColumn("d", F.sqrt((F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))))
-    near = F.col("d") <= 120000
-    g = p.groupBy("nation", "chamber").agg(F.count_if(~near).alias("missed"), F.count(F.lit(1)).alias("n"), F.sum(F.when(near, F.floor("d")).otherwise(0)).alias("total")).where("missed < n")
+    p = scene.terminals(spark, sf).join(t, "terminal")
+    # Only what lies near is paired, in cells as wide as the radius; what is missed is all of the nation but those.
+    reach = 120000
+    side = lambda v: F.floor(F.col(v) / reach)
+    around = F.explode(F.array(*[F.struct((side("cx") + i).alias("gx"), (side("cy") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    near = c.withColumn("g", around).select("nation", "chamber", "cx", "cy", "g.gx", "g.gy").join(p.select("nation", "x", "y", side("x").alias("gx"), side("y").alias("gy")), ["nation", "gx", "gy"])
+    near = near.withColumn("d", F.sqrt((F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy")))).where(F.col("d") <= reach)
+    every = p.groupBy("nation").agg(F.count(F.lit(1)).alias("n"))
+    g = near.groupBy("nation", "chamber").agg(F.count(F.lit(1)).alias("hit"), F.sum(F.floor("d")).alias("total")).join(every, "nation").withColumn("missed", F.col("n") - F.col("hit"))
     return g.withColumn("r", F.row_number().over(Window.partitionBy("nation").orderBy("missed", "total", "chamber"))).where("r <= 12").select("nation", "chamber", "missed", "total")
 
 
@@ -209,11 +215,12 @@ def set_result_features(spark, sf):
     return u.select("variant", "t", "n", F.row_number().over(Window.partitionBy("variant").orderBy("t", "n")).cast("long").alias("ordinal"))
 
 
-_NAMES = """names AS (SELECT variant, node, CASE WHEN node = 0 THEN 'tie_v' WHEN k >= 2 THEN 'ch_v' ELSE 'tn_v' END || variant || '_' || row_number() OVER (PARTITION BY variant, node = 0, k >= 2 ORDER BY node) AS name
-  FROM (SELECT variant, node, sum(k) AS k FROM (SELECT variant, a AS node, 1 AS k FROM news UNION ALL SELECT variant, b, 0 FROM news) GROUP BY variant, node))"""
+#: Kept as tables: read several times, the rows that they come from would be made anew each time.
+_NAMES = """own AS MATERIALIZED (SELECT * FROM news), names AS MATERIALIZED (SELECT variant, node, CASE WHEN node = 0 THEN 'tie_v' WHEN k >= 2 THEN 'ch_v' ELSE 'tn_v' END || variant || '_' || row_number() OVER (PARTITION BY variant, node = 0, k >= 2 ORDER BY node) AS name
+  FROM (SELECT variant, node, sum(k) AS k FROM (SELECT variant, a AS node, 1 AS k FROM own UNION ALL SELECT variant, b, 0 FROM own) GROUP BY variant, node))"""
 
 
-@query(f"{WITH}, {_NAMES} SELECT n.variant, 'new_v' || n.variant || '_' || n.i AS id, s.name AS start_node_id, e.name AS end_node_id FROM news n JOIN names s ON s.variant = n.variant AND s.node = n.a JOIN names e ON e.variant = n.variant AND e.node = n.b")
+@query(f"{WITH}, {_NAMES} SELECT n.variant, 'new_v' || n.variant || '_' || n.i AS id, s.name AS start_node_id, e.name AS end_node_id FROM own n JOIN names s ON s.variant = n.variant AND s.node = n.a JOIN names e ON e.variant = n.variant AND e.node = n.b")
 def prj_renumber(spark, sf):
     """Nodes numbered anew by kind, and the segments' references to them."""
     s = _segments(spark, sf)
@@ -252,7 +259,7 @@ def prj_display(spark, sf):
     return t.select("terminal", "money", short.alias("short"), counted.alias("counted"), took.alias("took"))
 
 
-@query(f"{WITH}, {_NAMES} SELECT n.variant, n.i, '{{\"id\":\"new_v' || n.variant || '_' || n.i || '\",\"object_type\":\"heat_network\",\"variant_id\":\"v' || n.variant || '\",\"start_node_id\":\"' || s.name || '\",\"end_node_id\":\"' || e.name || '\",\"flow_tph\":' || n.flow || ',\"diameter\":' || n.dn || ',\"length\":' || n.length || ',\"laying_method\":\"' || n.method || '\",\"depth_start\":null,\"depth_end\":null,\"cost\":' || n.cost || '}}' AS properties FROM news n JOIN names s ON s.variant = n.variant AND s.node = n.a JOIN names e ON e.variant = n.variant AND e.node = n.b")
+@query(f"{WITH}, {_NAMES} SELECT n.variant, n.i, '{{\"id\":\"new_v' || n.variant || '_' || n.i || '\",\"object_type\":\"heat_network\",\"variant_id\":\"v' || n.variant || '\",\"start_node_id\":\"' || s.name || '\",\"end_node_id\":\"' || e.name || '\",\"flow_tph\":' || n.flow || ',\"diameter\":' || n.dn || ',\"length\":' || n.length || ',\"laying_method\":\"' || n.method || '\",\"depth_start\":null,\"depth_end\":null,\"cost\":' || n.cost || '}}' AS properties FROM own n JOIN names s ON s.variant = n.variant AND s.node = n.a JOIN names e ON e.variant = n.variant AND e.node = n.b")
 def snk_feature_properties(spark, sf):
     """The properties of output segments as JSON, attributes in their fixed order, nulls kept."""
     named = prj_renumber(spark, sf).withColumn("i", F.substring_index("id", "_", -1).cast("long"))

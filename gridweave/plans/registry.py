@@ -313,4 +313,4 @@ def sens_leave_one_out(spark, sf):
 FLAGSHIP = agg_variant_cost
 
 # These modules register their queries when imported.
-from gridweave.plans import compliance_queries, depth_queries, geometry_queries, ingest_queries, order_queries, result_queries, route_queries, rule_queries  # noqa: E402, F401
+from gridweave.plans import compliance_queries, depth_queries, geometry_queries, ingest_queries, network_queries, order_queries, result_queries, route_queries, rule_queries  # noqa: E402, F401

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.operators import routing
-from gridweave.operators.storage import Workspace
+from gridweave.operators.storage import Workspace, shared_result
 from gridweave.plans.base import query
 from gridweave.plans.geometry_queries import geo_tie_in_samples
 from gridweave.sources import dimensions as D
@@ -19,8 +19,6 @@ from gridweave.sources import scene
 
 #: Side of the smallest districts in centimetres. What one holds depends on density alone.
 DISTRICT = 5000
-#: How often the side is doubled: the widest district, of 3200 m, holds the scene of 2014 m x 1629 m and its boxes.
-WIDER = 6
 #: Largest distance from a terminal to a tie-in point in centimetres.
 SEARCH = 120_000
 #: Districts of one width have numbers below this.
@@ -70,31 +68,26 @@ def districts(spark, sf, width: int = 0, terminals: DataFrame | None = None, use
     return ends.unionByName(ties).unionByName(boxes.join(here, "district", "left_semi")).unionByName(square)
 
 
-_attempts: dict[tuple[str, str], list[tuple[DataFrame, DataFrame]]] = {}
-
-
 def attempts(spark, sf):
-    """For each width: its rows, and what routing.attempt gives for them, written; once for an application and a folder."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _attempts:
-        _attempts[key] = _attempt_widths(spark, sf)
-    return _attempts[key]
+    """For each width: its rows, and what routing.attempt gives for them, written, as long as the scene's tables are the same."""
+    inputs = [scene.table(spark, sf, t) for t in ("customer", "supplier", "part")]
+    return shared_result(spark, f"{sf}/routes", inputs, lambda work: _attempt_widths(spark, sf, work))
 
 
-def _attempt_widths(spark, sf):
-    out, left, used, work = [], None, None, Workspace(spark, "routes")
-    for width in range(WIDER + 1):
+def _attempt_widths(spark, sf, work: Workspace):
+    most = lambda df, *c: df.agg(F.max(F.greatest(*c))).first()[0] or 0
+    ends = [most(scene.terminals(spark, sf), "x", "y"), most(geo_tie_in_samples(spark, sf), "x", "y"), most(scene.restrictions(spark, sf), "x1", "y1")]
+    out, left, used, width = [], None, None, 0
+    while True:
         rows = work.write(districts(spark, sf, width, left, used), f"rows-{width}")
         found = work.write(routing.attempt(rows), f"width-{width}")
         out.append((rows, found))
         left = found.where("waits IS NOT NULL").select(F.col("waits").alias("terminal"))
-        if not left.count():
-            break
-        branches = [f.where("from_node LIKE 'tie:%'").select(F.col("from_node").alias("node")) for _, f in out]
-        for b in branches[1:]:
-            branches[0] = branches[0].unionByName(b)
-        used = branches[0].groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    return out
+        if DISTRICT << width > max(ends) or left.isEmpty():  # that square held all there is
+            return out
+        branches = _all([f.where("from_node LIKE 'tie:%'").select(F.col("from_node").alias("node")) for _, f in out])
+        used = branches.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+        width += 1
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:

@@ -118,3 +118,30 @@ def write_collection(features: DataFrame, path: str) -> int:
         out.write("\n]}\n")
     os.replace(part, path)
     return n
+
+
+HEAD = '{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"urn:ogc:def:crs:OGC:1.3:CRS84"}},"features":['
+
+
+def write_collection_parts(features: DataFrame, path: str) -> None:
+    """(ordinal, text) as part files in a folder, which put together in the order of their names are one FeatureCollection.
+
+    A task writes a range of ordinals, so a collection of any size is written by all of them; equal ordinals go by their text.
+    """
+    spark = features.sparkSession
+    rows = features.select(F.lit(1).alias("part"), F.col("ordinal").cast("long").alias("ordinal"), "text")
+    first = rows.agg(F.min(F.struct("ordinal", "text")).alias("first"))
+    # Equal rows can't be told apart: the comma stands before all but the first of them, by its number.
+    head = spark.createDataFrame([(0, 0, HEAD), (2, 0, "]}")], "part int, ordinal long, text string")
+    least = first.first()["first"]
+    if least is not None:
+        same = (F.col("ordinal").eqNullSafe(F.lit(least["ordinal"]))) & (F.col("text") == F.lit(least["text"]))
+        firsts = rows.where(same).limit(1)
+        copies = rows.where(same).count() - 1
+        others = rows.where(~F.coalesce(same, F.lit(False))).withColumn("text", F.concat(F.lit(","), F.col("text")))
+        again = firsts.withColumn("text", F.concat(F.lit(","), F.col("text"))).withColumn("ordinal", F.explode(F.array_repeat("ordinal", copies))).withColumn("again", F.lit(1))
+        rows = firsts.withColumn("again", F.lit(0)).unionByName(again).unionByName(others.withColumn("again", F.lit(1)))
+    else:
+        rows = rows.withColumn("again", F.lit(0))
+    every = head.withColumn("again", F.lit(0)).unionByName(rows)
+    every.orderBy("part", F.asc_nulls_first("ordinal"), "again", "text").select("text").write.text(path)

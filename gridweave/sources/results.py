@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions import catalogue as C
-from gridweave.operators.storage import Workspace
+from gridweave.operators.storage import Workspace, shared_result
 from gridweave.sources import dimensions as D
 from gridweave.sources import scene
 
@@ -105,18 +105,16 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("id", "variant", kind.alias("object_type"), cut.alias("keys"), F.when(key % 29 == 3, "Polygon").otherwise(right).alias("geometry"), F.when(key % 23 == 6, 3).otherwise(2).cast("long").alias("dims"))
 
 
-_stored: dict[tuple[str, str], tuple[DataFrame, ...]] = {}
-
-
 def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
-    """segments, chambers, points, summaries and features as written tables; once for an application and a folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _stored:
-        work = Workspace(spark, "result")
+    """segments, chambers, points, summaries and features as written tables, as long as the tables they come from are the same."""
+
+    def build(work: Workspace) -> tuple[DataFrame, ...]:
         first = work.write(segments(spark, sf_dir), "segments")
         rest = {f.__name__: work.write(f(spark, sf_dir, first), f.__name__) for f in (chambers, points)}
-        _stored[key] = (first, *rest.values(), work.write(summaries(spark, sf_dir, first, *rest.values()), "summaries"), work.write(features(spark, sf_dir), "features"))
-    return _stored[key]
+        return (first, *rest.values(), work.write(summaries(spark, sf_dir, first, *rest.values()), "summaries"), work.write(features(spark, sf_dir), "features"))
+
+    inputs = [scene.table(spark, sf_dir, t) for t in ("lineitem", "part")]
+    return shared_result(spark, f"{sf_dir}/result", inputs, build)
 
 
 _DN = "(SELECT min(dn) FROM dims WHERE capacity >= flow / 100.0)"

@@ -64,3 +64,16 @@ def write(path: str, header: list[tuple[str, str]], sections: list[tuple[str, st
             put(heading)
             for row in rows.orderBy("ordinal").select("text").toLocalIterator():
                 put(row.text)
+
+
+def write_parts(path: str, header: list[tuple[str, str]], sections: list[tuple[str, str, DataFrame]]) -> None:
+    """The statement as part files in a folder, which put together in the order of their names are the file that write makes."""
+    spark = sections[0][2].sparkSession
+    top = ["\ufeff" + TITLE, *(f"{name};" + (f'"{value}"' if ";" in value else value) for name, value in header)]
+    lines = [(-1, 0, i, text) for i, text in enumerate(top)]
+    for i, (title, heading, _) in enumerate(sections):
+        lines += [(i, 0, k, text) for k, text in enumerate(("", title, heading))]
+    out = spark.createDataFrame(lines, "section int, kind int, ordinal long, text string")
+    for i, (_, _, rows) in enumerate(sections):
+        out = out.unionByName(rows.select(F.lit(i).alias("section"), F.lit(1).alias("kind"), F.col("ordinal").cast("long").alias("ordinal"), "text"))
+    out.orderBy("section", "kind", "ordinal").select("text").write.option("lineSep", "\r\n").text(path)

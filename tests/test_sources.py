@@ -185,6 +185,48 @@ def test_diameters_never_fall_and_runs_keep_limits():
         assert sum(100 for c in chain if c == d) <= limit[d]
 
 
+def joined(folder):
+    return b"".join(p.read_bytes() for p in sorted(folder.glob("part-*")))
+
+
+def test_collections_in_parts(spark, tmp_path):
+    texts = [(i // 2, f'{{"type":"Feature","geometry":null,"properties":{{"n":{i // 3}}}}}') for i in range(400)] + [(0, '{"type":"Feature","geometry":null,"properties":{"n":0}}')] * 3
+    for name, rows in (("many", texts), ("one", texts[:1]), ("none", [])):
+        features = spark.createDataFrame(rows, "ordinal long, text string").repartition(7)
+        geojson.write_collection_parts(features, str(tmp_path / name))
+        found = json.loads(joined(tmp_path / name))
+        assert found["type"] == "FeatureCollection" and [f["properties"]["n"] for f in found["features"]] == [json.loads(t)["properties"]["n"] for _, t in sorted(rows)]
+
+
+def test_statement_in_parts(spark, tmp_path):
+    c = spark.createDataFrame([(i, f"ch;{i}", 100, 3, 3e6) for i in range(50, 0, -1)], "ordinal long, id string, dn int, degree int, cost double")
+    s = spark.createDataFrame([(80, 10.25, 5.0), (50, 1.0, 7.0), (80, 2.0, 1.0)], "dn int, length double, cost double")
+    sections = [(*statement.CHAMBERS, statement.chamber_rows(c)), (*statement.BY_DIAMETER, statement.diameter_rows(s)), (*statement.TOTALS, statement.total_rows(s, c, c.limit(0)))]
+    statement.write(str(tmp_path / "whole.csv"), [("Описание", "a; b")], sections)
+    statement.write_parts(str(tmp_path / "parts"), [("Описание", "a; b")], sections)
+    assert joined(tmp_path / "parts") == (tmp_path / "whole.csv").read_bytes()
+
+
+def test_runs_rise_as_a_whole():
+    for n, length, flow, want in ((5, 100.0, 3.0, [125] * 5), (3, 100.0, 3.0, [80] * 3), (1, 100.0, 3.0, [50]), (2, 8000.0, 3.0, [1400] * 2)):
+        parent = {0: -1, **{i: i - 1 for i in range(1, n + 1)}}
+        _, dn = routing.sizes(parent, {n: flow}, {i: length for i in range(1, n + 1)})
+        assert [dn[i] for i in range(1, n + 1)] == want
+    # A branch keeps its size where only the trunk's run with the other branch is too long.
+    parent = {0: -1, 1: 0, 2: 1, 3: 1}
+    _, dn = routing.sizes(parent, {2: 1.0, 3: 1.0}, {1: 100.0, 2: 100.0, 3: 50.0})
+    assert dn == {1: 65, 2: 65, 3: 50}
+
+
+def test_corner_names_are_one_point():
+    columns = ["district", "kind", "id", "x", "y", "x1", "y1", "flow"]
+    one = pd.DataFrame([(1, "box", 5, 0.0, 0.0, 4.0, 4.0, None), (1, "box", 9, 10.0, 0.0, 14.0, 4.0, None)], columns=columns)
+    two = pd.DataFrame([(2, "box", 9, 10.0, 0.0, 14.0, 4.0, None)], columns=columns)
+    places = lambda d: {n: tuple(p) for n, p in zip(d.names, d.points, strict=True)}
+    a, b = places(routing.district(one)), places(routing.district(two))
+    assert len(a) == 8 and len(b) == 4 and all(a[n] == p for n, p in b.items())
+
+
 def test_wider_districts():
     rows = [("square", 0, 0.0, 0.0, 50.0, 50.0, None), ("terminal", 1, 10.0, 10.0, None, None, 2.0), ("terminal", 2, 30.0, 30.0, None, None, 2.0), ("box", 1, 20.0, 20.0, 40.0, 40.0, None)]
     columns = ["kind", "id", "x", "y", "x1", "y1", "flow"]
