@@ -21,8 +21,8 @@ from gridweave.sources import dimensions as D
 
 # Tolerances of money, score and length (cm, and share of the length).
 MONEY, SCORE, LENGTH, SHARE = 3, 0.002, 50, 0.002
-#: Node keys: variant times this plus the node.
-NODES = 10_000
+#: Node keys: variant times this plus the node; a variant's nodes are numbered below it.
+NODES = 1_000_000_000
 
 RULES: dict[str, Callable[[Result], DataFrame]] = {}
 
@@ -36,6 +36,8 @@ class Result:
     features: DataFrame
     attributes: dict[str, list[str]]
     geometries: dict[str, str | None]
+    #: (variant, node) of tie-in points where a variant has several; with one, it is node 0.
+    ties: DataFrame | None = None
 
     @cached_property
     def work(self) -> Workspace:
@@ -59,13 +61,15 @@ class Result:
         """(node, parent) over keys of all nodes that segments name."""
         key = lambda n: F.col("variant") * NODES + F.col(n)
         down = self.lines.select(key("b").alias("node"), key("a").alias("parent"))
-        tops = self.lines.select(key("a").alias("node")).distinct().join(down.select("node"), "node", "left_anti")
+        if self.ties is not None:
+            down = down.unionByName(self.ties.join(self.whole, "variant", "left_semi").select(key("node").alias("node"), (F.col("variant") * NODES).alias("parent")))
+        tops = down.select(F.col("parent").alias("node")).distinct().join(down.select("node"), "node", "left_anti")
         return self.work.write(down.unionByName(tops.withColumn("parent", F.lit(None).cast("long"))), "tree")
 
     @cached_property
     def reached(self) -> DataFrame:
         """(variant, node, reached) of all nodes that segments name."""
-        r = trees.roots(self.tree).select(F.floor(F.col("node") / NODES).alias("variant"), (F.col("node") % NODES).alias("node"), (F.col("root") % NODES == 0).alias("reached"))
+        r = trees.roots(self.tree).select(F.expr(f"node div {NODES}").alias("variant"), (F.col("node") % NODES).alias("node"), (F.col("root") % NODES == 0).alias("reached"))
         return self.work.write(r, "reached")
 
     @cached_property
@@ -121,7 +125,8 @@ def one_summary_per_variant(r):
 @rule
 def node_references(r):
     """Both ends are the tie-in point, a node below a segment, or a connection point."""
-    known = r.lines.select("variant", F.col("b").alias("node")).union(r.points.select("variant", "node")).distinct()
+    known = r.lines.select("variant", F.col("b").alias("node")).union(r.points.select("variant", "node"))
+    known = (known if r.ties is None else known.union(r.ties.select("variant", "node"))).distinct()
     named = r.lines.select("variant", "i", F.explode(F.array("a", "b")).alias("node"))
     met = named.join(known.withColumn("k", F.lit(True)), ["variant", "node"], "left")
     return _checks(met.groupBy("variant", "i").agg(F.min(F.coalesce("k", F.col("node") == 0)).alias("all")), F.col("i"), F.col("all"))
