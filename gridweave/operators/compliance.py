@@ -1,4 +1,4 @@
-"""The rules of a result. Each rule is a table of checks (variant, id, ok): passed checks count too.
+"""The rules of a result. Each rule is a table of checks (variant, id, ok): passed checks count too, as rows or as COUNTED says.
 
 A result is tables as gridweave.sources.results describes them. Rules of one variant's parts look only at variants with
 exactly one summary. Paths run from a connection point to the tie-in point.
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions import catalogue as C
 from gridweave.operators import geometry as G
+from gridweave.operators import obstacles as O
 from gridweave.operators import sequences, trees
 from gridweave.operators.storage import Workspace
 from gridweave.sources import dimensions as D
@@ -203,17 +204,42 @@ def run_length_limit(r):
 
 @rule
 def no_self_intersection(r):
-    """Segments without a common node whose links cross. A pair is one check, whatever the number of its links."""
-    side = lambda s: r.lines.select("variant", *[F.col(c).alias(s + c) for c in ("i", "a", "b", "xa", "ya", "xm", "ym", "xb", "yb")])
+    """Segments without a common node whose links cross: only these pairs are rows, COUNTED says how many pairs there are.
+
+    Links meet in grid cells as wide as they are long on average, so pairs that are far apart never meet; a link without coordinates crosses
+    nothing.
+    """
     c = F.col
-    pairs = side("p").join(side("q"), "variant").where((c("pi") < c("qi")) & ~c("pa").isin(c("qa"), c("qb")) & ~c("pb").isin(c("qa"), c("qb")))
-    links = lambda s: [[c(f"{s}{k}{e}") for e in two for k in "xy"] for two in ("am", "mb")]
+    link = lambda x, y: F.struct(*[c(f"x{x}").alias("x0"), c(f"y{x}").alias("y0"), c(f"x{y}").alias("x1"), c(f"y{y}").alias("y1")])
+    links = r.lines.select("variant", "i", "a", "b", F.explode(F.array(link("a", "m"), link("m", "b"))).alias("l")).select("variant", "i", "a", "b", "l.*").dropna()
+    size = links.agg(F.avg(F.greatest(F.abs(c("x1") - c("x0")), F.abs(c("y1") - c("y0"))))).first()[0]
+    if not size:
+        return _checks(r.lines.where("false"), F.lit(""), F.lit(True))
+    low = {"l0": F.least("x0", "x1"), "l1": F.least("y0", "y1"), "h0": F.greatest("x0", "x1"), "h1": F.greatest("y0", "y1")}
+    dealt = O.dealt(links.withColumns(low), size, "l0", "l1", "h0", "h1")
+    side = lambda s: dealt.select("variant", "cx", "cy", *[c(n).alias(s + n) for n in ("i", "a", "b", "x0", "y0", "x1", "y1", *low)])
+    met = side("p").join(side("q"), ["variant", "cx", "cy"]).where((c("pi") < c("qi")) & ~c("pa").isin(c("qa"), c("qb")) & ~c("pb").isin(c("qa"), c("qb")))
+    met = met.where("pl0 <= qh0 AND ql0 <= ph0 AND pl1 <= qh1 AND ql1 <= ph1")
+    ends = lambda s: [c(s + n) for n in ("x0", "y0", "x1", "y1")]
     apart = lambda l, m: F.signum(G.side(*l, m[0], m[1])) * F.signum(G.side(*l, m[2], m[3])) < 0
-    crossed = F.lit(False)
-    for l in links("p"):
-        for m in links("q"):
-            crossed = crossed | (apart(l, m) & apart(m, l))
-    return _checks(pairs, F.concat_ws(":", "pi", "qi"), ~crossed)
+    crossed = met.where(apart(ends("p"), ends("q")) & apart(ends("q"), ends("p"))).select("variant", "pi", "qi").distinct()
+    return _checks(crossed, F.concat_ws(":", "pi", "qi"), F.lit(False))
+
+
+def _pairs_apart(r: Result) -> DataFrame:
+    """(variant, n): pairs of segments without a common node: all pairs less those that share a node, those that share both counted once."""
+    two = lambda n: n * (n - 1) / 2
+    every = r.lines.groupBy("variant").agg(two(F.count(F.lit(1))).alias("n"))
+    ends = r.lines.select("variant", F.explode(F.array_distinct(F.array("a", "b"))).alias("node"))
+    share = ends.groupBy("variant", "node").count().groupBy("variant").agg(F.sum(two(F.col("count"))).alias("one"))
+    twins = r.lines.where("a <> b").groupBy("variant", F.least("a", "b").alias("_l"), F.greatest("a", "b").alias("_h")).count()
+    twins = twins.groupBy("variant").agg(F.sum(two(F.col("count"))).alias("both"))
+    n = F.col("n") - F.coalesce("one", F.lit(0)) + F.coalesce("both", F.lit(0))
+    return every.join(share, "variant", "left").join(twins, "variant", "left").select("variant", n.cast("long").alias("n"))
+
+
+#: How many checks a rule makes, where its passed ones are too many to be rows.
+COUNTED: dict[str, Callable[[Result], DataFrame]] = {"no_self_intersection": _pairs_apart}
 
 
 @rule
@@ -268,5 +294,8 @@ def report(result: Result, rules: list[str] | None = None) -> DataFrame:
     out = None
     for name in rules or list(RULES):
         one = RULES[name](result).agg(F.count(F.lit(1)).alias("checks"), F.count_if(~F.col("ok")).alias("findings")).select(F.lit(name).alias("rule"), "checks", "findings")
+        if name in COUNTED:
+            n = COUNTED[name](result).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+            one = one.crossJoin(n).select("rule", F.col("n").alias("checks"), "findings")  # a row each
         out = one if out is None else out.unionByName(one)
     return out

@@ -357,6 +357,8 @@ def sized(lines: DataFrame, flows: DataFrame) -> DataFrame:
     length = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
     known = keyed.join(total, "_n").drop("_n", "_p").withColumn("length", length)
     known = Workspace(lines.sparkSession, "sized").write(known, "known")
-    dn = known.select("run", "root", "node", "parent", "length", "flow").groupBy("run", "root").applyInPandas(rise, "run long, node string, dn int")
+    # Runs are held against their limits in whole centimetres, as results state them.
+    stated = (F.floor(F.col("length") * 100 + 0.5) / 100).alias("length")
+    dn = known.select("run", "root", "node", "parent", stated, "flow").groupBy("run", "root").applyInPandas(rise, "run long, node string, dn int")
     price = F.create_map(*[F.lit(x) for r in D.DIAMETERS for x in (r[0], float(r[3]))])
     return known.join(dn, ["run", "node"]).withColumn("cost", F.floor(F.col("length") * price[F.col("dn")] + 0.5).cast("double"))

@@ -13,15 +13,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions import catalogue as C
-from gridweave.operators import forest
+from gridweave.operators import compliance, forest
 from gridweave.operators import geometry as G
 from gridweave.operators import obstacles as O
-from gridweave.operators.storage import shared_result, temporary_tables
-from gridweave.plans import planning
+from gridweave.operators.storage import Workspace, shared_result, temporary_tables
+from gridweave.plans import planning, variants
 from gridweave.plans.base import query
+from gridweave.plans.geometry_queries import lines
 from gridweave.sources import scene
 
 HEAVIEST = 3
+#: The zone whose metres the star-schema scene's are taken for.
+SCENE_ZONE = 37
 
 
 def _heaviest(nodes: DataFrame) -> DataFrame:
@@ -92,8 +95,21 @@ def rule_route_clear(spark, sf):
     m = lambda c: (F.col(c) / 100.0).alias(f"b_{c}")
     boxes = scene.restrictions(spark, sf).where(C.rule_of(kind) == "FORBIDDEN").select("box", *[m(c) for c in ("x0", "y0", "x1", "y1")], apart.alias("apart"))
     grown = boxes.withColumns({"g0": F.col("b_x0") - 10, "g1": F.col("b_y0") - 10, "g2": F.col("b_x1") + 10, "g3": F.col("b_y1") + 10})
-    lines = edges.where("run = 0").join(nodes.select("node", "own"), "node", "left").select("node", "own", *[F.col(c).alias(n) for c, n in (("x", "x0"), ("y", "y0"), ("px", "x1"), ("py", "y1"))])
+    ways = edges.where("run = 0").join(nodes.select("node", "own"), "node", "left").select("node", "own", *[F.col(c).alias(n) for c, n in (("x", "x0"), ("y", "y0"), ("px", "x1"), ("py", "y1"))])
     low = {"l0": F.least("x0", "x1"), "l1": F.least("y0", "y1"), "l2": F.greatest("x0", "x1"), "l3": F.greatest("y0", "y1")}
-    met = O.dealt(lines.withColumns(low), 50.0, "l0", "l1", "l2", "l3").join(O.dealt(grown, 50.0, "g0", "g1", "g2", "g3"), ["cx", "cy"])
+    met = O.dealt(ways.withColumns(low), 50.0, "l0", "l1", "l2", "l3").join(O.dealt(grown, 50.0, "g0", "g1", "g2", "g3"), ["cx", "cy"])
     far = G.box_distance(*[F.col(c) for c in ("x0", "y0", "x1", "y1")], tuple(F.col(f"b_{c}") for c in ("x0", "y0", "x1", "y1")))
     return met.where(~F.col("own").eqNullSafe(F.col("box"))).where(far < F.col("apart") - 0.001).select("node", "box").distinct()
+
+
+@query("SELECT rule, CAST(0 AS BIGINT) AS findings FROM (VALUES " + ", ".join(f"('{n}')" for n in compliance.RULES) + ") t(rule)")
+def rule_route_compliance(spark, sf):
+    """What every rule finds on the whole plan as a result with its chambers, points and features: nothing."""
+    edges, nodes = network(spark, sf)
+    ends = scene.terminals(spark, sf).select(F.col("terminal").cast("string").alias("id"), F.concat(F.lit("terminal:"), F.col("terminal")).alias("node"), *[(F.col(c) / 100.0).alias(c) for c in ("x", "y", "flow")])
+    dn = lines(spark, sf).select("line", F.col("dn").alias("host_dn"))
+    ties = nodes.where("kind = 'tie'").select("node", "x", "y", "room", F.split("node", ":")[1].cast("long").alias("line"), F.lit(False).alias("chamber"), F.lit(2).alias("slots")).join(dn, "line")
+    site = variants.Site(ends, ties, planning.obstacles(spark, sf), SCENE_ZONE, Workspace(spark, "route-compliance"))
+    mine = edges.where("run = 0").drop("run").withColumn("variant", F.lit(1).cast("long"))
+    found = compliance.report(variants.tables(site, mine, spark.range(1, 2).select(F.col("id").alias("variant"))))
+    return found.select("rule", "findings")
