@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridweave.functions import catalogue as C
 from gridweave.functions import geodesy
 from gridweave.operators import geometry as G
+from gridweave.operators import outlines
 from gridweave.plans.base import query
 from gridweave.sources import scene
 
@@ -146,3 +147,24 @@ def flt_polygon_covers(spark, sf):
     p = G.with_cells(polygons(spark, sf), G.line_box(), 5000)
     t = scene.terminals(spark, sf).select("terminal", "x", "y", F.floor(F.col("x") / 5000).alias("cx"), F.floor(F.col("y") / 5000).alias("cy"))
     return t.join(p, ["cx", "cy"]).where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").where(G.covers(F.col("ring"), F.col("x"), F.col("y"))).select("terminal", "box")
+
+
+def supplier_rings(spark, sf):
+    """(obstacle, rings, closed, clearance): a star-shaped ring a supplier, a point a direction of its line items, in metres."""
+    t = F.pmod(F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729, F.lit(36000))
+    r = scene.table(spark, sf, "lineitem").groupBy("l_suppkey", t.alias("t")).agg((40 + F.max(F.col("l_quantity").cast("double")) / 50).alias("r"))
+    # Directions are 36,000 at most, and so are a ring's points.
+    ring = F.array_sort(F.collect_list(F.struct("t", "r")))
+    turn = lambda p: F.radians(p.t / 100.0)
+    place = lambda p: F.struct((p.r * F.cos(turn(p))).alias("x"), (p.r * F.sin(turn(p))).alias("y"))
+    rings = r.groupBy(F.col("l_suppkey").cast("long").alias("obstacle")).agg(ring.alias("ring"))
+    return rings.select("obstacle", F.array(F.transform("ring", place)).alias("rings"), F.lit(True).alias("closed"), F.lit(1.0).alias("clearance"))
+
+
+@query()
+def geo_simplify_outlines(spark, sf):
+    """Outlines before and after simplification: points and area (m2)."""
+    rings = supplier_rings(spark, sf)
+    area = lambda r: F.abs(F.aggregate(F.transform(r, lambda p, i: p.x * r[(i + 1) % F.size(r)].y - r[(i + 1) % F.size(r)].x * p.y), F.lit(0.0), lambda a, v: a + v)) / 2
+    facts = lambda df, s: df.select("obstacle", F.size(F.col("rings")[0]).alias(f"points{s}"), (F.floor(area(F.col("rings")[0]) * 100 + 0.5) / 100).alias(f"area{s}"))
+    return facts(rings, "").join(facts(outlines.simplify(rings), "_left"), "obstacle").withColumnRenamed("obstacle", "supplier")

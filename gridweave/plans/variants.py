@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions import catalogue as C
 from gridweave.functions import geodesy
-from gridweave.operators import compliance, ingest, topology
+from gridweave.operators import compliance, ingest, outlines, topology
 from gridweave.operators import obstacles as O
 from gridweave.operators.storage import Workspace, temporary_tables
 from gridweave.plans import planning
@@ -67,13 +67,13 @@ def in_metres(features: DataFrame, zone: int) -> DataFrame:
 
 
 def forbidden(features: DataFrame, work: Workspace) -> DataFrame:
-    """(obstacle, rings, closed, clearance) of all forbidden restrictions, numbered."""
+    """(obstacle, rings, closed, clearance) of all forbidden restrictions, numbered, their outlines simplified."""
     r = ingest.restrictions(features).where("rule = 'FORBIDDEN'")
     closed = F.col("geom.type").isin("Polygon", "MultiPolygon")
     open_ring = lambda ring: F.when(closed & (F.size(ring) > 1), F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring)
     rings = F.transform("geom.parts", lambda ring: F.transform(open_ring(ring), lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
-    rows = r.select("id", rings.alias("rings"), closed.alias("closed"), C.least_distance(F.col("kind"), F.lit(planning.DESIGN_DN)).alias("clearance"))
-    return work.write(rows.withColumn("obstacle", F.monotonically_increasing_id()), "forbidden")
+    rows = r.select(rings.alias("rings"), closed.alias("closed"), C.least_distance(F.col("kind"), F.lit(planning.DESIGN_DN)).alias("clearance"))
+    return work.write(outlines.simplify(rows.withColumn("obstacle", F.monotonically_increasing_id())), "forbidden")
 
 
 def tie_ins(features: DataFrame) -> DataFrame:
