@@ -98,7 +98,7 @@ def rule_route_clear(spark, sf):
     ways = edges.where("run = 0").join(nodes.select("node", "own"), "node", "left").select("node", "own", *[F.col(c).alias(n) for c, n in (("x", "x0"), ("y", "y0"), ("px", "x1"), ("py", "y1"))])
     low = {"l0": F.least("x0", "x1"), "l1": F.least("y0", "y1"), "l2": F.greatest("x0", "x1"), "l3": F.greatest("y0", "y1")}
     met = O.dealt(ways.withColumns(low), 50.0, "l0", "l1", "l2", "l3").join(O.dealt(grown, 50.0, "g0", "g1", "g2", "g3"), ["cx", "cy"])
-    far = G.box_distance(*[F.col(c) for c in ("x0", "y0", "x1", "y1")], tuple(F.col(f"b_{c}") for c in ("x0", "y0", "x1", "y1")))
+    far = G.box_distances([F.col(c) for c in ("x0", "y0", "x1", "y1")], tuple(F.col(f"b_{c}") for c in ("x0", "y0", "x1", "y1")))
     return met.where(~F.col("own").eqNullSafe(F.col("box"))).where(far < F.col("apart") - 0.001).select("node", "box").distinct()
 
 
