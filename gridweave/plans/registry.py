@@ -103,7 +103,7 @@ NEAR = """near AS (SELECT terminal, arg_min(chamber, d2 * 1000000 + chamber) AS
 
 @query(f", {NEAR} SELECT terminal, chamber, d2 FROM near")
 def join_nearest_chamber(spark, sf):
-    return spatial.nearest(scene.terminals(spark, sf), scene.chambers(spark, sf), "terminal", "chamber", 10000, 300000)
+    return spatial.nearest(scene.terminals(spark, sf), scene.chambers(spark, sf), "terminal", "chamber", 300000)
 
 
 @query(f", {NEAR} SELECT terminal, chamber, d2 FROM near WHERE d2 <= 9000000")
