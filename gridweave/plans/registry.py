@@ -115,7 +115,7 @@ def join_snap_radius(spark, sf):
     """SELECT terminal, arg_min(box, area * 10000000 + box) AS box FROM (SELECT terminal, box, (x1 - x0) * (y1 - y0) AS area FROM terminals JOIN boxes ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1) GROUP BY terminal"""
 )
 def join_point_in_box(spark, sf):
-    return spatial.covering_box(scene.terminals(spark, sf), scene.restrictions(spark, sf), "terminal", "box", 5000)
+    return spatial.covering_box(scene.terminals(spark, sf), scene.restrictions(spark, sf), "terminal", "box", 500)
 
 
 @query("SELECT DISTINCT s.supplier FROM segments s WHERE s.supplier NOT IN (SELECT chamber FROM chambers WHERE dn > 100)")
