@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 
 def merge_intervals(df: DataFrame, group: list[str], low: str, high: str, value: str) -> DataFrame:
-    """Overlapping intervals of a group as one, with the largest value: a new island starts where low exceeds all highs before."""
-    w = Window.partitionBy(*group).orderBy(low, high)
+    """Overlapping intervals of a group as one, with the largest value: a new island starts where low exceeds all highs before.
+
+    Null bounds come last; an interval without a low bound overlaps none. Equal intervals are one whatever their order.
+    """
+    w = Window.partitionBy(*group).orderBy(F.asc_nulls_last(low), F.asc_nulls_last(high))
     before = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(before.isNull() | (F.col(low) > before), 1).otherwise(0)
+    fresh = F.when(F.col(low) <= before, 0).otherwise(1)
     rows = df.withColumn("_new", fresh).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
     return rows.groupBy(*group, "island").agg(F.min(low).alias(low), F.max(high).alias(high), F.max(value).alias(value))
 
