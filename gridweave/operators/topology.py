@@ -6,8 +6,11 @@ of equally near or equal candidates the smallest counts, so results don't depend
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridweave.operators import geometry as G
 from gridweave.operators import trees
@@ -22,55 +25,76 @@ def links(lines: DataFrame, key: str = "id") -> DataFrame:
     return lines.select(key, F.explode(parts).alias("l")).select(key, "l.*")
 
 
-def _meeting(shape: list[Column], link: list[Column]) -> Column:
-    """(d, x, y): the least distance of two links and the place on the first; where they cross, the crossing."""
-    ax, ay, bx, by = shape
-    cx, cy, dx, dy = link
+def _onto(px, py, ax, ay, bx, by):
+    """Where points fall onto segments; segments without length are points."""
+    dx, dy = bx - ax, by - ay
+    square = dx * dx + dy * dy
+    t = np.clip(((px - ax) * dx + (py - ay) * dy) / np.where(square > 0, square, 1), 0, 1)
+    return ax + t * dx, ay + t * dy
+
+
+@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in ("d", "x", "y")]))
+def _meeting(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series, cx: pd.Series, cy: pd.Series, dx: pd.Series, dy: pd.Series) -> pd.DataFrame:
+    """(d, x, y): the least distance of two links and the place on the first; where they cross, the crossing. In batches, since as columns
+    the many terms take longer to plan and compile than to work out."""
+    ax, ay, bx, by, cx, cy, dx, dy = (v.to_numpy(float) for v in (ax, ay, bx, by, cx, cy, dx, dy))
     options = []
     for x, y in ((ax, ay), (bx, by)):
-        _, fx, fy = G.nearest_on_segment(x, y, *link)
-        options.append(F.struct(F.hypot(x - fx, y - fy).alias("d"), x.alias("x"), y.alias("y")))
+        fx, fy = _onto(x, y, cx, cy, dx, dy)
+        options.append((np.hypot(x - fx, y - fy), x, y))
     for x, y in ((cx, cy), (dx, dy)):
-        _, fx, fy = G.nearest_on_segment(x, y, *shape)
-        options.append(F.struct(F.hypot(x - fx, y - fy).alias("d"), fx.alias("x"), fy.alias("y")))
-    a, b = G.side(cx, cy, dx, dy, ax, ay), G.side(cx, cy, dx, dy, bx, by)
-    cross = (a * b < 0) & (G.side(ax, ay, bx, by, cx, cy) * G.side(ax, ay, bx, by, dx, dy) < 0)
-    t = a / F.nullif(a - b, F.lit(0.0))
-    options.append(F.when(cross, F.struct(F.lit(0.0).alias("d"), (ax + t * (bx - ax)).alias("x"), (ay + t * (by - ay)).alias("y"))))
-    return F.array_min(F.array_compact(F.array(*options)))
+        fx, fy = _onto(x, y, ax, ay, bx, by)
+        options.append((np.hypot(x - fx, y - fy), fx, fy))
+    side = lambda px, py, qx, qy, x, y: (qx - px) * (y - py) - (qy - py) * (x - px)
+    a, b = side(cx, cy, dx, dy, ax, ay), side(cx, cy, dx, dy, bx, by)
+    cross = (a * b < 0) & (side(ax, ay, bx, by, cx, cy) * side(ax, ay, bx, by, dx, dy) < 0)
+    t = a / np.where(cross, a - b, 1)
+    options.append((np.where(cross, 0.0, np.inf), ax + t * (bx - ax), ay + t * (by - ay)))
+    d, x, y = (np.stack(v) for v in zip(*options, strict=True))
+    # Of equally near places the smallest.
+    first = np.lexsort((y, x, d), axis=0)[:1]
+    return pd.DataFrame({n: np.take_along_axis(v, first, 0)[0] for n, v in (("d", d), ("x", x), ("y", y))})
 
 
 def nearest_links(shapes: DataFrame, network: DataFrame, key: str, within: float | None = None) -> DataFrame:
     """(key, d, x, y): how near the network comes to each shape, and the shape's nearest place. Both are links (x0, y0, x1, y1).
 
-    Grid cells are as wide as links are apart; shapes without a link as near as a cell is wide try again in cells four times
-    as wide, and what is left is written. With a limit, cells begin there and shapes beyond it have no row.
+    Shapes look as far as a few links are to be expected, however densely these lie; those that find none look four times as far, and what
+    is left is written. With a limit, they look that far and shapes beyond it have no row. Both sides are listed in the grid cells that they
+    pass, never smaller than a twelfth of a link, so that the list grows with the links only; a pair's distance from the line that the link
+    is on is compared before anything dearer is worked out.
     """
     work = Workspace(shapes.sparkSession, "nearest")
     ends = ["x0", "y0", "x1", "y1"]
-    span = F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")))
-    size = network.agg(F.count(F.lit(1)).alias("n"), F.avg(span).alias("link")).first()
-    box = shapes.select(*ends).unionByName(network.select(*ends)).agg(*[f(g(a, b)).alias(n) for n, f, g, a, b in (("x0", F.min, F.least, "x0", "x1"), ("y0", F.min, F.least, "y0", "y1"), ("x1", F.max, F.greatest, "x0", "x1"), ("y1", F.max, F.greatest, "y0", "y1"))]).first()
+    c = F.col
+    length = F.hypot(c("x1") - c("x0"), c("y1") - c("y0"))
+    targets = network.select(*ends).dropna()
     left = work.write(shapes.select(key, *ends).dropna(), "left-0")
     found = left.select(key, F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")).alias("m")).limit(0)
-    if not size["n"]:
+    bounds = [f(g(a, b)).alias(n) for n, f, g, a, b in (("x0", F.min, F.least, "x0", "x1"), ("y0", F.min, F.least, "y0", "y1"), ("x1", F.max, F.greatest, "x0", "x1"), ("y1", F.max, F.greatest, "y0", "y1"))]
+    size, own = (df.agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("length"), *bounds).first() for df in (targets, left))
+    if not size["n"] or not own["n"]:
         return found.select(key, "m.*")
-    side = max(box["x1"] - box["x0"], box["y1"] - box["y0"], 1e-9)
-    cell, at = max(side / (1 + size["n"] ** 0.5), size["link"], within or 0.0), 0
-    targets = network.select(*[F.col(n).alias("t" + n) for n in ends]).dropna()
+    w, h = (max(max(size[a], own[a]) - min(size[b], own[b]), 1e-9) for a, b in (("x1", "x0"), ("y1", "y0")))
+    # As far as about eight links are to be expected if they lie evenly, as lines and as places.
+    reach = within or max(max(w, h) * 1e-6, min(4 * w * h / max(size["length"], 1e-9), 2 * (w * h / size["n"]) ** 0.5, 2 * max(w, h)))
+    least, at = max(size["length"] / size["n"], own["length"] / own["n"]) / 12, 0
     while not left.isEmpty():
-        t_box = tuple(f(F.col("t" + a), F.col("t" + b)) for a, b, f in (("x0", "x1", F.least), ("y0", "y1", F.least), ("x0", "x1", F.greatest), ("y0", "y1", F.greatest)))
-        low, high = (G.line_box()[i : i + 2] for i in (0, 2))
-        wide = (low[0] - cell, low[1] - cell, high[0] + cell, high[1] + cell)
-        near = G.with_cells(left, wide, cell).join(G.with_cells(targets, t_box, cell), ["cx", "cy"])
-        best = near.groupBy(key).agg(F.min(_meeting([F.col(n) for n in ends], [F.col("t" + n) for n in ends])).alias("m")).where(F.col("m.d") <= (cell if within is None else within))
+        cell = max(2 * reach, least)
+        near = G.spread(G.with_passed_cells(left, reach, cell, cell * 1e-3), "cx", "cy")
+        far = G.spread(G.with_passed_cells(targets, 0, cell, cell * 1e-3), "cx", "cy").select("cx", "cy", *[c(n).alias("t" + n) for n in ends])
+        t = [c("t" + n) for n in ends]
+        off = F.abs(G.side(*t, (c("x0") + c("x1")) / 2, (c("y0") + c("y1")) / 2))
+        most = (reach + length / 2) * F.hypot(t[2] - t[0], t[3] - t[1])
+        met = near.join(far.hint("merge"), ["cx", "cy"]).where(off <= most * (1 + 1e-9) + 1e-9)
+        best = met.select(key, _meeting(*[c(n) for n in ends], *t).alias("m")).groupBy(key).agg(F.min("m").alias("m")).where(c("m.d") <= reach)
         best = work.write(best, f"found-{at}")
         found = found.unionByName(best)
         if within is not None:
             break
         at += 1
         left = work.write(left.join(best.select(key), key, "left_anti"), f"left-{at}")
-        cell *= 4
+        reach *= 4
     return found.select(key, "m.*")
 
 

@@ -45,6 +45,30 @@ def test_nearest_links(spark, within):
         assert min(at((row.x, row.y), s[:2], s[2:]) for k, *s in shapes if k == row.k) == pytest.approx(0, abs=1e-9)
 
 
+def test_nearest_links_where_links_lie_densely(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    net = [[x := r.uniform(0, 1000), y := r.uniform(0, 1000), x + r.uniform(-150, 150), y + r.uniform(-150, 150)] for _ in range(6000)]
+    spots = [(n, x := r.uniform(0, 1000), y := r.uniform(0, 1000), x, y) for n in range(300)]
+    pairs, real = spark.sparkContext.accumulator(0), topology._meeting.func
+
+    @F.pandas_udf("d double, x double, y double")
+    def counted(*columns: pd.Series) -> pd.DataFrame:
+        pairs.add(len(columns[0]))
+        return real(*columns)
+
+    monkeypatch.setattr(topology, "_meeting", counted)
+    got = {r.k: r.d for r in topology.nearest_links(spark.createDataFrame(spots, "k int, x0 double, y0 double, x1 double, y1 double"), spark.createDataFrame(net, "x0 double, y0 double, x1 double, y1 double"), "k").collect()}
+    a, b = np.array(net)[:, :2], np.array(net)[:, 2:]
+    for k, x, y, *_ in spots:
+        t = np.clip((([x, y] - a) * (b - a)).sum(1) / ((b - a) ** 2).sum(1), 0, 1)[:, None]
+        assert got[k] == pytest.approx(np.hypot(*([x, y] - a - t * (b - a)).T).min())
+    assert pairs.value < 60 * len(spots)
+
+
 def test_nearest_links_of_nothing(spark):
     none = spark.createDataFrame([], "k int, x0 double, y0 double, x1 double, y1 double")
     some = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0)], none.schema)
