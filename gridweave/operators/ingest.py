@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions import catalogue as C
 from gridweave.operators import geometry as G
-from gridweave.operators import topology
+from gridweave.operators import spatial, topology
 from gridweave.sources import dimensions as D
 from gridweave.sources import geojson
 
@@ -150,18 +150,33 @@ def own_footprints(terminals: DataFrame, restrictions: DataFrame, cell: float) -
     """(terminal, restriction): the forbidden polygon that holds a terminal without a building of its own; the smallest of several,
     then the smallest id. Its border counts as held; a polygon may have several terminals, and one with holes holds none there.
 
-    Polygons meet terminals in the grid cells that their boxes touch; the area is that of all rings as they turn.
+    Polygons meet terminals in the grid cells that their boxes touch, cells being no wider than a third of a polygon and than the limit; those
+    larger than one that fills the cell are left out there, so a terminal meets few, however many hold it. The area is that of all rings as
+    they turn.
     """
     rings = F.transform("geom.parts", lambda ring: F.transform(F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))), lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
     shapes = restrictions.where("rule = 'FORBIDDEN' AND geom.type IN ('Polygon', 'MultiPolygon')").select(F.col("id").alias("restriction"), rings.alias("rings"))
     every = F.flatten("rings")
     box = [f(every.getField(n)) for f in (F.array_min, F.array_max) for n in ("x", "y")]
-    shapes = G.with_cells(shapes.select("*", *[b.alias(n) for b, n in zip(box, ("x0", "y0", "x1", "y1"), strict=True)]), tuple(F.col(n) for n in ("x0", "y0", "x1", "y1")), cell)
     turned = lambda ring: F.aggregate(F.transform(ring, lambda p, i: p.x * ring[(i + 1) % F.size(ring)].y - ring[(i + 1) % F.size(ring)].x * p.y), F.lit(0.0), lambda a, v: a + v)
     area = F.abs(F.aggregate(F.transform("rings", turned), F.lit(0.0), lambda a, v: a + v))
-    spots = terminals.where("origin = 'point'").select(F.col("id").alias("terminal"), "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
+    after = lambda ring, i: ring[(i + 1) % F.size(ring)]
+    edges = F.flatten(F.transform("rings", lambda ring: F.transform(ring, lambda p, i: F.struct(p.x.alias("ax"), p.y.alias("ay"), after(ring, i).x.alias("bx"), after(ring, i).y.alias("by")))))
+    # Dealt before anything is worked out: many polygons may be one small file.
+    shapes = G.spread(shapes, "restriction").select("restriction", "rings", edges.alias("edges"), *[b.alias(n) for b, n in zip(box, ("x0", "y0", "x1", "y1"), strict=True)], area.alias("area"))
+    narrow = shapes.agg(F.avg(F.least(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0]
+    cell = min(cell, narrow / 3) if narrow else cell
+    # A polygon fills a cell if no edge's box meets the cell, seen a little wider than it is, and its middle is held.
+    (lx, ly), (hx, hy) = ([(F.col(n) + o) * cell for n in ("cx", "cy")] for o in (-1e-6, 1 + 1e-6))
+    mx, my = ((F.col(n) + 0.5) * cell for n in ("cx", "cy"))
+    clear = F.forall("edges", lambda e: (F.greatest(e.ax, e.bx) < lx) | (F.least(e.ax, e.bx) > hx) | (F.greatest(e.ay, e.by) < ly) | (F.least(e.ay, e.by) > hy))
+    over = F.size(F.filter("edges", lambda e: ((e.ay <= my) != (e.by <= my)) & (mx < e.ax + (my - e.ay) / (e.by - e.ay) * (e.bx - e.ax)))) % 2 == 1
+    within = (F.col("x0") < lx) & (F.col("x1") > hx) & (F.col("y0") < ly) & (F.col("y1") > hy)
+    shapes = G.with_cells(shapes, tuple(F.col(n) for n in ("x0", "y0", "x1", "y1")), cell)
+    shapes = spatial.without_hidden(shapes.withColumn("_fills", F.when(within, clear & over).otherwise(False)).drop("edges"), F.col("_fills"), "area")
     inside = F.aggregate(F.transform("rings", lambda ring: G.covers(ring, F.col("x"), F.col("y")).cast("int")), F.lit(0), lambda a, v: a + v) % 2 == 1
-    held = spots.join(shapes, ["cx", "cy"]).where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").where(inside).withColumn("area", area)
+    spots = terminals.where("origin = 'point'").select(F.col("id").alias("terminal"), "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
+    held = G.spread(spots, "cx", "cy").join(shapes.hint("merge"), ["cx", "cy"]).where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").where(inside)
     return held.groupBy("terminal").agg(F.min(F.struct("area", "restriction"))["restriction"].alias("restriction"))
 
 

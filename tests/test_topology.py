@@ -149,3 +149,31 @@ def test_terminals_look_at_the_network(spark, read):
     assert sorted((r.id, r.x, r.y, r.flow) for r in t.collect()) == [("b1", 3.0, 5.0, 0.0), ("b2", 13.0, 2.0, 3.0), ("p3", 101.0, 101.0, 4.0), ("p4", 110.0, 101.0, 0.0)]
     got = {r.terminal: r.restriction for r in ingest.own_footprints(t, ingest.restrictions(f), 25.0).collect()}
     assert got == {"p3": "house", "p4": "block"}
+
+
+def test_footprint_among_many_that_hold_a_terminal(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from gridweave.operators import spatial
+
+    r = random.Random(3)
+    shapes = []
+    for n in range(400):
+        x, y, w = r.randint(0, 60), r.randint(0, 60), r.randint(60, 120)
+        shapes.append((n, [[[x, y], [x + w, y], [x + w, y + w], [x, y + w], [x, y]]]))
+    # One with a hole, and one whose box is the smallest but which holds a corner of it only.
+    shapes += [(900, [[[40, 40], [95, 40], [95, 95], [40, 95], [40, 40]], [[60, 60], [80, 60], [80, 80], [60, 80], [60, 60]]]), (901, [[[50, 50], [90, 50], [50, 90], [50, 50]]])]
+    frame = spark.createDataFrame([(n, "FORBIDDEN", ("Polygon", [[[float(v) for v in p] for p in ring] for ring in rings])) for n, rings in shapes], "id long, rule string, geom struct<type: string, parts: array<array<array<double>>>>")
+    spots = [(n, r.uniform(0, 180), r.uniform(0, 180), "point") for n in range(300)]
+    kept, real = [], spatial.without_hidden
+    monkeypatch.setattr(spatial, "without_hidden", lambda *a: kept.append(real(*a)) or kept[-1])
+    got = {r.terminal: r.restriction for r in ingest.own_footprints(spark.createDataFrame(spots, "id long, x double, y double, origin string"), frame, 2500.0).collect()}
+
+    def holds(rings, x, y):
+        return sum((p[1] <= y) != (q[1] <= y) and x < p[0] + (y - p[1]) / (q[1] - p[1]) * (q[0] - p[0]) for ring in rings for p, q in zip(ring, ring[1:])) % 2 == 1
+
+    area = lambda rings: abs(sum(p[0] * q[1] - q[0] * p[1] for ring in rings for p, q in zip(ring, ring[1:])))
+    want = {n: min(held)[1] for n, x, y, _ in spots if (held := [(area(rings), k) for k, rings in shapes if holds(rings, x, y)])}
+    assert got == want
+    # In the middle, which all but a few hold, hardly any are left to look at.
+    assert kept[0].groupBy("cx", "cy").agg(F.count("*").alias("n")).agg(F.min("n")).first()[0] <= 400 / 10
