@@ -97,3 +97,16 @@ def test_query_of_rings(spark):
         assert reach(p, thin[k]) <= 0.25 + 1e-9 and crossings([thin[k]]) == 0 and {tuple(q) for q in thin[k]} <= {tuple(q) for q in p}
         assert (r["points"], r["points_left"]) == (len(p), len(thin[k])) and r["points_left"] < r["points"]
         assert r["area"] == pytest.approx(area(p), abs=0.011) and r["area_left"] == pytest.approx(area(thin[k]), abs=0.011)
+
+
+def test_outlines_of_several_slices(spark):
+    import math
+
+    from gridweave.operators import outlines
+
+    ring = lambda n: [(n + math.cos(t / 20 * math.tau), math.sin(t / 20 * math.tau) * (1 + n % 3)) for t in range(20)]
+    rows = [(n, None if n % 50 == 7 else [ring(n), None] if n % 50 == 8 else [ring(n)], True, 1.0) for n in range(150)]
+    got = {r.obstacle: r.rings for r in outlines.simplify(spark.createDataFrame(rows, outlines.SHAPES).coalesce(1)).collect()}
+    for n, rings, *_ in rows:
+        want = None if rings is None else [[tuple(p) for p in r] for r in outlines.thinned([q or [] for q in rings], True, outlines.OUTLINE)]
+        assert want == (got[n] if got[n] is None else [[(p.x, p.y) for p in r] for r in got[n]])
