@@ -1,9 +1,13 @@
-"""The generated result: a query builds the tables that it reads, and no others."""
+"""The generated result: a query builds the tables that it reads, and no others; what stays within variants takes one shuffle."""
 
+import datetime
 import os
 
+import pytest
+
 from gridweave.operators import storage
-from gridweave.plans import registry
+from gridweave.plans import order_queries, registry
+from gridweave.sources import results
 
 DATA = "/root/testdata/sf0.001"
 
@@ -22,3 +26,27 @@ def test_chambers_need_no_summaries(spark, tmp_path):
     at = folder(tmp_path, "lineitem")
     assert registry.QUERIES["check_chamber_cost"](spark, at).count() == registry.QUERIES["check_chamber_cost"](spark, DATA).count() > 0
     assert {name.rsplit("/", 1)[-1] for _, name in storage._kept if name.startswith(at)} == {"result-segments", "result-chambers"}
+
+
+@pytest.fixture(scope="module")
+def hot(spark, tmp_path_factory):
+    """Line items with a variant of 10,100, one whose second segment is cut off, and one of a single segment."""
+    at = tmp_path_factory.mktemp("hot")
+    rows = [(v, n, n % 97, n % 13, datetime.datetime(1995, 1, 1)) for v, many in ((3, 10_100), (10, 600), (4, 5), (5, 1), (89, 6)) for n in range(many)]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate timestamp_ntz")
+    df.write.parquet(f"{at}/lineitem.parquet")
+    by = {}
+    for r in results.segments(spark, str(at)).collect():
+        by.setdefault(r.variant, {})[r.i] = r
+    return str(at), by
+
+
+@pytest.mark.parametrize("name", ["dep_chains"])
+def test_work_within_variants_takes_one_shuffle(spark, hot, name):
+    plan = getattr(order_queries, name)(spark, hot[0])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_segments_lie_in_more_tasks_as_the_table_grows(spark, hot, monkeypatch):
+    monkeypatch.setattr(results, "PER_TASK", 500)
+    assert results.segments(spark, hot[0]).rdd.getNumPartitions() == 10_712 // 500
