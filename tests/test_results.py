@@ -41,7 +41,7 @@ def hot(spark, tmp_path_factory):
     return str(at), by
 
 
-@pytest.mark.parametrize("name", ["dep_chains"])
+@pytest.mark.parametrize("name", ["dep_chains", "win_long_profile"])
 def test_work_within_variants_takes_one_shuffle(spark, hot, name):
     plan = getattr(order_queries, name)(spark, hot[0])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
