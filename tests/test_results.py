@@ -1,6 +1,7 @@
 """The generated result: a query builds the tables that it reads, and no others; what stays within variants takes one shuffle."""
 
 import datetime
+import json
 import os
 
 import pytest
@@ -41,12 +42,40 @@ def hot(spark, tmp_path_factory):
     return str(at), by
 
 
-@pytest.mark.parametrize("name", ["dep_chains", "win_long_profile"])
+@pytest.mark.parametrize("name", ["dep_chains", "win_long_profile", "prj_renumber", "snk_feature_properties"])
 def test_work_within_variants_takes_one_shuffle(spark, hot, name):
     plan = getattr(order_queries, name)(spark, hot[0])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
 
 
+def test_trunks_chains_and_names_of_large_variants(spark, hot):
+    at, by = hot
+    trunk, chains, names = [], [], []
+    for v, s in by.items():
+        below, node, station = {}, 0, 0
+        for r in s.values():
+            below.setdefault(r.a, []).append(r)
+        while node in below:
+            r = min(below[node], key=lambda r: (-r.flow, r.b))
+            node, station = r.b, station + r.length
+            trunk.append((v, node, station))
+        tops = {}
+        for i in sorted(s):
+            tops[i] = tops[s[i].a] if 1 <= s[i].a <= 499 and len(below[s[i].a]) == 1 else i
+        chains += [(v, t, sum(x == t for x in tops.values()), sum(s[i].length for i in s if tops[i] == t)) for t in set(tops.values())] if len(s) < 1000 else []
+        nodes = sorted({n for r in s.values() for n in (r.a, r.b)})
+        kind = {n: "tie" if n == 0 else "ch" if len(below.get(n, [])) >= 2 else "tn" for n in nodes}
+        label = {n: f"{k}_v{v}_{1 + place}" for k in ("tie", "ch", "tn") for place, n in enumerate(n for n in nodes if kind[n] == k)}
+        names += [(v, f"new_v{v}_{i}", label[r.a], label[r.b]) for i, r in s.items()]
+    got = lambda df: sorted(map(tuple, df.collect()))
+    assert got(order_queries.win_long_profile(spark, at)) == sorted(trunk)
+    assert got(order_queries.dep_chains(spark, at).where("variant <> 3")) == sorted(chains)
+    assert got(order_queries.prj_renumber(spark, at)) == sorted(names)
+    props = {(r.variant, r.i): json.loads(r.properties) for r in order_queries.snk_feature_properties(spark, at).collect()}
+    assert {(v, p["id"], p["start_node_id"], p["end_node_id"]) for (v, _), p in props.items()} == set(names)
+    assert all(p["cost"] == by[k[0]][k[1]].cost and p["flow_tph"] == by[k[0]][k[1]].flow for k, p in props.items())
+
+
 def test_segments_lie_in_more_tasks_as_the_table_grows(spark, hot, monkeypatch):
     monkeypatch.setattr(results, "PER_TASK", 500)
     assert results.segments(spark, hot[0]).rdd.getNumPartitions() == 10_712 // 500
