@@ -118,29 +118,63 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         label = work.write(label.join(top, "root", "left").select("node", F.coalesce("_top", "root").alias("root")), f"label-{at}")
 
 
+def _close_cells(places: DataFrame, width: float, tolerance: float) -> DataFrame:
+    """(cx, cy, ocx, ocy): different cells with places (x, y) within the tolerance of each other, each pair once.
+
+    A place is sent to those of the twelve cells ahead that it can reach."""
+    c = F.col
+    gap = lambda i, at, v: (at + 1) * width - v if i > 0 else v - at * width if i < 0 else F.lit(0.0)
+    far = lambda i, at, v: gap(i, at, v) + max(abs(i) - 1, 0) * width
+    ahead = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if (i, j) > (0, 0)]
+    slack = tolerance * (1 + 1e-9) + (F.abs("x") + F.abs("y")) * 1e-12
+    reach = [F.when(F.hypot(far(i, c("cx"), c("x")), far(j, c("cy"), c("y"))) <= slack, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))) for i, j in ahead]
+    other = places.select("x", "y", "cx", "cy", F.inline(F.array_compact(F.array(*reach)))).select(c("x").alias("ox"), c("y").alias("oy"), (c("cx") + c("i")).alias("cx"), (c("cy") + c("j")).alias("cy"), c("i").cast("byte").alias("i"), c("j").cast("byte").alias("j"))
+    met = places.join(other, ["cx", "cy"]).where(F.hypot(c("x") - c("ox"), c("y") - c("oy")) <= tolerance)
+    return met.select("cx", "cy", (c("cx") - c("i")).alias("ocx"), (c("cy") - c("j")).alias("ocy")).distinct()
+
+
 def stitch(segments: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, x, y) and edges (id, a, b) of segments (id, points): ends as near as the tolerance are one node, and what
     they are near to as well. A node is named after its smallest end and stands there.
 
-    Ends in a cell whose diagonal is the tolerance belong together without pairing; only different cells' places are compared.
+    Ends in a cell whose diagonal is the tolerance belong together without pairing. Neighbouring cells are compared by their outermost
+    ends in eight directions first, which joins nearly all that belong together, however many ends a cell holds; all ends are compared only
+    where neighbours are still apart and one holds more ends than those.
     """
     work = Workspace(segments.sparkSession, "stitch")
-    p = F.col("points")
+    p, c = F.col("points"), F.col
     end = lambda at, name: F.struct(F.concat("id", F.lit(name)).alias("node"), F.element_at(p, at)[0].alias("x"), F.element_at(p, at)[1].alias("y"))
     ends = segments.where(F.size(p) >= 2).select("id", F.explode(F.array(end(1, "|a"), end(-1, "|b"))).alias("e")).select("id", "e.*")
     width = tolerance / 2**0.5
-    ends = work.write(ends.dropna().withColumn("cx", F.floor(F.col("x") / width)).withColumn("cy", F.floor(F.col("y") / width)), "ends")
-    first = ends.groupBy("cx", "cy").agg(F.min("node").alias("head"))
-    places = ends.groupBy("cx", "cy", "x", "y").agg(F.min("node").alias("node"))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if (i, j) > (0, 0)])
-    other = places.select(F.explode(around).alias("s"), F.col("x").alias("ox"), F.col("y").alias("oy"), "cx", "cy").select("ox", "oy", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"), F.col("cx").alias("ocx"), F.col("cy").alias("ocy"))
-    close = places.join(other, ["cx", "cy"]).where(F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= tolerance).select("cx", "cy", "ocx", "ocy").distinct()
-    pairs = close.join(first, ["cx", "cy"]).withColumnRenamed("head", "a").join(first.toDF("ocx", "ocy", "b"), ["ocx", "ocy"]).select("a", "b")
-    heads = components(first.select(F.col("head").alias("node")), pairs)
-    named = ends.join(first, ["cx", "cy"]).join(heads.withColumnRenamed("node", "head"), "head")
-    named = work.write(named.select("id", "node", "x", "y", "root"), "named")
+    ends = work.write(ends.dropna().withColumn("cx", F.floor(c("x") / width)).withColumn("cy", F.floor(c("y") / width)), "ends")
+    by = [c("x"), c("y"), c("x") + c("y"), c("x") - c("y")]
+    outer = F.array_distinct(F.array(*[F.struct(*[f(F.struct(v.alias("v"), "x", "y"))[n].alias(n) for n in ("x", "y")]) for v in by for f in (F.min, F.max)]))
+    cells = ends.repartition("cx", "cy").groupBy("cx", "cy").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n"), outer.alias("outer"))
+    cells = work.write(cells, "cells")
+    first = cells.select("cx", "cy", "head")
+    pairs = lambda close: close.join(first, ["cx", "cy"]).withColumnRenamed("head", "a").join(first.toDF("ocx", "ocy", "b"), ["ocx", "ocy"]).select("a", "b")
+    linked = work.write(pairs(_close_cells(cells.select("cx", "cy", F.inline("outer")), width, tolerance)), "linked")
+    heads = components(first.select(c("head").alias("node")), linked)
+    # Neighbours that are still apart, where ends were left out of the comparison.
+    known = cells.select("cx", "cy", "head", (c("n") > F.size("outer")).alias("more")).join(heads.withColumnRenamed("node", "head"), "head").select("cx", "cy", "root", "more")
+    known = work.write(known, "known")
+    ahead = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if (i, j) > (0, 0)])
+    there = known.select(c("root").alias("_root"), c("more").alias("_more"), c("cx").alias("ocx"), c("cy").alias("ocy"), F.inline(ahead)).select("_root", "_more", "ocx", "ocy", (c("ocx") + c("i")).alias("cx"), (c("ocy") + c("j")).alias("cy"))
+    apart = known.join(there, ["cx", "cy"]).where((c("root") != c("_root")) & (c("more") | c("_more")))
+    apart = work.write(apart.select(F.inline(F.array(F.struct("cx", "cy"), F.struct(c("ocx").alias("cx"), c("ocy").alias("cy"))))).distinct(), "apart")
+    if not apart.isEmpty():
+        places = ends.join(apart, ["cx", "cy"], "left_semi").select("cx", "cy", "x", "y").distinct()
+        # Roots stand for what is joined already, so few are left to join.
+        at = known.select("cx", "cy", "root")
+        both = _close_cells(places, width, tolerance).join(at, ["cx", "cy"]).withColumnRenamed("root", "a").join(at.toDF("ocx", "ocy", "b"), ["ocx", "ocy"])
+        both = work.write(both.where("a <> b").select("a", "b").distinct(), "both")
+        if not both.isEmpty():
+            tops = components(both.select(F.explode(F.array("a", "b")).alias("node")), both).toDF("root", "_top")
+            known = work.write(known.join(tops, "root", "left").select("cx", "cy", F.coalesce("_top", "root").alias("root")), "known-all")
+    named = ends.join(known.select("cx", "cy", "root"), ["cx", "cy"])
     nodes = named.where("node = root").select("node", "x", "y")
-    edges = named.groupBy("id").agg(F.max(F.when(F.col("node") == F.concat("id", F.lit("|a")), F.col("root"))).alias("a"), F.max(F.when(F.col("node") == F.concat("id", F.lit("|b")), F.col("root"))).alias("b"))
+    at = lambda name: F.max(F.when(c("node") == F.concat("id", F.lit(name)), c("root")))
+    edges = named.groupBy("id").agg(at("|a").alias("a"), at("|b").alias("b"))
     return nodes, edges
 
 

@@ -177,3 +177,24 @@ def test_footprint_among_many_that_hold_a_terminal(spark, monkeypatch):
     assert got == want
     # In the middle, which all but a few hold, hardly any are left to look at.
     assert kept[0].groupBy("cx", "cy").agg(F.count("*").alias("n")).agg(F.min("n")).first()[0] <= 400 / 10
+
+
+def test_ends_of_crowded_cells_are_stitched_as_all_pairs_say(spark):
+    r = random.Random(5)
+    rows = [(f"{k}", [[r.uniform(0, 60), r.uniform(0, 60)], [r.choice([100.0, 102.5, 105.0]), r.uniform(0, 9)]]) for k in range(160)]
+    ends = [(f"{i}|{n}", *p) for i, ps in rows for n, p in zip("ab", ps, strict=True)]
+    root = {e[0]: e[0] for e in ends}
+    find = lambda n: n if root[n] == n else find(root[n])
+    for a in ends:
+        for b in ends:
+            if math.hypot(a[1] - b[1], a[2] - b[2]) <= 3 and find(a[0]) != find(b[0]):
+                low, high = sorted((find(a[0]), find(b[0])))
+                root[high] = low
+    _, edges = topology.stitch(spark.createDataFrame(rows, "id string, points array<array<double>>"), 3.0)
+    assert sorted(map(tuple, edges.select("id", "a", "b").collect())) == sorted((i, find(f"{i}|a"), find(f"{i}|b")) for i, _ in rows)
+
+
+def test_places_go_only_to_cells_within_reach(spark):
+    w = 3.0 / 2**0.5
+    places = spark.createDataFrame([(0, 0, 0.1 * w, 0.1 * w), (2, 2, 2.0 * w, 2.0 * w), (1, 0, 1.1 * w, 0.2 * w)], "cx long, cy long, x double, y double")
+    assert [tuple(r) for r in topology._close_cells(places, w, 3.0).collect()] == [(1, 0, 0, 0)]
