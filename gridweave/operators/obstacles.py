@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,17 +59,37 @@ def pieces(obstacles: DataFrame) -> DataFrame:
     return rows.select("*", *[f(c).alias(n) for n, f, c in (("x0", F.array_min, "px"), ("y0", F.array_min, "py"), ("x1", F.array_max, "px"), ("y1", F.array_max, "py"))])
 
 
-def within_piece(x: Column, y: Column, skin: float = SKIN) -> Column:
-    """Whether a point lies inside the convex piece (px, py)."""
-    px, py, n = F.col("px"), F.col("py"), len(TURNS)
-
-    def left(i: Column) -> Column:
-        j = F.when(i == n - 1, F.lit(0)).otherwise(i + 1)
-        dx, dy = px[j] - px[i], py[j] - py[i]
-        length = F.hypot(dx, dy)
-        return (length < 1e-9) | (dx * (y - py[i]) - dy * (x - px[i]) > length * skin)
-
-    return F.forall(F.sequence(F.lit(0), F.lit(n - 1)), left)
+def within_pieces(at: np.ndarray, own: np.ndarray, shapes: np.ndarray, of: np.ndarray, skin: float = SKIN) -> np.ndarray:
+    """Whether each point (n x 2) lies inside one of convex pieces (m x k x 2) that isn't of its own obstacle.
+
+    Large pieces come first and a point that one holds meets no more, so where buffers cover much, few pairs are looked at.
+    """
+    low, high = shapes.min(1), shapes.max(1)
+    order = np.argsort(-(high - low).prod(1), kind="stable")
+    step = np.roll(shapes, -1, axis=1) - shapes
+    length = np.hypot(step[..., 0], step[..., 1])
+    out, begin, width = np.zeros(len(at), bool), 0, 16
+    while begin < len(order):
+        some = order[begin : begin + width]
+        alive = np.flatnonzero(~out)
+        for first in range(0, len(alive), 20_000):
+            mine = alive[first : first + 20_000]
+            k, m = np.nonzero(((at[mine, None] >= low[some]) & (at[mine, None] <= high[some])).all(2) & (own[mine, None] != of[some]))
+            k, m = mine[k], some[m]
+            d = at[k, None] - shapes[m]
+            left = step[m][..., 0] * d[..., 1] - step[m][..., 1] * d[..., 0] > length[m] * skin
+            out[k[(left | (length[m] < 1e-9)).all(1)]] = True
+        begin, width = begin + width, min(2 * width, 128)
+    return out
+
+
+def _inside(points: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+    """The keys of a cell's points that lie inside its pieces."""
+    if not len(points) or not len(parts):
+        return points[["key"]].head(0)
+    names = pd.factorize(pd.concat([points["own"], parts["obstacle"]], ignore_index=True))[0]
+    shapes = np.stack([np.stack(parts["px"].to_list()), np.stack(parts["py"].to_list())], -1)
+    return points.loc[within_pieces(points[["x", "y"]].to_numpy(float), names[: len(points)], shapes, names[len(points) :]), ["key"]]
 
 
 def within_rings(x: Column, y: Column, rings: Column) -> Column:
@@ -110,8 +132,11 @@ def holders(points: DataFrame, obstacles: DataFrame, key: str, cell: float = 50.
 def shut(points: DataFrame, obstacles: DataFrame, parts: DataFrame, key: str, cell: float = 50.0) -> DataFrame:
     """The keys of points (key, x, y, own) inside a buffer that isn't of their own obstacle (null: none)."""
     other = lambda df: df.where(~F.col("own").eqNullSafe(F.col("obstacle")))
-    near = spot(points.select(key, "x", "y", "own"), cell).join(dealt(parts, cell), ["cx", "cy"]).where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
-    inside = other(near).where(within_piece(F.col("x"), F.col("y"))).select(key)
+    near = spot(points.select(F.col(key).alias("key"), "x", "y", F.col("own").cast("string").alias("own")), cell)
+    dealt_parts = dealt(parts.select(F.col("obstacle").cast("string").alias("obstacle"), "px", "py", "x0", "y0", "x1", "y1"), cell).select("cx", "cy", "obstacle", "px", "py")
+    n, by = tasks(points.sparkSession), ["cx", "cy"]
+    inside = near.repartition(n, *by).groupBy(*by).cogroup(dealt_parts.repartition(n, *by).groupBy(*by)).applyInPandas(_inside, f"key {points.schema[key].dataType.simpleString()}")
+    inside = inside.select(F.col("key").alias(key))
     held = other(holders(points, obstacles, key, cell).join(points.select(key, "own"), key)).select(key)
     return inside.unionByName(held).distinct()
 

@@ -2,7 +2,7 @@
 
 Rounds of twice the radius each: nodes are dealt to tiles twice as wide as the radius, with the pieces and nodes within the
 radius of them, and each looks for nodes in the ring between the last radius and this. A node leaves the rounds once the
-pieces within the radius hide every direction, or once it knows a way to a tie-in point that is no longer than the radius: a
+pieces within the radius hide every direction in which there are nodes at all (none lie outside the box of all nodes), or once it knows a way to a tie-in point that is no longer than the radius: a
 longer edge is on no shortest way from it. The others go on until the radius holds all data. Tiles with many nodes that still
 look are dealt to several tasks.
 
@@ -25,7 +25,7 @@ from gridweave.operators.storage import Workspace
 
 #: How many pieces the first round's circles hold in the mean, and how many nodes of a tile look in one task.
 AT_FIRST, LOOKERS = 40, 128
-SEEN = "node string, other string, w double, open boolean"
+SEEN = "node string, other string, w double, open boolean, goes boolean"
 
 
 def enters(a: np.ndarray, b: np.ndarray, shapes: np.ndarray, skin: float = O.SKIN) -> np.ndarray:
@@ -64,21 +64,15 @@ def on_border(p: np.ndarray, shapes: np.ndarray) -> np.ndarray:
     return (depth >= -1e-6 * size).all(1)
 
 
-def cover(p: np.ndarray, shapes: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Directions that pieces hide within the radius: those of their middle lines, as far as these lie in the circle.
-
-    A piece's points 7 and 2 are the ends of its middle line; pieces without an inside hide nothing.
-    """
-    a, b = shapes[:, 7], shapes[:, 2]
-    a, b = a + 1e-3 * (b - a), b - 1e-3 * (b - a)
+def hides(p: np.ndarray, a: np.ndarray, b: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Directions that segments from a to b hide, as far as these lie in the circle."""
     d, f = b - a, a - p
     square, half, rest = (d * d).sum(1), (d * f).sum(1), (f * f).sum(1) - radius * radius
     inside = half * half - square * rest
-    wide = np.hypot(*(shapes[:, 0] - shapes[:, 4]).T) > 1e-3
     with np.errstate(divide="ignore", invalid="ignore"):
         root = np.sqrt(np.maximum(inside, 0.0))
         t, u = np.maximum((-half - root) / square, 0.0), np.minimum((-half + root) / square, 1.0)
-    good = wide & (inside > 0) & (square > 0) & (t < u)
+    good = (inside > 0) & (square > 0) & (t < u)
     a, b = (f + t[:, None] * d)[good], (f + u[:, None] * d)[good]
     one, two = np.arctan2(a[:, 1], a[:, 0]), np.arctan2(b[:, 1], b[:, 0])
     turn = (two - one + np.pi) % (2 * np.pi) - np.pi
@@ -86,6 +80,17 @@ def cover(p: np.ndarray, shapes: np.ndarray, radius: float) -> tuple[np.ndarray,
     return low, low + np.abs(turn)
 
 
+def cover(p: np.ndarray, shapes: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Directions that pieces hide within the radius: those of their middle lines, as far as these lie in the circle.
+
+    A piece's points 7 and 2 are the ends of its middle line; pieces without an inside hide nothing.
+    """
+    a, b = shapes[:, 7], shapes[:, 2]
+    a, b = a + 1e-3 * (b - a), b - 1e-3 * (b - a)
+    wide = np.hypot(*(shapes[:, 0] - shapes[:, 4]).T) > 1e-3
+    return hides(p, a[wide], b[wide], radius)
+
+
 def hidden(low: np.ndarray, high: np.ndarray) -> bool:
     """Whether intervals of bearings leave no direction open; directions along sides are open, so intervals must overlap."""
     if len(low) < 2:
@@ -117,21 +122,29 @@ def runs(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
 
 
-def _seen(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], going_on: list[str]) -> pd.DataFrame:
-    """Rows (node, other, w), and a row with `open` alone for every node that goes on."""
+def _seen(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], going_on: list[tuple[str, bool]]) -> pd.DataFrame:
+    """Rows (node, other, w), and for every node that pieces don't hide a row with `open` and `goes`: whether it goes on."""
     node, other, w = (np.concatenate([f[k] for f in found]) if found else np.empty(0, str if k < 2 else float) for k in range(3))
     n, m = len(node), len(going_on)
     names = lambda values: pd.Series(values, dtype=object)
-    return pd.DataFrame({"node": names([*node.tolist(), *going_on]), "other": names([*other.tolist(), *[None] * m]), "w": np.append(w, np.full(m, np.nan)), "open": np.arange(n + m) >= n})
+    goes = np.append(np.zeros(n, bool), np.array([g for _, g in going_on], bool))
+    return pd.DataFrame({"node": names([*node.tolist(), *(g for g, _ in going_on)]), "other": names([*other.tolist(), *[None] * m]), "w": np.append(w, np.full(m, np.nan)), "open": np.arange(n + m) >= n, "goes": goes})
+
+
+def walls(box: tuple[float, float, float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """The sides of a box (x0, y0, x1, y1) that holds all nodes, a metre away and with their ends a metre further: nothing lies beyond."""
+    x0, y0, x1, y1 = box[0] - 1, box[1] - 1, box[2] + 1, box[3] + 1
+    ends = np.array([(x0, y0 - 1, x0, y1 + 1), (x1, y0 - 1, x1, y1 + 1), (x0 - 1, y0, x1 + 1, y0), (x0 - 1, y1, x1 + 1, y1)])
+    return ends[:, :2], ends[:, 2:]
 
 
-def _look(rows: pd.DataFrame, inner: float, radius: float) -> pd.DataFrame:
-    """What the looking nodes of a tile see in the ring, and which of them go on."""
+def _look(rows: pd.DataFrame, inner: float, radius: float, box: tuple[float, float, float, float]) -> pd.DataFrame:
+    """What the looking nodes of a tile see in the ring, and which of them go on. box: holds the nodes of all tiles."""
     is_node = rows["px"].isna()
     nodes, parts = rows[is_node].reset_index(drop=True), rows[~is_node]
     looking = nodes.index[nodes["looks"].astype(bool)].to_numpy()
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    going_on: list[str] = []
+    going_on: list[tuple[str, bool]] = []
     if not len(looking):
         return _seen(found, going_on)
     at, names = nodes[["x", "y"]].to_numpy(float), nodes["name"].to_numpy(str)
@@ -143,6 +156,7 @@ def _look(rows: pd.DataFrame, inner: float, radius: float) -> pd.DataFrame:
     of = parts["obstacle"].to_numpy(float)
     low, high = shapes.min(1), shapes.max(1)
     turn = 2 * np.pi
+    sides = walls(box)
     touching: dict[int, np.ndarray] = {}
 
     def own_shapes(j: int) -> np.ndarray:
@@ -219,14 +233,17 @@ def _look(rows: pd.DataFrame, inner: float, radius: float) -> pd.DataFrame:
             to = to[free]
         found.append((np.repeat(names[i], len(to)), names[to], apart[to]))
         lines = cover(p, shapes[touched], radius)
-        if not hidden(np.concatenate([lines[0], first[close], back[0]]), np.concatenate([lines[1], last[close], back[1]])):
-            going_on.append(names[i])
+        begin, end = np.concatenate([lines[0], first[close], back[0]]), np.concatenate([lines[1], last[close], back[1]])
+        if not hidden(begin, end):
+            # Whoever only looks out past all nodes stays in sight of others, but has no more to find.
+            outer = hides(p, *sides, radius)
+            going_on.append((names[i], not hidden(np.append(begin, outer[0]), np.append(end, outer[1]))))
     return _seen(found, going_on)
 
 
-def _looker(inner: float, radius: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _looker(inner: float, radius: float, box: tuple[float, float, float, float]) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def look(rows: pd.DataFrame) -> pd.DataFrame:
-        return _look(rows, inner, radius)
+        return _look(rows, inner, radius, box)
 
     return look
 
@@ -264,19 +281,20 @@ def graph(nodes: DataFrame, parts: DataFrame, work: Workspace) -> DataFrame:
         rows = node_rows.unionByName(piece_rows).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
         rows = rows.withColumn("looks", F.col("here") & (F.pmod(F.xxhash64("name"), F.col("shares")) == F.col("share"))).drop("here", "shares")
         dealt = rows.repartition(tasks, "cx", "cy", "share").groupBy("cx", "cy", "share")
-        seen = work.write(dealt.applyInPandas(_looker(inner, radius), SEEN), f"ring-{at}")
+        seen = work.write(dealt.applyInPandas(_looker(inner, radius, tuple(box)), SEEN), f"ring-{at}")
         edges = seen.where("other IS NOT NULL").select("node", "other", "w")
         found = edges if found is None else found.unionByName(edges)
-        on = seen.where("open").select("node").distinct().withColumn("_on", F.lit(True))
-        # The shortest known way: to a tie-in point in sight, or past one node that has one in sight.
+        on = seen.where("open").select("node", F.lit(True).alias("_on"), F.col("goes").alias("_goes"))  # a node looks in one task
+        # The shortest known way: to a tie-in point in sight, or past one node that has one in sight. Only of nodes that still search.
+        mine = state.where("searches").select("node")
         both = found.unionByName(found.select(F.col("other").alias("node"), F.col("node").alias("other"), "w"))
         direct = both.where("other LIKE 'tie:%'").groupBy("node").agg(F.min("w").alias("_w"))
-        past = both.join(direct.withColumnsRenamed({"node": "other", "_w": "_o"}), "other").groupBy("node").agg(F.min(F.col("w") + F.col("_o")).alias("_p"))
-        known = state.join(on, "node", "left").join(direct, "node", "left").join(past, "node", "left")
-        still = F.when(F.col("searches"), F.coalesce("_on", F.lit(False))).otherwise(F.col("open")).alias("open")
+        past = both.join(mine, "node", "left_semi").join(direct.withColumnsRenamed({"node": "other", "_w": "_o"}), "other").groupBy("node").agg(F.min(F.col("w") + F.col("_o")).alias("_p"))
+        known = mine.join(on, "node", "left").join(direct, "node", "left").join(past, "node", "left")
         short = F.coalesce(F.least("_w", "_p") <= radius, F.lit(False))
+        known = known.select("node", F.coalesce("_on", F.lit(False)).alias("_open"), (F.coalesce("_goes", F.lit(False)) & ~short).alias("_on"))
         at += 1
-        state = work.write(known.select(*nodes.columns, still, (F.col("searches") & F.coalesce("_on", F.lit(False)) & ~short).alias("searches")), f"nodes-{at}")
+        state = work.write(state.join(known, "node", "left").select(*nodes.columns, F.coalesce("_open", "open").alias("open"), F.coalesce("_on", F.lit(False)).alias("searches")), f"nodes-{at}")
         if radius >= extent or state.where("searches").isEmpty():
             return found
         inner, radius = radius, radius * 2

@@ -180,3 +180,27 @@ def test_nothing_to_plan(spark):
     ties = spark.createDataFrame([], "node string, x double, y double, room int")
     nodes, parts = planning.free_nodes(t, ties, spark.createDataFrame([], SCHEMA), work)
     assert nodes.count() == 0 and sight.graph(nodes, parts, work).count() == 0
+
+
+def test_who_only_looks_out_past_all_nodes_stops(spark):
+    work = Workspace(spark, "test-outside")
+    wall = spark.createDataFrame([(1, [[(5.0, -50.0), (5.0, 50.0)]], False, 1.0)], SCHEMA)
+    nodes = spark.createDataFrame([("terminal:1", "terminal", 0.0, 0.0, None), ("tie:1", "tie", 1000.0, 0.0, None)], "node string, kind string, x double, y double, own long")
+    assert sight.graph(nodes, O.pieces(wall), work).count() == 0
+    assert {n for n in work.written if n.startswith("ring")} == {"ring-0"}  # beyond the first circle there's nothing in sight
+    p = np.array([3.0, 4.0])
+    assert sight.hidden(*sight.hides(p, *sight.walls((0.0, 0.0, 10.0, 10.0)), 20.0)) and not sight.hidden(*sight.hides(p, *sight.walls((0.0, 0.0, 10.0, 10.0)), 7.0))
+
+
+def test_points_in_many_pieces_as_one_by_one():
+    rng = np.random.default_rng(3)
+    at, own = rng.uniform(0, 100, (500, 2)), rng.integers(-1, 5, 500)
+    turn = np.linspace(0, 2 * math.pi, 10, endpoint=False)
+    shapes = rng.uniform(0, 100, (300, 1, 2)) + rng.uniform(1, 6, (300, 1, 1)) * np.stack([np.cos(turn), np.sin(turn)], -1)
+    of = rng.integers(-1, 5, 300)
+    inside = np.zeros(500, bool)
+    for shape, o in zip(shapes, of, strict=True):
+        step = np.roll(shape, -1, axis=0) - shape
+        d = at[:, None] - shape
+        inside |= (step[:, 0] * d[..., 1] - step[:, 1] * d[..., 0] > O.SKIN * np.hypot(*step.T)).all(1) & (own != o)
+    assert (O.within_pieces(at, own, shapes, of) == inside).all() and 0 < inside.sum() < 500
