@@ -10,7 +10,7 @@ add up towards the tie-in and decide diameters, which never fall on the way up.
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -42,19 +42,28 @@ def visible(a: np.ndarray, b: np.ndarray, boxes: np.ndarray) -> np.ndarray:
     return (outside | (low >= high - 1e-9)).all(axis=1)
 
 
-def hidden_beyond(p: np.ndarray, boxes: np.ndarray) -> bool:
-    """Whether boxes around a point leave no direction open. Directions along sides are open, so intervals must overlap."""
+def past_all(p: np.ndarray, span: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Directions that lead within the radius past a metre beyond a side of span (x0, y0, x1, y1), which holds all points there are."""
+    gap = np.array([span[2] - p[0], span[3] - p[1], p[0] - span[0], p[1] - span[1]]) + 1.0
+    good = (gap > 0) & (gap < radius)
+    half = np.arccos(gap[good] / radius)
+    low = (np.arange(4)[good] * np.pi / 2 - half) % (2 * np.pi)
+    return low, low + 2 * half
+
+
+def hidden_beyond(p: np.ndarray, boxes: np.ndarray, past: tuple[np.ndarray, np.ndarray] = (np.empty(0), np.empty(0))) -> bool:
+    """Whether boxes around a point, and directions in which there's nothing (past), leave none open. Directions along sides are open, so intervals must overlap."""
     outside = boxes[~((boxes[:, 0] < p[0]) & (p[0] < boxes[:, 2]) & (boxes[:, 1] < p[1]) & (p[1] < boxes[:, 3]))]
     if len(outside) < len(boxes):
         return True  # inside one
-    if len(outside) < 2:
+    if len(outside) + len(past[0]) < 2:
         return False
     middle = np.arctan2((outside[:, 1] + outside[:, 3]) / 2 - p[1], (outside[:, 0] + outside[:, 2]) / 2 - p[0])
     dx, dy = outside[:, [0, 2, 2, 0]] - p[0], outside[:, [1, 1, 3, 3]] - p[1]
     turn = np.arctan2(dy, dx) - middle[:, None]
     turn = np.where((dx == 0) & (dy == 0), 0.0, (turn + np.pi) % (2 * np.pi) - np.pi)
     low = (middle + turn.min(axis=1)) % (2 * np.pi)
-    high = low + (turn.max(axis=1) - turn.min(axis=1))
+    low, high = np.append(low, past[0]), np.append(low + (turn.max(axis=1) - turn.min(axis=1)), past[1])
     order = np.argsort(low)
     low, high = low[order], np.maximum.accumulate(high[order])
     end = max(high[-1] - 2 * np.pi, 0.0)  # how far intervals that pass the full turn reach into the next
@@ -62,15 +71,20 @@ def hidden_beyond(p: np.ndarray, boxes: np.ndarray) -> bool:
     return bool((low < before - 1e-9).all() and high[-1] > 2 * np.pi + low[0] + 1e-9)
 
 
-def sees(p: np.ndarray, points: np.ndarray, boxes: np.ndarray, start: float = 50.0) -> np.ndarray:
-    """Indices of the points in sight of p, by circles of twice the radius each; boxes nearer by are tried first."""
+def sees(p: np.ndarray, points: np.ndarray, boxes: np.ndarray, start: float = 50.0, span: np.ndarray | None = None, within: float = np.inf) -> np.ndarray | None:
+    """Indices of the points in sight of p, by circles of twice the radius each; boxes nearer by are tried first.
+
+    span: the box that holds all points. within: how far points and boxes are given; None if p may see farther.
+    """
     far = np.hypot(*(points - p).T)
+    if span is None and len(points):
+        span = np.concatenate([points.min(axis=0), points.max(axis=0)])
     dx, dy = (np.maximum(np.maximum(boxes[:, k] - p[k], p[k] - boxes[:, k + 2]), 0.0) for k in (0, 1))
     near, most = np.hypot(dx, dy), np.hypot(*(np.maximum(np.abs(boxes[:, k] - p[k]), np.abs(boxes[:, k + 2] - p[k])) for k in (0, 1)))
     order = np.argsort(near, kind="stable")
     boxes, near, most = boxes[order], near[order], most[order]
     found, inner, radius = [], -1.0, start
-    while True:
+    while radius <= within:
         left = np.flatnonzero((far > inner) & (far <= radius))
         until, at, width = int(np.searchsorted(near, radius, "right")), 0, 16
         while at < until and len(left):
@@ -78,9 +92,14 @@ def sees(p: np.ndarray, points: np.ndarray, boxes: np.ndarray, start: float = 50
             left = left[visible(np.broadcast_to(p, (len(left), 2)), points[left], some)]
             at, width = at + width, width * 2
         found.append(left)
-        if not len(far) or radius >= far.max() or hidden_beyond(p, boxes[:until][most[:until] <= radius]):
+        if within == np.inf and (not len(far) or radius >= far.max()) or hidden_beyond(p, boxes[:until][most[:until] <= radius], past_all(p, span, radius)):
             return np.concatenate(found)
         inner, radius = radius, radius * 2
+    return None
+
+
+#: How far a vertex looks at first, in metres: of many points and boxes, most are farther than it sees.
+WINDOWS = (100.0, 400.0)
 
 
 class Sight:
@@ -88,10 +107,23 @@ class Sight:
 
     def __init__(self, points: np.ndarray, boxes: np.ndarray):
         self.points, self.boxes, self.known = points, boxes, {}
+        self.span = np.concatenate([points.min(axis=0), points.max(axis=0)]) if len(points) else np.zeros(4)
+        self.x, self.y = (np.ascontiguousarray(points[:, k]) for k in (0, 1))
+        self.sides = [np.ascontiguousarray(boxes[:, k]) for k in range(4)]
+
+    def _seen(self, p: np.ndarray) -> np.ndarray:
+        for far in WINDOWS if len(self.points) > 500 else ():
+            some = np.flatnonzero((np.abs(self.x - p[0]) <= far) & (np.abs(self.y - p[1]) <= far))
+            x0, y0, x1, y1 = self.sides
+            around = (x0 <= p[0] + far) & (x1 >= p[0] - far) & (y0 <= p[1] + far) & (y1 >= p[1] - far)
+            seen = sees(p, self.points[some], self.boxes[around], span=self.span, within=far)
+            if seen is not None:
+                return some[seen]
+        return sees(p, self.points, self.boxes, span=self.span)
 
     def __call__(self, v: int) -> list[tuple[int, float]]:
         if v not in self.known:
-            seen = sees(self.points[v], self.points, self.boxes)
+            seen = self._seen(self.points[v])
             seen = seen[seen != v]
             self.known[v] = list(zip(seen.tolist(), np.hypot(*(self.points[seen] - self.points[v]).T).tolist(), strict=True))
         return self.known[v]
@@ -125,12 +157,24 @@ class Paths:
             yield v
 
 
-def grow(neighbours, roots: list[int], terminals: list[int], most: int = D.MAX_DEGREE, used: dict[int, int] | None = None) -> dict[int, int]:
+class _Either:
+    """What lies in one of two containers, as they are when it's asked."""
+
+    def __init__(self, a, b):
+        self.a, self.b = a, b
+
+    def __contains__(self, v: int) -> bool:
+        return v in self.a or v in self.b
+
+
+def grow(neighbours, roots: list[int], terminals: list[int], most: int = D.MAX_DEGREE, used: dict[int, int] | None = None, started: dict[int, tuple] | None = None) -> dict[int, int]:
     """Parents of the nodes of a forest from the roots that reaches every terminal it can; terminals don't pass flow on.
 
     The terminal nearest to the forest is attached first. Each terminal seeks the forest from its side, so only its
     surroundings are looked at; what joins the forest later may be nearer, and only where a node on the way has all its
-    branches is a search repeated. used: branches that roots have already.
+    branches is a search repeated. Which searches came past a node is kept, so a step looks at these alone. used: branches
+    that roots have already. started: first searches by terminal for the same roots and branches, filled and read here; no shortest way leads past
+    a terminal, so they hold whichever others are planned.
     """
     parent: dict[int, int] = {r: -1 for r in roots}
     degree = {r: 2 + (used or {}).get(r, 0) for r in roots}
@@ -138,16 +182,29 @@ def grow(neighbours, roots: list[int], terminals: list[int], most: int = D.MAX_D
     open_ = {r for r in roots if r not in ends and degree[r] < most}
     searches: dict[int, Paths] = {}
     best: dict[int, tuple[float, int]] = {}
+    queue: list[tuple[float, int]] = []
+    passed: dict[int, list[int]] = {}  # terminals whose search came past a node; repeated searches may not any more
 
-    def seek(t: int) -> None:
-        paths = searches[t] = Paths(neighbours, [t])
-        met = next((v for v in paths.settle(ends | parent.keys()) if v in open_), None)
-        best[t] = (np.inf, -1) if met is None else (paths.distance[met], met)
+    def take(t: int, paths: Paths, found: tuple[float, int]) -> None:
+        searches[t], best[t] = paths, found
+        heapq.heappush(queue, (found[0], t))
+        for x in paths.distance:
+            passed.setdefault(x, []).append(t)
 
+    def seek(t: int) -> tuple[Paths, tuple[float, int]]:
+        paths = Paths(neighbours, [t])
+        met = next((v for v in paths.settle(_Either(ends, parent)) if v in open_), None)
+        return paths, ((np.inf, -1) if met is None else (paths.distance[met], met))
+
+    started = {} if started is None else started
     for t in sorted(ends - set(roots)):
-        seek(t)
+        if t not in started:
+            started[t] = seek(t)
+        take(t, *started[t])
     while best:
-        t = min(best, key=lambda t: (best[t][0], t))
+        d, t = heapq.heappop(queue)
+        if t not in best or best[t][0] != d:
+            continue
         _, v = best.pop(t)
         if v < 0:
             break
@@ -162,13 +219,14 @@ def grow(neighbours, roots: list[int], terminals: list[int], most: int = D.MAX_D
         fresh = [x for x in joined[1:] if x not in ends and degree[x] < most]
         open_.difference_update(filled)
         open_.update(fresh)
-        for other, paths in searches.items():
-            if any(x in paths.distance for x in filled):
-                seek(other)
-                continue
-            for x in fresh:
-                if paths.distance.get(x, np.inf) < best[other][0]:
-                    best[other] = (paths.distance[x], x)
+        again = {o for x in filled for o in passed.get(x, ()) if o in searches and x in searches[o].distance}
+        for other in again:
+            take(other, *seek(other))
+        for x in fresh:
+            for other in passed.get(x, ()):
+                if other in searches and other not in again and searches[other].distance.get(x, np.inf) < best[other][0]:
+                    best[other] = (searches[other].distance[x], x)
+                    heapq.heappush(queue, (best[other][0], other))
     return parent
 
 
@@ -200,6 +258,7 @@ class District:
     used: dict[int, int]
     boxes: np.ndarray
     square: np.ndarray | None
+    started: dict[int, tuple] = field(default_factory=dict)  # first searches of terminals, see grow
 
 
 def district(rows: pd.DataFrame) -> District:
@@ -262,7 +321,7 @@ PRICE = {r[0]: r[3] for r in D.DIAMETERS}
 
 def routes(d: District, terminals: list[int]) -> list[tuple]:
     """(from, to, flow, diameter, length, cost) of the edges that serve the terminals."""
-    parent = grow(d.sight, d.roots, terminals, used=d.used) if d.roots else {}
+    parent = grow(d.sight, d.roots, terminals, used=d.used, started=d.started) if d.roots else {}
     lengths = {v: float(np.hypot(*(d.points[v] - d.points[u]))) for v, u in parent.items() if u >= 0}
     total, dn = sizes(parent, {t: d.flows[t] for t in terminals}, lengths)
     return [(u, v, round(total[v], 3), dn[v], round(lengths[v], 2), float(np.floor(lengths[v] * PRICE[dn[v]] + 0.5))) for v, u in parent.items() if u >= 0]

@@ -116,6 +116,32 @@ def test_sight_in_circles_is_sight_over_all_boxes():
             assert sorted(routing.sees(points[v], points, boxes).tolist()) == want.tolist()
 
 
+def test_sight_near_the_rim_stays_near(monkeypatch):
+    rng = np.random.default_rng(8)
+    low = rng.integers(0, 2000, (900, 2)).astype(float)
+    boxes = np.concatenate([[[4.0, 935.0, 6.0, 1065.0], [-2.0, 1060.0, 5.0, 1062.0], [-2.0, 938.0, 5.0, 940.0]], np.concatenate([low + [10, 0], low + [30, 20]], axis=1)])
+    points = np.concatenate([[[0.0, 1000.0], [0.0, 1050.0]], rng.uniform(0, 2000, (1500, 2)) + [10, 0]])
+    looked, visible = [], routing.visible
+    monkeypatch.setattr(routing, "visible", lambda a, b, some: looked.append(len(a)) or visible(a, b, some))
+    assert [u for u, _ in routing.Sight(points, boxes)(0)] == [1]
+    assert sum(looked) < 100  # all else lies behind three boxes, and beyond the rim there's nothing
+    for v in rng.integers(0, len(points), 20):
+        want = np.flatnonzero(visible(np.broadcast_to(points[v], points.shape), points, boxes))
+        assert sorted(u for u, _ in routing.Sight(points, boxes)(v)) == [u for u in want.tolist() if u != v]
+
+
+def test_first_searches_serve_every_plan_of_a_district():
+    rng = np.random.default_rng(9)
+    points = rng.uniform(0, 100, (40, 2))
+    w = np.hypot(*(points[:, None] - points[None]).transpose(2, 0, 1))
+    near = lambda v: [(u, w[v, u]) for u in range(40) if u != v and w[v, u] < 35]
+    started: dict = {}
+    routing.grow(near, [0, 1], list(range(2, 16)), started=started)
+    for t in range(2, 16):
+        rest = [u for u in range(2, 16) if u != t]
+        assert routing.grow(near, [0, 1], rest, started=started) == routing.grow(near, [0, 1], rest)
+
+
 def test_growing_keeps_paths_or_seeks_them_anew_alike():
     rng = np.random.default_rng(9)
     points = rng.uniform(0, 100, (40, 2))
