@@ -167,18 +167,19 @@ class _Either:
         return v in self.a or v in self.b
 
 
-def grow(neighbours, roots: list[int], terminals: list[int], most: int = D.MAX_DEGREE, used: dict[int, int] | None = None, started: dict[int, tuple] | None = None) -> dict[int, int]:
+def grow(neighbours, roots: list[int], terminals: list[int], most: int = D.MAX_DEGREE, used: dict[int, int] | None = None, started: dict[int, tuple] | None = None, absent: list[int] | tuple = ()) -> dict[int, int]:
     """Parents of the nodes of a forest from the roots that reaches every terminal it can; terminals don't pass flow on.
 
     The terminal nearest to the forest is attached first. Each terminal seeks the forest from its side, so only its
     surroundings are looked at; what joins the forest later may be nearer, and only where a node on the way has all its
     branches is a search repeated. Which searches came past a node is kept, so a step looks at these alone. used: branches
-    that roots have already. started: first searches by terminal for the same roots and branches, filled and read here; no shortest way leads past
-    a terminal, so they hold whichever others are planned.
+    that roots have already. absent: further terminals, not served; no way turns at them. started: first searches by terminal, filled and
+    read here; they are the same for all plans of the same roots and branches in which the terminals, absent ones included, are the same.
     """
     parent: dict[int, int] = {r: -1 for r in roots}
     degree = {r: 2 + (used or {}).get(r, 0) for r in roots}
     ends = set(terminals)
+    shut = ends.union(absent)
     open_ = {r for r in roots if r not in ends and degree[r] < most}
     searches: dict[int, Paths] = {}
     best: dict[int, tuple[float, int]] = {}
@@ -193,7 +194,7 @@ def grow(neighbours, roots: list[int], terminals: list[int], most: int = D.MAX_D
 
     def seek(t: int) -> tuple[Paths, tuple[float, int]]:
         paths = Paths(neighbours, [t])
-        met = next((v for v in paths.settle(_Either(ends, parent)) if v in open_), None)
+        met = next((v for v in paths.settle(_Either(shut, parent)) if v in open_), None)
         return paths, ((np.inf, -1) if met is None else (paths.distance[met], met))
 
     started = {} if started is None else started
@@ -321,7 +322,7 @@ PRICE = {r[0]: r[3] for r in D.DIAMETERS}
 
 def routes(d: District, terminals: list[int]) -> list[tuple]:
     """(from, to, flow, diameter, length, cost) of the edges that serve the terminals."""
-    parent = grow(d.sight, d.roots, terminals, used=d.used, started=d.started) if d.roots else {}
+    parent = grow(d.sight, d.roots, terminals, used=d.used, started=d.started, absent=d.terminals) if d.roots else {}
     lengths = {v: float(np.hypot(*(d.points[v] - d.points[u]))) for v, u in parent.items() if u >= 0}
     total, dn = sizes(parent, {t: d.flows[t] for t in terminals}, lengths)
     return [(u, v, round(total[v], 3), dn[v], round(lengths[v], 2), float(np.floor(lengths[v] * PRICE[dn[v]] + 0.5))) for v, u in parent.items() if u >= 0]
