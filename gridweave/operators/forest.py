@@ -186,30 +186,33 @@ def crossings(lines: DataFrame, cell: float) -> DataFrame:
 
 
 def placed(forest: DataFrame, places: DataFrame) -> DataFrame:
-    """forest with the places (x, y, px, py) and distances (d, pd) of both ends. places: node, x, y, d."""
+    """forest with the places (x, y, px, py) and distances (d, pd) of both ends, and whose obstacle an edge may leave. places: node, x, y, d, own."""
     up = places.select(F.col("node").alias("parent"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("d").alias("pd"))
-    return forest.join(places.select("node", "x", "y", "d"), "node").join(up, "parent").select("run", "node", "parent", "x", "y", "px", "py", "d", "pd")
+    return forest.join(places.select("node", "x", "y", "d", "own"), "node").join(up, "parent").select("run", "node", "parent", "x", "y", "px", "py", "d", "pd", "own")
 
 
 def uncross(lines: DataFrame, ends: DataFrame, work: Workspace, cell: float = 50.0) -> DataFrame:
-    """Edges (run, node, parent, x, y, px, py, d, pd) without crossings; what leads to no terminal any more is dropped."""
+    """Edges (run, node, parent, x, y, px, py, d, pd, own) without crossings; what leads to no terminal any more is dropped.
+
+    own: the obstacle that an edge may leave; what an edge is cut into keeps it.
+    """
     lines, at = work.write(lines, "lines-0"), 0
     while True:
         met = crossings(lines, cell).withColumn("key", F.struct(F.xxhash64("a", "b").alias("h"), "a", "b"))
         now = _apart(work.write(met, f"met-{at}")).withColumn("cross", F.concat_ws(":", F.lit("cross"), F.lit(str(at)), F.xxhash64("run", "a", "b").cast("string"), "a"))
-        end = lambda s: lines.select("run", F.col("node").alias(s), *[F.col(n).alias(f"{s}_{n}") for n in ("parent", "px", "py", "pd")])
+        end = lambda s: lines.select("run", F.col("node").alias(s), *[F.col(n).alias(f"{s}_{n}") for n in ("parent", "px", "py", "pd", "own")])
         now = now.join(end("a"), ["run", "a"]).join(end("b"), ["run", "b"])
         far = lambda s: F.col(f"{s}_pd") + F.hypot(F.col("x") - F.col(f"{s}_px"), F.col("y") - F.col(f"{s}_py"))
         use = (far("a") < far("b")) | ((far("a") == far("b")) & (F.col("a") < F.col("b")))
         pick = lambda n: F.when(use, F.col(f"a_{n}")).otherwise(F.col(f"b_{n}")).alias(n)
-        now = work.write(now.select("run", "a", "b", "cross", "x", "y", pick("parent"), pick("px"), pick("py"), pick("pd"), F.least(far("a"), far("b")).alias("d")), f"repairs-{at}")
+        now = work.write(now.select("run", "a", "b", "cross", "x", "y", pick("parent"), pick("px"), pick("py"), pick("pd"), pick("own"), F.least(far("a"), far("b")).alias("d")), f"repairs-{at}")
         if now.isEmpty():  # the least key of all is always chosen, so nothing crosses any more
             return work.write(_alive(lines, ends), "uncrossed")
         moved = now.select("run", F.explode(F.array("a", "b")).alias("node"), F.col("cross").alias("_to"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("d").alias("_d"))
         kept = lines.join(moved, ["run", "node"], "left")
         new = lambda old, n: F.coalesce(n, old).alias(old)
-        kept = kept.select("run", "node", new("parent", "_to"), "x", "y", new("px", "_x"), new("py", "_y"), "d", new("pd", "_d"))
-        every = kept.unionByName(now.select("run", F.col("cross").alias("node"), "parent", "x", "y", "px", "py", "d", "pd"))
+        kept = kept.select("run", "node", new("parent", "_to"), "x", "y", new("px", "_x"), new("py", "_y"), "d", new("pd", "_d"), "own")
+        every = kept.unionByName(now.select("run", F.col("cross").alias("node"), "parent", "x", "y", "px", "py", "d", "pd", "own"))
         # Ends of dead branches go at once; what is left of them goes at the end.
         held = every.select("run", F.col("parent").alias("node")).unionByName(ends.select("run", "node")).distinct()
         at += 1
@@ -261,9 +264,9 @@ def branch_off(lines: DataFrame, waiting: DataFrame, parts: DataFrame, work: Wor
         met = met.withColumns({"fx": fx, "fy": fy}).withColumn("w", F.hypot(F.col("x") - F.col("fx"), F.col("y") - F.col("fy"))).where(F.col("w") <= cell)
         met = met.where((F.hypot(F.col("fx") - F.col("ax"), F.col("fy") - F.col("ay")) >= 1) & (F.hypot(F.col("fx") - F.col("bx"), F.col("fy") - F.col("by")) >= 1))
         met = work.write(met.withColumn("way", F.concat_ws("|", "run", "node", "on")), f"branch-met-{at}")
-        best = _clear(met, parts, cell).groupBy("run", "node", "x", "y", "d").agg(F.min(F.struct("w", "on", "fx", "fy")).alias("b"))
+        best = _clear(met, parts, cell).groupBy("run", "node", "x", "y", "d", "own").agg(F.min(F.struct("w", "on", "fx", "fy")).alias("b"))
         first = best.withColumn("_r", F.row_number().over(Window.partitionBy("run", "b.on").orderBy("b.w", "node"))).where("_r = 1")
-        now = work.write(first.select("run", "node", "x", "y", "d", "b.on", "b.fx", "b.fy", F.concat_ws(":", F.lit("branch"), F.lit(str(at)), "node").alias("chamber")), f"branch-now-{at}")
+        now = work.write(first.select("run", "node", "x", "y", "d", "own", "b.on", "b.fx", "b.fy", F.concat_ws(":", F.lit("branch"), F.lit(str(at)), "node").alias("chamber")), f"branch-now-{at}")
         at += 1
         if now.isEmpty():
             if cell > 2 * extent:
@@ -272,11 +275,11 @@ def branch_off(lines: DataFrame, waiting: DataFrame, parts: DataFrame, work: Wor
             continue
         cut = lines.join(now.select("run", F.col("on").alias("node"), "chamber", "fx", "fy"), ["run", "node"])
         way = F.col("pd") + F.hypot(F.col("fx") - F.col("px"), F.col("fy") - F.col("py"))
-        upper = cut.select("run", F.col("chamber").alias("node"), "parent", F.col("fx").alias("x"), F.col("fy").alias("y"), "px", "py", way.alias("d"), "pd")
-        lower = cut.select("run", "node", F.col("chamber").alias("parent"), "x", "y", F.col("fx").alias("px"), F.col("fy").alias("py"), "d", way.alias("pd"))
+        upper = cut.select("run", F.col("chamber").alias("node"), "parent", F.col("fx").alias("x"), F.col("fy").alias("y"), "px", "py", way.alias("d"), "pd", "own")
+        lower = cut.select("run", "node", F.col("chamber").alias("parent"), "x", "y", F.col("fx").alias("px"), F.col("fy").alias("py"), "d", way.alias("pd"), "own")
         fresh = now.join(upper.select("run", F.col("node").alias("chamber"), F.col("d").alias("pd")), ["run", "chamber"])
         hung = F.col("pd") + F.hypot(F.col("x") - F.col("fx"), F.col("y") - F.col("fy"))
-        fresh = fresh.select("run", "node", F.col("chamber").alias("parent"), "x", "y", F.col("fx").alias("px"), F.col("fy").alias("py"), hung.alias("d"), "pd")
+        fresh = fresh.select("run", "node", F.col("chamber").alias("parent"), "x", "y", F.col("fx").alias("px"), F.col("fy").alias("py"), hung.alias("d"), "pd", "own")
         rest = lines.join(cut.select("run", "node"), ["run", "node"], "left_anti")
         waiting = work.write(waiting.join(now.select("run", "node"), ["run", "node"], "left_anti"), f"branch-waiting-{at}")
         lines = work.write(rest.unionByName(upper).unionByName(lower).unionByName(fresh), f"branch-lines-{at}")

@@ -87,15 +87,19 @@ def rule_route_clear(spark, sf):
     """Edges of the plan nearer to a forbidden box than its clearance, measured on the boxes themselves: none.
 
     A quarter turn of a buffer is two straight parts, so the clearance is kept to the cosine of an eighth of a turn's half. A terminal
-    may leave the box that holds it.
+    may leave the box that holds it, and so may what its first edge is cut into where others join it.
     """
-    edges, nodes = network(spark, sf)
     kind = C.canonical_type(C.normal_type(F.col("raw")))
     apart = C.least_distance(kind, F.lit(planning.DESIGN_DN)) * math.cos(math.pi / 8)
     m = lambda c: (F.col(c) / 100.0).alias(f"b_{c}")
     boxes = scene.restrictions(spark, sf).where(C.rule_of(kind) == "FORBIDDEN").select("box", *[m(c) for c in ("x0", "y0", "x1", "y1")], apart.alias("apart"))
+    return too_near(network(spark, sf)[0].where("run = 0"), boxes)
+
+
+def too_near(edges: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(node, box): edges (node, own, x, y, px, py) nearer to a box (box, b_x0, b_y0, b_x1, b_y1, apart) than apart, but to their own."""
     grown = boxes.withColumns({"g0": F.col("b_x0") - 10, "g1": F.col("b_y0") - 10, "g2": F.col("b_x1") + 10, "g3": F.col("b_y1") + 10})
-    ways = edges.where("run = 0").join(nodes.select("node", "own"), "node", "left").select("node", "own", *[F.col(c).alias(n) for c, n in (("x", "x0"), ("y", "y0"), ("px", "x1"), ("py", "y1"))])
+    ways = edges.select("node", "own", *[F.col(c).alias(n) for c, n in (("x", "x0"), ("y", "y0"), ("px", "x1"), ("py", "y1"))])
     low = {"l0": F.least("x0", "x1"), "l1": F.least("y0", "y1"), "l2": F.greatest("x0", "x1"), "l3": F.greatest("y0", "y1")}
     met = O.dealt(ways.withColumns(low), 50.0, "l0", "l1", "l2", "l3").join(O.dealt(grown, 50.0, "g0", "g1", "g2", "g3"), ["cx", "cy"])
     far = G.box_distances([F.col(c) for c in ("x0", "y0", "x1", "y1")], tuple(F.col(f"b_{c}") for c in ("x0", "y0", "x1", "y1")))

@@ -63,14 +63,14 @@ def scene_of(spark: SparkSession, sf: str) -> Planned:
 def plan(scene: Planned, runs: DataFrame) -> DataFrame:
     """The sized edges of every run's forest; runs: (run, node) of the terminals each is for.
 
-    (run, root, node, parent, x, y, px, py, length, flow, dn, cost). Terminals without an edge can't be reached.
+    (run, root, node, parent, x, y, px, py, own, length, flow, dn, cost), own being the obstacle that the edge may leave. Terminals without an edge can't be reached.
     """
     work, nodes = scene.work, scene.nodes
     edges = work.write(sight.graph(nodes, scene.parts, work), "edges")
     labels = work.write(forest.distances(nodes, edges, work), "labels")
     ends = work.write(runs.join(nodes.where("kind = 'terminal'").select("node"), "node").select("run", "node").distinct(), "ends")
     grown = forest.grow(nodes, edges, labels, ends, work)
-    places = nodes.select("node", "x", "y").join(labels.select("node", "d"), "node")
+    places = nodes.select("node", "x", "y", "own").join(labels.select("node", "d"), "node")
     lines = work.write(forest.placed(grown, places), "grown-lines")
     waiting = ends.join(lines.select("run", "node"), ["run", "node"], "left_anti").join(nodes.select("node", "x", "y", "own"), "node").join(labels.select("node", "d"), "node")
     lines = forest.branch_off(lines, waiting, scene.parts, work)

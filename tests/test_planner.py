@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridweave.operators import forest, sight
 from gridweave.operators import obstacles as O
 from gridweave.operators.storage import Workspace
-from gridweave.plans import planning
+from gridweave.plans import network_queries, planning
 from gridweave.sources import dimensions as D
 
 SCHEMA = "obstacle long, rings array<array<struct<x: double, y: double>>>, closed boolean, clearance double"
@@ -174,6 +174,20 @@ def test_routes_keep_clear_and_apart(planned):
             assert not inside
 
 
+def test_ways_that_join_inside_a_box_may_leave_it_together(spark):
+    work = Workspace(spark, "test-own")
+    box = spark.createDataFrame([(7, [[(0.0, 0.0), (20.0, 0.0), (20.0, 20.0), (0.0, 20.0)]], True, 1.0)], SCHEMA)
+    t = spark.createDataFrame([("terminal:1", 15.0, 10.0, 3.0), ("terminal:2", 16.5, 19.5, 3.0)], "node string, x double, y double, flow double")
+    ties = spark.createDataFrame([("tie:0", 40.0, 10.0, 1)], "node string, x double, y double, room int")
+    nodes, parts = planning.free_nodes(t, ties, box, work)
+    edges = planning.plan(planning.Planned(nodes, parts, work), nodes.where("kind = 'terminal'").select(F.lit(0).cast("long").alias("run"), "node"))
+    made = {r["node"]: r["own"] for r in edges.collect()}
+    assert len(made) == 3 and set(made.values()) == {7} and any(n.startswith("branch:") for n in made)  # they join inside the box
+    boxes = spark.createDataFrame([(7, 0.0, 0.0, 20.0, 20.0, 0.9)], "box long, b_x0 double, b_y0 double, b_x1 double, b_y1 double, apart double")
+    assert network_queries.too_near(edges, boxes).count() == 0
+    assert network_queries.too_near(edges, boxes.withColumn("box", F.lit(8).cast("long"))).count() == 3
+
+
 def test_nothing_to_plan(spark):
     work = Workspace(spark, "test-empty")
     t = spark.createDataFrame([], "node string, x double, y double, flow double")
