@@ -13,12 +13,15 @@ over; a clearance of null counts as 0, whose pieces have no inside; extra column
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridweave.operators.storage import Workspace
+
 #: How deep (m) a point lies inside before it counts, so that running along a border is no entry.
 SKIN = 1e-6
 TURNS = [math.radians(t) for t in (-90, -45, 0, 45, 90, 90, 135, 180, 225, 270)]
@@ -59,6 +62,14 @@ def pieces(obstacles: DataFrame) -> DataFrame:
     return rows.select("*", *[f(c).alias(n) for n, f, c in (("x0", F.array_min, "px"), ("y0", F.array_min, "py"), ("x1", F.array_max, "px"), ("y1", F.array_max, "py"))])
 
 
+def reach(obstacles: DataFrame) -> DataFrame:
+    """(obstacle, x0, y0, x1, y1): the boxes of the buffers; those without points have none."""
+    every, d = F.flatten(F.array_compact("rings")), F.coalesce("clearance", F.lit(0.0)).cast("double")
+    side = lambda f, n: f(every.getField(n)).cast("double")
+    rows = obstacles.select("obstacle", (side(F.array_min, "x") - d).alias("x0"), (side(F.array_min, "y") - d).alias("y0"), (side(F.array_max, "x") + d).alias("x1"), (side(F.array_max, "y") + d).alias("y1"))
+    return rows.where("x0 IS NOT NULL")
+
+
 def within_pieces(at: np.ndarray, own: np.ndarray, shapes: np.ndarray, of: np.ndarray, skin: float = SKIN) -> np.ndarray:
     """Whether each point (n x 2) lies inside one of convex pieces (m x k x 2) that isn't of its own obstacle.
 
@@ -141,6 +152,66 @@ def shut(points: DataFrame, obstacles: DataFrame, parts: DataFrame, key: str, ce
     return inside.unionByName(held).distinct()
 
 
+#: Width (m) of the cells that are looked at for being covered, where a scene has no more than MOST_CELLS of them; else they are wider.
+COVERED, MOST_CELLS = 2.5, 1_000_000
+
+
+@dataclass
+class Covered:
+    """Cells that lie whole in the buffers of two obstacles or more: nothing outside is seen past them, whoever's own one of these is."""
+
+    keys: DataFrame  # key: at most MOST_CELLS
+    size: float
+    x0: float
+    y0: float
+
+    def key(self, cx: Column, cy: Column) -> Column:
+        return cx * 4_000_000 + cy
+
+    def without_hidden_points(self, points: DataFrame) -> DataFrame:
+        """Points (x, y) that don't lie in such cells."""
+        at = self.key(F.floor((F.col("x") - self.x0) / self.size), F.floor((F.col("y") - self.y0) / self.size))
+        return points.withColumn("_key", at).join(F.broadcast(self.keys.withColumnRenamed("key", "_key")), "_key", "left_anti").drop("_key")
+
+    def in_the_open(self, boxes: DataFrame, key: str) -> DataFrame:
+        """The keys of boxes (x0, y0, x1, y1) that touch another cell than such."""
+        low, high = (lambda c, o: F.floor((F.col(c) - 0.01 - o) / self.size)), (lambda c, o: F.floor((F.col(c) + 0.01 - o) / self.size))
+        cells = boxes.select(key, F.explode(F.sequence(low("x0", self.x0), high("x1", self.x0))).alias("cx"), "y0", "y1")
+        cells = cells.select(key, "cx", F.explode(F.sequence(low("y0", self.y0), high("y1", self.y0))).alias("cy"))
+        return cells.withColumn("_key", self.key(F.col("cx"), F.col("cy"))).join(F.broadcast(self.keys.withColumnRenamed("key", "_key")), "_key", "left_anti").select(key).distinct()
+
+
+def covered(obstacles: DataFrame, work: Workspace) -> Covered | None:
+    """The cells that two obstacles cover; only rectangles along the axes are taken to cover any. None where there are no obstacles.
+
+    A segment that starts outside all buffers, or in one only, enters such a cell only through pieces that touch other cells: it has to pass the
+    border of both buffers before.
+    """
+    every = F.flatten(F.array_compact("rings"))
+    d = F.coalesce("clearance", F.lit(0.0)).cast("double")
+    shapes = obstacles.select("obstacle", "closed", d.alias("d"), "rings", *[f(every.getField(n)).cast("double").alias(a) for a, f, n in (("x0", F.array_min, "x"), ("y0", F.array_min, "y"), ("x1", F.array_max, "x"), ("y1", F.array_max, "y"))])
+    box = shapes.agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("d").alias("d")).first()
+    if box["x0"] is None:
+        return None
+    x, y, d = box["x0"] - box["d"] - 1, box["y0"] - box["d"] - 1, box["d"] + 1
+    wide, high = box["x1"] + d - x, box["y1"] + d - y
+    size = max(COVERED, (wide * high / MOST_CELLS) ** 0.5, wide / 2_000_000, high / 2_000_000)
+    out = Covered(obstacles.sparkSession.createDataFrame([], "key long"), size, x, y)
+    p = [F.col("rings")[0][k] for k in range(4)]
+    level, upright = (lambda a, b: p[a].y == p[b].y), (lambda a, b: p[a].x == p[b].x)
+    turned = (level(0, 1) & upright(1, 2) & level(2, 3) & upright(3, 0)) | (upright(0, 1) & level(1, 2) & upright(2, 3) & level(3, 0))
+    whole = shapes.where(F.col("closed") & (F.size("rings") == 1)).where(F.size(F.col("rings")[0]) == 4).where(turned)
+    sides = F.array(*[F.struct((F.col("x0") - a).alias("x0"), (F.col("y0") - b).alias("y0"), (F.col("x1") + a).alias("x1"), (F.col("y1") + b).alias("y1")) for a, b in ((F.col("d"), F.lit(0.0)), (F.lit(0.0), F.col("d")))])
+    held = whole.select("obstacle", F.inline(sides))
+    # A millimetre inside, so that what runs along a border enters no covered cell.
+    first, last = (lambda c, o: F.ceil((F.col(c) + 1e-3 - o) / size)), (lambda c, o: F.floor((F.col(c) - 1e-3 - o) / size) - 1)
+    held = held.select("obstacle", first("x0", x).alias("a"), last("x1", x).alias("b"), first("y0", y).alias("c"), last("y1", y).alias("e")).where("a <= b AND c <= e")
+    held = held.select("obstacle", F.explode(F.sequence("a", "b")).alias("cx"), "c", "e").select("obstacle", "cx", F.explode(F.sequence("c", "e")).alias("cy"))
+    found = held.withColumn("key", out.key(F.col("cx"), F.col("cy"))).groupBy("key").agg(F.min("obstacle").alias("least"), F.max("obstacle").alias("most")).where("least <> most").select("key")
+    out.keys = work.write(found, "covered")
+    return out
+
+
 def corners(parts: DataFrame) -> DataFrame:
     """(node, x, y): the points of the pieces, one a millimetre; named by where they are, so a name means one place."""
     rows = parts.select(F.explode(F.arrays_zip("px", "py")).alias("p")).select(F.col("p.px").alias("x"), F.col("p.py").alias("y"))

@@ -248,14 +248,17 @@ def _looker(inner: float, radius: float, box: tuple[float, float, float, float])
     return look
 
 
-def graph(nodes: DataFrame, parts: DataFrame, work: Workspace) -> DataFrame:
-    """(node, other, w), each pair once, of nodes (node, kind: tie, terminal or corner, x, y, own) outside all buffers but their own."""
+def graph(nodes: DataFrame, parts: DataFrame, work: Workspace, layered: int | None = None) -> DataFrame:
+    """(node, other, w), each pair once, of nodes (node, kind: tie, terminal or corner, x, y, own) outside all buffers but their own.
+
+    layered: how many pieces there are with those that are left out of parts because others hide them; they set the first radius.
+    """
     box = nodes.agg(*[f(c).alias(n) for n, f, c in (("x0", F.min, "x"), ("y0", F.min, "y"), ("x1", F.max, "x"), ("y1", F.max, "y"))]).first()
     if box["x0"] is None:
         return nodes.sparkSession.createDataFrame([], "node string, other string, w double")
     extent = float(np.hypot(box["x1"] - box["x0"], box["y1"] - box["y0"])) + 1.0
     area = max(box["x1"] - box["x0"], 1.0) * max(box["y1"] - box["y0"], 1.0)
-    first = min(extent, (AT_FIRST * area / (np.pi * max(parts.count(), 1))) ** 0.5)
+    first = min(extent, (AT_FIRST * area / (np.pi * max(parts.count() if layered is None else layered, 1))) ** 0.5)
     spark = nodes.sparkSession
     tasks = O.tasks(spark)
     # open: not known to be hidden all around; searches: open and without a way as short as the radius.

@@ -188,6 +188,30 @@ def test_ways_that_join_inside_a_box_may_leave_it_together(spark):
     assert network_queries.too_near(edges, boxes.withColumn("box", F.lit(8).cast("long"))).count() == 3
 
 
+def test_pieces_behind_two_layers_are_left_out_and_hide_nothing_else(spark):
+    rng = np.random.default_rng(5)
+    boxes = []
+    for k in range(900):  # both sides of a lane in many layers, and some boxes in the lane
+        x, y = rng.uniform(0, 90), rng.uniform(0, 26) + (36 if k % 2 else 0)
+        boxes.append((k, x, y, x + 8, y + 8))
+    boxes += [(1000 + k, 12.0 * k, 35.5 + k % 3, 12.0 * k + 2, 37.5 + k % 3) for k in range(6)]
+    rows = [(k, [[(x, y), (u, y), (u, v), (x, v)]], True, 1.0) for k, x, y, u, v in boxes]
+    table, work = spark.createDataFrame(rows, SCHEMA), Workspace(spark, "test-layers")
+    t = spark.createDataFrame([(f"terminal:{i}", *map(float, rng.uniform((-5, -5), (105, 75))), 3.0) for i in range(60)], "node string, x double, y double, flow double")
+    ties = spark.createDataFrame([("tie:0", -20.0, 35.0, 2)], "node string, x double, y double, room int")
+    nodes, parts = planning.free_nodes(t, ties, table, work)
+    every = O.pieces(table)
+    layered = every.count()
+    assert parts.count() < layered / 2
+    own = O.holders(t, table, "node").groupBy("node").agg(F.min(F.struct("area", "obstacle"))["obstacle"].alias("own"))
+    points = t.join(own, "node", "left").select("node", "x", "y", "own").unionByName(O.corners(every).withColumn("own", F.lit(None).cast("long")))
+    free = points.join(O.shut(points, table, every, "node"), "node", "left_anti")
+    assert {r["node"] for r in free.collect()} == {r["node"] for r in nodes.collect()} - {"tie:0"}
+    seen = lambda p: {(*sorted((r["node"], r["other"])), round(r["w"], 6)) for r in sight.graph(nodes, p, Workspace(spark, "test-seen"), layered).collect()}
+    few = seen(parts)
+    assert few == seen(every) and len(few) > 20
+
+
 def test_nothing_to_plan(spark):
     work = Workspace(spark, "test-empty")
     t = spark.createDataFrame([], "node string, x double, y double, flow double")
