@@ -129,17 +129,66 @@ def _close_cells(places: DataFrame, width: float, tolerance: float) -> DataFrame
     slack = tolerance * (1 + 1e-9) + (F.abs("x") + F.abs("y")) * 1e-12
     reach = [F.when(F.hypot(far(i, c("cx"), c("x")), far(j, c("cy"), c("y"))) <= slack, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))) for i, j in ahead]
     other = places.select("x", "y", "cx", "cy", F.inline(F.array_compact(F.array(*reach)))).select(c("x").alias("ox"), c("y").alias("oy"), (c("cx") + c("i")).alias("cx"), (c("cy") + c("j")).alias("cy"), c("i").cast("byte").alias("i"), c("j").cast("byte").alias("j"))
-    met = places.join(other, ["cx", "cy"]).where(F.hypot(c("x") - c("ox"), c("y") - c("oy")) <= tolerance)
+    met = places.hint("merge").join(other, ["cx", "cy"]).where(F.hypot(c("x") - c("ox"), c("y") - c("oy")) <= tolerance)
     return met.select("cx", "cy", (c("cx") - c("i")).alias("ocx"), (c("cy") - c("j")).alias("ocy")).distinct()
 
 
+#: Cells along a side of the tiles within which cells are joined first.
+TILE = 64
+
+
+def _join_tile(cells: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    """The cells (cx, cy, head, more) of a tile with the smallest head (root) of those that its pairs (cx, cy, ocx, ocy) join."""
+    at = {k: i for i, k in enumerate(zip(cells["cx"], cells["cy"], strict=True))}
+    heads, above = cells["head"].to_list(), list(range(len(cells)))
+
+    def top(i: int) -> int:
+        while above[i] != i:
+            above[i] = above[above[i]]
+            i = above[i]
+        return i
+
+    for x, y, u, v in zip(pairs["cx"], pairs["cy"], pairs["ocx"], pairs["ocy"], strict=True):
+        a, b = top(at[x, y]), top(at[u, v])
+        if a != b:
+            a, b = (a, b) if heads[a] < heads[b] else (b, a)
+            above[b] = a
+    return pd.DataFrame({"cx": cells["cx"], "cy": cells["cy"], "more": cells["more"], "root": [heads[top(i)] for i in range(len(heads))]})
+
+
+def _joined_cells(cells: DataFrame, pairs: DataFrame, work: Workspace) -> DataFrame:
+    """(cx, cy, more, root): cells (cx, cy, head, more) with the smallest head of those that pairs (cx, cy, ocx, ocy) join.
+
+    Tiles join their own cells, each in a task that holds TILE * TILE of them at most; rounds of joins only see what passes their borders.
+    """
+    tile = lambda x, y: [F.floor(F.col(v) / TILE) for v in (x, y)]
+    within = F.lit(True)
+    for a, b in zip(tile("cx", "cy"), tile("ocx", "ocy"), strict=True):
+        within = within & (a == b)
+    named = lambda df: df.withColumns(dict(zip(("tx", "ty"), tile("cx", "cy"), strict=True))).groupBy("tx", "ty")
+    joined = named(cells).cogroup(named(pairs.where(within))).applyInPandas(_join_tile, "cx long, cy long, more boolean, root string")
+    return _named_alike(work.write(joined, "known"), pairs.where(~within), work, "tiles")
+
+
+def _named_alike(known: DataFrame, pairs: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """Cells (cx, cy, root, ...) of which those that pairs (cx, cy, ocx, ocy) join have the smallest of their roots."""
+    at = known.select("cx", "cy", "root")
+    both = pairs.hint("merge").join(at.hint("merge"), ["cx", "cy"]).withColumnRenamed("root", "a").select("a", "ocx", "ocy")
+    both = both.hint("merge").join(at.toDF("ocx", "ocy", "b").hint("merge"), ["ocx", "ocy"])
+    both = work.write(both.where("a <> b").select("a", "b").distinct(), f"both-{name}")
+    if both.isEmpty():
+        return known
+    tops = components(both.select(F.explode(F.array("a", "b")).alias("node")), both).toDF("root", "_top")
+    return work.write(known.join(tops, "root", "left").withColumn("root", F.coalesce("_top", "root")).drop("_top"), f"known-{name}")
+
+
 def stitch(segments: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, x, y) and edges (id, a, b) of segments (id, points): ends as near as the tolerance are one node, and what
     they are near to as well. A node is named after its smallest end and stands there.
 
     Ends in a cell whose diagonal is the tolerance belong together without pairing. Neighbouring cells are compared by their outermost
     ends in eight directions first, which joins nearly all that belong together, however many ends a cell holds; all ends are compared only
-    where neighbours are still apart and one holds more ends than those.
+    where neighbours are still apart and one holds more ends than those. No table of cells is broadcast: the driver holds none.
     """
     work = Workspace(segments.sparkSession, "stitch")
     p, c = F.col("points"), F.col
@@ -151,27 +200,18 @@ def stitch(segments: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]
     outer = F.array_distinct(F.array(*[F.struct(*[f(F.struct(v.alias("v"), "x", "y"))[n].alias(n) for n in ("x", "y")]) for v in by for f in (F.min, F.max)]))
     cells = ends.repartition("cx", "cy").groupBy("cx", "cy").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n"), outer.alias("outer"))
     cells = work.write(cells, "cells")
-    first = cells.select("cx", "cy", "head")
-    pairs = lambda close: close.join(first, ["cx", "cy"]).withColumnRenamed("head", "a").join(first.toDF("ocx", "ocy", "b"), ["ocx", "ocy"]).select("a", "b")
-    linked = work.write(pairs(_close_cells(cells.select("cx", "cy", F.inline("outer")), width, tolerance)), "linked")
-    heads = components(first.select(c("head").alias("node")), linked)
+    linked = work.write(_close_cells(cells.select("cx", "cy", F.inline("outer")), width, tolerance), "linked")
+    known = _joined_cells(cells.select("cx", "cy", "head", (c("n") > F.size("outer")).alias("more")), linked, work)
     # Neighbours that are still apart, where ends were left out of the comparison.
-    known = cells.select("cx", "cy", "head", (c("n") > F.size("outer")).alias("more")).join(heads.withColumnRenamed("node", "head"), "head").select("cx", "cy", "root", "more")
-    known = work.write(known, "known")
-    ahead = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if (i, j) > (0, 0)])
-    there = known.select(c("root").alias("_root"), c("more").alias("_more"), c("cx").alias("ocx"), c("cy").alias("ocy"), F.inline(ahead)).select("_root", "_more", "ocx", "ocy", (c("ocx") + c("i")).alias("cx"), (c("ocy") + c("j")).alias("cy"))
-    apart = known.join(there, ["cx", "cy"]).where((c("root") != c("_root")) & (c("more") | c("_more")))
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if (i, j) != (0, 0)])
+    there = known.where("more").select(c("root").alias("_root"), c("cx").alias("ocx"), c("cy").alias("ocy"), F.inline(around)).select("_root", "ocx", "ocy", (c("ocx") + c("i")).alias("cx"), (c("ocy") + c("j")).alias("cy"))
+    apart = there.join(known.select("cx", "cy", "root").hint("merge"), ["cx", "cy"]).where(c("root") != c("_root"))
     apart = work.write(apart.select(F.inline(F.array(F.struct("cx", "cy"), F.struct(c("ocx").alias("cx"), c("ocy").alias("cy"))))).distinct(), "apart")
     if not apart.isEmpty():
-        places = ends.join(apart, ["cx", "cy"], "left_semi").select("cx", "cy", "x", "y").distinct()
+        places = ends.join(apart.hint("merge"), ["cx", "cy"], "left_semi").select("cx", "cy", "x", "y").distinct()
         # Roots stand for what is joined already, so few are left to join.
-        at = known.select("cx", "cy", "root")
-        both = _close_cells(places, width, tolerance).join(at, ["cx", "cy"]).withColumnRenamed("root", "a").join(at.toDF("ocx", "ocy", "b"), ["ocx", "ocy"])
-        both = work.write(both.where("a <> b").select("a", "b").distinct(), "both")
-        if not both.isEmpty():
-            tops = components(both.select(F.explode(F.array("a", "b")).alias("node")), both).toDF("root", "_top")
-            known = work.write(known.join(tops, "root", "left").select("cx", "cy", F.coalesce("_top", "root").alias("root")), "known-all")
-    named = ends.join(known.select("cx", "cy", "root"), ["cx", "cy"])
+        known = _named_alike(known, _close_cells(places, width, tolerance), work, "all")
+    named = ends.join(known.select("cx", "cy", "root").hint("merge"), ["cx", "cy"])
     nodes = named.where("node = root").select("node", "x", "y")
     at = lambda name: F.max(F.when(c("node") == F.concat("id", F.lit(name)), c("root")))
     edges = named.groupBy("id").agg(at("|a").alias("a"), at("|b").alias("b"))

@@ -198,3 +198,14 @@ def test_places_go_only_to_cells_within_reach(spark):
     w = 3.0 / 2**0.5
     places = spark.createDataFrame([(0, 0, 0.1 * w, 0.1 * w), (2, 2, 2.0 * w, 2.0 * w), (1, 0, 1.1 * w, 0.2 * w)], "cx long, cy long, x double, y double")
     assert [tuple(r) for r in topology._close_cells(places, w, 3.0).collect()] == [(1, 0, 0, 0)]
+
+
+def test_chains_over_tiles_are_one_node_and_nothing_is_broadcast(spark):
+    long = 3 * topology.TILE
+    rows = [(f"{k:04d}", [[2.0 * k, 0.0], [2.0 * k, 5000.0 + 9.0 * k]]) for k in range(2 * long)]
+    _, edges = topology.stitch(spark.createDataFrame(rows, "id string, points array<array<double>>"), 3.0)
+    got = {r["id"]: (r["a"], r["b"]) for r in edges.collect()}
+    assert len(got) == len(rows) and {a for a, _ in got.values()} == {"0000|a"} and {b for _, b in got.values()} == {f"{i}|b" for i, _ in rows}
+    places = spark.range(100).selectExpr("double(id) x", "double(id) y", "id div 2 cx", "id div 2 cy")
+    close = topology._close_cells(places, 2.0, 3.0)
+    assert "BroadcastHashJoin" not in close._jdf.queryExecution().executedPlan().toString() and close.count() > 0
