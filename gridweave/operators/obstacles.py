@@ -158,9 +158,12 @@ COVERED, MOST_CELLS = 2.5, 1_000_000
 
 @dataclass
 class Covered:
-    """Cells that lie whole in the buffers of two obstacles or more: nothing outside is seen past them, whoever's own one of these is."""
+    """Cells that lie whole in the buffers of two obstacles or more: nothing outside is seen past them, whoever's own one of these is.
 
-    keys: DataFrame  # key: at most MOST_CELLS
+    Where no obstacle is anybody's own, one is enough.
+    """
+
+    keys: DataFrame | None  # key: at most MOST_CELLS
     size: float
     x0: float
     y0: float
@@ -181,8 +184,29 @@ class Covered:
         return cells.withColumn("_key", self.key(F.col("cx"), F.col("cy"))).join(F.broadcast(self.keys.withColumnRenamed("key", "_key")), "_key", "left_anti").select(key).distinct()
 
 
+def covered_by(rects: DataFrame, several: bool, least: float, work: Workspace) -> Covered | None:
+    """The cells that lie whole inside a rectangle (obstacle, x0, y0, x1, y1), or where several is set, in two of different obstacles.
+
+    Cells are as wide as least, or wider where there would be more than MOST_CELLS. None where there are no rectangles.
+    """
+    box = rects.agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).first()
+    if box["x0"] is None:
+        return None
+    x, y = box["x0"] - 1, box["y0"] - 1
+    wide, high = box["x1"] + 1 - x, box["y1"] + 1 - y
+    size = max(least, (wide * high / MOST_CELLS) ** 0.5, wide / 2_000_000, high / 2_000_000)
+    out = Covered(None, size, x, y)
+    # A millimetre (or a thousandth of the unit) inside, so that what runs along a border enters no covered cell.
+    first, last = (lambda c, o: F.ceil((F.col(c) + 1e-3 - o) / size)), (lambda c, o: F.floor((F.col(c) - 1e-3 - o) / size) - 1)
+    held = rects.select("obstacle", first("x0", x).alias("a"), last("x1", x).alias("b"), first("y0", y).alias("c"), last("y1", y).alias("e")).where("a <= b AND c <= e")
+    held = held.select("obstacle", F.explode(F.sequence("a", "b")).alias("cx"), "c", "e").select("obstacle", "cx", F.explode(F.sequence("c", "e")).alias("cy"))
+    found = held.withColumn("key", out.key(F.col("cx"), F.col("cy"))).groupBy("key").agg(F.min("obstacle").alias("least"), F.max("obstacle").alias("most"))
+    out.keys = work.write((found.where("least <> most") if several else found).select("key"), "covered")
+    return out
+
+
 def covered(obstacles: DataFrame, work: Workspace) -> Covered | None:
-    """The cells that two obstacles cover; only rectangles along the axes are taken to cover any. None where there are no obstacles.
+    """The cells that two obstacles cover; only rectangles along the axes are taken to cover any. None where there are none.
 
     A segment that starts outside all buffers, or in one only, enters such a cell only through pieces that touch other cells: it has to pass the
     border of both buffers before.
@@ -190,26 +214,12 @@ def covered(obstacles: DataFrame, work: Workspace) -> Covered | None:
     every = F.flatten(F.array_compact("rings"))
     d = F.coalesce("clearance", F.lit(0.0)).cast("double")
     shapes = obstacles.select("obstacle", "closed", d.alias("d"), "rings", *[f(every.getField(n)).cast("double").alias(a) for a, f, n in (("x0", F.array_min, "x"), ("y0", F.array_min, "y"), ("x1", F.array_max, "x"), ("y1", F.array_max, "y"))])
-    box = shapes.agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("d").alias("d")).first()
-    if box["x0"] is None:
-        return None
-    x, y, d = box["x0"] - box["d"] - 1, box["y0"] - box["d"] - 1, box["d"] + 1
-    wide, high = box["x1"] + d - x, box["y1"] + d - y
-    size = max(COVERED, (wide * high / MOST_CELLS) ** 0.5, wide / 2_000_000, high / 2_000_000)
-    out = Covered(obstacles.sparkSession.createDataFrame([], "key long"), size, x, y)
     p = [F.col("rings")[0][k] for k in range(4)]
     level, upright = (lambda a, b: p[a].y == p[b].y), (lambda a, b: p[a].x == p[b].x)
     turned = (level(0, 1) & upright(1, 2) & level(2, 3) & upright(3, 0)) | (upright(0, 1) & level(1, 2) & upright(2, 3) & level(3, 0))
     whole = shapes.where(F.col("closed") & (F.size("rings") == 1)).where(F.size(F.col("rings")[0]) == 4).where(turned)
     sides = F.array(*[F.struct((F.col("x0") - a).alias("x0"), (F.col("y0") - b).alias("y0"), (F.col("x1") + a).alias("x1"), (F.col("y1") + b).alias("y1")) for a, b in ((F.col("d"), F.lit(0.0)), (F.lit(0.0), F.col("d")))])
-    held = whole.select("obstacle", F.inline(sides))
-    # A millimetre inside, so that what runs along a border enters no covered cell.
-    first, last = (lambda c, o: F.ceil((F.col(c) + 1e-3 - o) / size)), (lambda c, o: F.floor((F.col(c) - 1e-3 - o) / size) - 1)
-    held = held.select("obstacle", first("x0", x).alias("a"), last("x1", x).alias("b"), first("y0", y).alias("c"), last("y1", y).alias("e")).where("a <= b AND c <= e")
-    held = held.select("obstacle", F.explode(F.sequence("a", "b")).alias("cx"), "c", "e").select("obstacle", "cx", F.explode(F.sequence("c", "e")).alias("cy"))
-    found = held.withColumn("key", out.key(F.col("cx"), F.col("cy"))).groupBy("key").agg(F.min("obstacle").alias("least"), F.max("obstacle").alias("most")).where("least <> most").select("key")
-    out.keys = work.write(found, "covered")
-    return out
+    return covered_by(whole.select("obstacle", F.inline(sides)), True, COVERED, work)
 
 
 def corners(parts: DataFrame) -> DataFrame:

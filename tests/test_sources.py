@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridweave.operators import routing
+from gridweave.operators.storage import Workspace
 from gridweave.plans import route_queries
 from gridweave.sources import dimensions as D
 from gridweave.sources import geojson, statement
@@ -280,3 +281,14 @@ def test_every_terminal_is_tried_to_the_search_radius(spark):
 def test_no_ends_no_routes():
     empty = pd.DataFrame({"district": [4], "kind": ["box"], "id": [1], "x": [0.0], "y": [0.0], "x1": [1.0], "y1": [1.0], "flow": [None]})
     assert routing.plan_district(empty).empty
+
+
+def test_boxes_behind_boxes_are_left_out_of_districts(spark, tmp_path):
+    at = str(tmp_path)
+    spark.range(4000).selectExpr("id AS c_custkey").write.parquet(f"{at}/customer.parquet")
+    spark.range(40).selectExpr("id AS s_suppkey").write.parquet(f"{at}/supplier.parquet")
+    spark.range(200_000).selectExpr("id AS p_partkey", "int(id % 50) AS p_size").write.parquet(f"{at}/part.parquet")
+    shown = route_queries.in_the_open(spark, at, Workspace(spark, "test-open"))
+    assert shown.boxes.count() < 100_000 and 0 < shown.terminals.count() < 400
+    tried = lambda df: sorted(str(r) for r in routing.attempt(df).collect())
+    assert tried(route_queries.districts(spark, at, 0, shown=shown)) == tried(route_queries.districts(spark, at, 0))
